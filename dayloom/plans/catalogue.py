@@ -3,6 +3,7 @@
 from dayloom.plans import (  # noqa: F401
     queries_rows,
     queries_panel,
+    queries_stats,
 )
 from dayloom.plans.registry import ORACLE, QUERIES
 

@@ -128,8 +128,8 @@ rows("P05_truthy_or", lambda: {"any_flag": fn.first_truthy("lab", "lab3", "v_cli
 rows("P06_item_sum", lambda: {"score": fn.item_sum(["v", "v_click", "v_view", "k"])},
      r6("v + v_click + v_view + k", "score"))
 rows("P07_log", lambda: {"log_v": fn.natural_log("lab3"), "log_k": fn.natural_log("v")},
-     "CASE WHEN lab3 = 0 THEN CAST('-inf' AS DOUBLE) ELSE round(ln(lab3), 6) + 0.0 END AS log_v, "
-     "CASE WHEN v = 0 THEN CAST('-inf' AS DOUBLE) WHEN v > 0 THEN round(ln(v), 6) + 0.0 END AS log_k")
+     "CASE WHEN lab3 = 0 THEN CAST('-inf' AS DOUBLE) ELSE round(ln(lab3) + 1e-9, 6) + 0.0 END AS log_v, "
+     "CASE WHEN v = 0 THEN CAST('-inf' AS DOUBLE) WHEN v > 0 THEN round(ln(v) + 1e-9, 6) + 0.0 END AS log_k")
 rows("P08_zero", lambda: {"zeroes": fn.zero_like("v_click")}, "v_click - v_click AS zeroes")
 rows("P09_mannequin_recode", lambda: {"shift_stress": fn.mannequin_stress("n_events")},
      "CASE WHEN n_events IN (1, 2) THEN 1 WHEN n_events IN (3, 4, 5, 6) THEN 0 ELSE n_events END AS shift_stress")
@@ -282,7 +282,7 @@ def _(spark, sf):
 
 
 @query("J04_sleep_daily", f"""WITH {PANEL} {SPLIT} SELECT b.user_id, CAST(b.date AS VARCHAR) AS date, rmssd, k, v_click,
-    CASE WHEN rmssd = 0 THEN CAST('-inf' AS DOUBLE) WHEN rmssd > 0 THEN round(ln(rmssd), 6) + 0.0 END AS log_hrv, rmssd - rmssd AS zeroes
+    CASE WHEN rmssd = 0 THEN CAST('-inf' AS DOUBLE) WHEN rmssd > 0 THEN round(ln(rmssd) + 1e-9, 6) + 0.0 END AS log_hrv, rmssd - rmssd AS zeroes
   FROM base b LEFT JOIN p1 ON b.user_id = p1.user_id AND b.date = p1.date""")
 def _(spark, sf):
     base, p1, _p2, _o = _split(spark, sf)

@@ -23,12 +23,16 @@ def query(name: str, sql: str | None = None):
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    """Doubles to six places (no negative zero), days as text."""
+    """Doubles to six places, days as text.
+
+    A billionth is added first (here and in the SQL twin), because sums in a
+    different order put exact halves on either side of the rounding point.
+    """
     cols = []
     for name, kind in df.dtypes:
         c = F.col(name)
         if kind in ("double", "float"):
-            c = F.round(c, 6) + F.lit(0.0)
+            c = F.round(c + F.lit(1e-9), 6) + F.lit(0.0)
         elif kind in ("date", "timestamp", "timestamp_ntz"):
             c = c.cast("string")
         cols.append(c.alias(name))
@@ -37,7 +41,7 @@ def tidy(df: DataFrame) -> DataFrame:
 
 def r6(x: str, name: str | None = None) -> str:
     """SQL twin of ``tidy`` for one number."""
-    return f"round({x}, 6) + 0.0" + (f" AS {name}" if name else "")
+    return f"round(({x}) + 1e-9, 6) + 0.0" + (f" AS {name}" if name else "")
 
 
 def r6s(*names: str) -> str:
