@@ -126,8 +126,11 @@ def md5_bits(key: Column, start: int = 1) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), start, 8), 16, 10).cast("long")
 
 
-def unit_normal(key: Column) -> Column:
-    """Standard normal draw that depends on the key only (Box-Muller on md5 bits)."""
-    u1 = (md5_bits(key, 1) + 1) / F.lit(4294967297.0)
-    u2 = md5_bits(key, 9) / F.lit(4294967296.0)
-    return F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(6.283185307179586) * u2)
+def normal_from_md5(digest: Column, which: int) -> Column:
+    """One of the four standard normal draws an md5 digest holds (Box-Muller)."""
+    word = lambda i: F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long")
+    pair = 2 * (which // 2)
+    u1 = (word(pair) + 1) / F.lit(4294967297.0)
+    u2 = word(pair + 1) / F.lit(4294967296.0)
+    angle = F.lit(6.283185307179586) * u2
+    return F.sqrt(F.lit(-2.0) * F.ln(u1)) * (F.sin(angle) if which % 2 else F.cos(angle))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from dayloom.operators import ordered, twosample
+from dayloom.session import cut_lineage
 
 
 def bonferroni(df: DataFrame, p: str, keys: Sequence[str], alpha: float = 0.05) -> DataFrame:
@@ -28,12 +29,14 @@ def benjamini_hochberg(
     ranks run over distinct p-values in blocks, never over one task's window.
     """
     keys = list(keys)
+    df = cut_lineage(df)  # read several times below; the tests upstream run once
     distinct = df.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_c"))
-    m = distinct.groupBy(*keys).agg(F.sum("_c").alias("_m"))
-    ranked = ordered.running(distinct, keys, p, sums={"_rank": F.col("_c")}, block_rows=block_rows)
-    raw = ranked.join(m, keys).withColumn("_q", F.col(p) * F.col("_m") / F.col("_rank"))
-    low = ordered.running(raw, keys, p, reverse_mins={"p_value_fdr": F.col("_q")}, block_rows=block_rows)
-    q = low.select(*keys, p, F.least(F.col("p_value_fdr"), F.lit(1.0)).alias("p_value_fdr"))
+    walk = ordered.Ordered(distinct, keys, p, largest=ordered.largest_group(df, keys), block_rows=block_rows)
+    walk.running_sum("_rank", F.col("_c"))
+    m = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+    walk.rows = walk.rows.join(m, keys)
+    walk.reverse_min("p_value_fdr", F.col(p) * F.col("_m") / F.col("_rank"))
+    q = walk.result().select(*keys, p, F.least(F.col("p_value_fdr"), F.lit(1.0)).alias("p_value_fdr"))
     return df.join(q, [*keys, p]).withColumn("reject_fdr", (F.col("p_value_fdr") <= alpha).cast("int"))
 
 
@@ -106,7 +109,7 @@ def viability_histogram(results: DataFrame, *, entity: str, most: int = 4) -> Da
     per = results.groupBy("measure", entity).agg(F.sum("reject_fdr").alias("n_definitions"))
     counts = per.groupBy("measure", "n_definitions").agg(F.count(F.lit(1)).alias("n"))
     spine = per.select("measure").distinct().withColumn(
-        "n_definitions", F.explode(F.sequence(F.lit(0), F.lit(most))).cast("long")
+        "n_definitions", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most).cast("long")))
     )
     return spine.join(counts, ["measure", "n_definitions"], "left").na.fill(0, ["n"])
 

@@ -12,14 +12,22 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from dayloom.session import cut_lineage
+
 BLOCK_ROWS = 1_000_000
 MAX_BLOCKS = 1_000
 
 
-def with_blocks(df: DataFrame, keys: Sequence[str], order: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Row count of the biggest group: one map-side combined count."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.agg(F.max("_n")).first()[0] or 0
+
+
+def with_blocks(df: DataFrame, keys: Sequence[str], order: str, block_rows: int) -> DataFrame:
     """Add ``_block``: 0 for small groups, else the number of cut points below the row.
 
-    ``df`` holds one row per key and order value.
+    ``df`` holds one row per key and order value and is cheap to read again.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     rate = F.greatest(F.lit(block_rows), F.ceil(F.col("_n") / MAX_BLOCKS)).cast("long")
@@ -30,51 +38,54 @@ def with_blocks(df: DataFrame, keys: Sequence[str], order: str, block_rows: int
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(order)).alias("_cuts"))
     )
-    block = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order))), F.lit(0))
-    block = F.when(F.col("_cuts").isNull(), 0).otherwise(block)
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
+    block = F.when(F.col("_cuts").isNull(), 0).otherwise(below)
     return df.join(cuts, list(keys), "left").withColumn("_block", block).drop("_cuts")
 
 
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    sums: dict[str, Column] | None = None,
-    reverse_mins: dict[str, Column] | None = None,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Add running sums from the start and running minima from the end of the order.
+class Ordered:
+    """Rows of a table in the order of one column inside each group.
 
-    ``df`` holds one row per key and order value, so there are no ties.
+    ``df`` holds one row per group and order value, so there are no ties.
+    ``largest`` bounds the group sizes: up to ``block_rows`` a plain window
+    serves, beyond it the table is cut into blocks once and written to the
+    checkpoint folder, because the steps below read it more than once.
     """
-    sums, mins = sums or {}, reverse_mins or {}
-    values = {f"_v_{k}": e for k, e in (sums | mins).items()}
-    rows = with_blocks(df.withColumns(values), keys, order, block_rows)
-    blocks = rows.groupBy(*keys, "_block").agg(
-        *[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums],
-        *[F.min(f"_v_{k}").alias(f"_t_{k}") for k in mins],
-    )
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(
-        *keys,
-        "_block",
-        *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums],
-        *[F.min(f"_t_{k}").over(after).alias(f"_o_{k}") for k in mins],
-    )
-    inside = Window.partitionBy(*keys, "_block")
-    up = inside.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    down = inside.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.withColumns(
-        {f"_l_{k}": F.sum(f"_v_{k}").over(up) for k in sums}
-        | {f"_l_{k}": F.min(f"_v_{k}").over(down) for k in mins}
-    )
-    out = local.join(offsets, [*keys, "_block"])
-    return out.select(
-        *df.columns,
-        *[(F.col(f"_l_{k}") + F.col(f"_o_{k}")).alias(k) for k in sums],
-        *[F.least(F.col(f"_l_{k}"), F.col(f"_o_{k}")).alias(k) for k in mins],
-    )
+
+    def __init__(
+        self, df: DataFrame, keys: Sequence[str], order: str, *, largest: int, block_rows: int = BLOCK_ROWS
+    ):
+        self.keys, self.order = list(keys), order
+        self.blocked = largest > block_rows
+        self.rows = df
+        if self.blocked:
+            self.rows = cut_lineage(with_blocks(cut_lineage(df), keys, order, block_rows))
+
+    def _add(self, name: str, value: Column, agg, merge, descending: bool) -> Ordered:
+        turn = F.desc if descending else F.asc
+        groups = [*self.keys, "_block"] if self.blocked else self.keys
+        upto = Window.partitionBy(*groups).orderBy(turn(self.order)).rowsBetween(Window.unboundedPreceding, 0)
+        if not self.blocked:
+            self.rows = self.rows.withColumn(name, agg(value).over(upto))
+            return self
+        valued = self.rows.withColumn("_v", value)
+        totals = valued.groupBy(*groups).agg(agg(F.col("_v")).alias("_t"))
+        earlier = Window.partitionBy(*self.keys).orderBy(turn("_block")).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(*groups, agg(F.col("_t")).over(earlier).alias("_o"))
+        local = valued.withColumn(name, agg(F.col("_v")).over(upto)).join(offsets, groups)
+        self.rows = local.withColumn(name, merge(F.col(name), F.col("_o"))).drop("_v", "_o")
+        return self
+
+    def running_sum(self, name: str, value: Column) -> Ordered:
+        """Sum of ``value`` from the group's start up to the row."""
+        return self._add(name, value, F.sum, lambda x, o: x + F.coalesce(o, F.lit(0)), False)
+
+    def reverse_min(self, name: str, value: Column) -> Ordered:
+        """Minimum of ``value`` from the row to the group's end."""
+        return self._add(name, value, F.min, F.least, True)
+
+    def result(self) -> DataFrame:
+        return self.rows.drop("_block")
 
 
 def dense_codes(df: DataFrame, key: str, out: str) -> DataFrame:

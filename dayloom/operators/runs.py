@@ -15,7 +15,7 @@ def ranked_runs(
     """Runs with their length ``g`` and a random order ``r`` of their days per bootstrap."""
     numbered = panel.label_runs(df, label, entity=entity, date=date)
     sized = numbered.withColumn("g", F.count(F.lit(1)).over(Window.partitionBy(entity, "run")))
-    drawn = sampling.with_boots(sized.where(F.col(label).isin(0, 1, 2)), boots)
+    drawn = sampling.with_boots(sized, boots)
     order = sampling.hash_order(entity, date, "boot", seed=seed)
     w = Window.partitionBy(entity, "boot", "run").orderBy(order, date)
     return drawn.withColumn("r", F.row_number().over(w))
@@ -23,21 +23,26 @@ def ranked_runs(
 
 def sample_runs(
     df: DataFrame, features: Sequence[str], label: str, *, limit: int, boots: int, seed: str,
-    entity: str, date: str,
+    entity: str, date: str, with_days: bool = False,
 ) -> DataFrame:
     """One row for a run of 1, one mean row for a run up to ``limit``, half the days of a longer one.
 
     Rows labelled 0 become ``no_stress``, 1 and 2 ``stress``, others are dropped.
-    Every step is keyed by the entity first, so one shuffle serves them all.
+    ``with_days`` also returns every single day as ``day``. Every step is keyed
+    by the entity first, so one shuffle serves them all.
     """
     rows = ranked_runs(df, label, boots=boots, seed=seed, entity=entity, date=date)
-    g, r = F.col("g"), F.col("r")
-    kept = rows.where((g <= limit) | (r <= F.floor(g / 2)))
+    g, r, y = F.col("g"), F.col("r"), F.col(label)
+    cond = F.when(y == 0, "no_stress").when(y.isin(1, 2), "stress")
+    kept = y.isin(0, 1, 2) & ((g <= limit) | (r <= F.floor(g / 2)))
     slot = F.when((g >= 2) & (g <= limit), 0).otherwise(r)
-    cond = F.when(F.col(label) == 0, "no_stress").otherwise("stress")
+    role = lambda c, s: F.struct(c.alias("cond"), s.cast("int").alias("slot"))
+    roles = [F.when(kept, role(cond, slot))]
+    if with_days:
+        roles.append(role(F.lit("day"), r))
+    parts = rows.withColumn("_role", F.explode(F.array_compact(F.array(*roles))))
     return (
-        kept.withColumns({"_slot": slot, "cond": cond})
-        .groupBy(entity, "boot", "cond", "run", "_slot")
+        parts.groupBy(entity, "boot", F.col("_role.cond").alias("cond"), "run", F.col("_role.slot").alias("_slot"))
         .agg(F.min(date).alias(date), *[F.avg(c).alias(c) for c in features])
         .drop("run", "_slot")
     )

@@ -199,12 +199,14 @@ def ks_statistic(
     a group with very many distinct values runs in blocks of its value range.
     """
     keys = list(keys)
+    known = df.where(F.col(value).isNotNull())
     is_ = lambda s: F.count_if(F.col(sample) == s)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(is_("x").alias("_cx"), is_("y").alias("_cy"))
-    run = ordered.running(counts, keys, value, sums={"_sx": F.col("_cx"), "_sy": F.col("_cy")}, block_rows=block_rows)
-    totals = counts.groupBy(*keys).agg(F.sum("_cx").alias("nx"), F.sum("_cy").alias("ny"))
-    joined = run.join(totals.where("nx > 0 and ny > 0"), keys)
+    counts = known.groupBy(*keys, value).agg(is_("x").alias("_cx"), is_("y").alias("_cy"))
+    walk = ordered.Ordered(counts, keys, value, largest=ordered.largest_group(known, keys), block_rows=block_rows)
+    walk.running_sum("_sx", F.col("_cx")).running_sum("_sy", F.col("_cy"))
+    totals = known.groupBy(*keys).agg(is_("x").alias("nx"), is_("y").alias("ny")).where("nx > 0 and ny > 0")
     gap = F.abs(F.col("_sx") / F.col("nx") - F.col("_sy") / F.col("ny"))
+    joined = walk.result().join(totals, keys)
     return joined.groupBy(*keys, "nx", "ny").agg(F.max(gap).alias("d"))
 
 

@@ -8,7 +8,7 @@ from dayloom import vocab
 from dayloom.functions import scalars as fn
 from dayloom.operators import merge, profile, sampling
 from dayloom.operators.ordered import dense_codes
-from dayloom.plans import fixtures as fx
+from dayloom.plans import fixtures as fx, sqlkit as sk
 from dayloom.plans.fixtures import ONCE, PANEL
 from dayloom.plans.registry import query, r6, r6s, tidy
 from dayloom.sources import readers
@@ -403,11 +403,14 @@ def _(spark, sf):
     return tidy(sampling.hash_split(fx.daily_panel(spark, sf).select("user_id", "date"), 0.33, keys=["user_id", "date"], seed="7"))
 
 
-@query("T12_noise", WP + f""", u AS (SELECT user_id, date, v, md5(concat_ws('|', CAST(user_id AS VARCHAR), CAST(date AS VARCHAR), 'v', 'n')) AS h FROM panel)
-  SELECT user_id, {DAY}, round(v + 0.001 * sqrt(-2.0 * ln((CAST('0x' || substr(h, 1, 8) AS BIGINT) + 1) / 4294967297.0)) * cos(6.283185307179586 * (CAST('0x' || substr(h, 9, 8) AS BIGINT) / 4294967296.0)), 6) + 0.0 AS v FROM u""")
+NOISY = ["v", "k", "v_sum", "n_events", "lab"]
+
+
+@query("T12_noise", WP + f""", u AS (SELECT *, md5(concat_ws('|', CAST(user_id AS VARCHAR), CAST(date AS VARCHAR), '0', 'n')) AS h0, md5(concat_ws('|', CAST(user_id AS VARCHAR), CAST(date AS VARCHAR), '1', 'n')) AS h1 FROM panel)
+  SELECT user_id, {DAY}, {', '.join(f"{r6(sk.noisy(c, i), c)}" for i, c in enumerate(NOISY))} FROM u""")
 def _(spark, sf):
-    p = fx.daily_panel(spark, sf).select("user_id", "date", "v")
-    return tidy(sampling.add_noise(p, ["v"], 0.001, keys=["user_id", "date"], seed="n"))
+    p = fx.daily_panel(spark, sf).select("user_id", "date", *NOISY)
+    return tidy(sampling.add_noise(p, NOISY, 0.001, keys=["user_id", "date"], seed="n"))
 
 
 @query("T13_entity_codes", WP + f"SELECT user_id, {DAY}, dense_rank() OVER (ORDER BY md5(CAST(user_id AS VARCHAR)), user_id) - 1 AS p_id FROM panel")

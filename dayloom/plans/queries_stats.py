@@ -57,14 +57,14 @@ MOMENTS = """m AS (SELECT user_id, avg(value) FILTER (WHERE event_type = 'click'
 
 @query("ST04_welch_t", f"""WITH {MOMENTS}, s AS (SELECT *, (mean_x - mean_y) / nullif(sqrt(vx / nx + vy / ny), 0) AS t,
     (vx / nx + vy / ny) ** 2 / nullif((vx / nx) ** 2 / nullif(nx - 1, 0) + (vy / ny) ** 2 / nullif(ny - 1, 0), 0) AS df FROM m)
-  SELECT user_id, nx, ny, {r6s('mean_x', 'mean_y', 't', 'df')}, {r6(sk.student_p('t', 'df', 8000), 'p_val')} FROM s""")
+  SELECT user_id, nx, ny, {r6s('mean_x', 'mean_y', 't', 'df')}, {r6(sk.student_p('t', 'df', 2000), 'p_val')} FROM s""")
 def _(spark, sf):
     return tidy(twosample.t_test(_clicks(spark, sf), "value", "side", ["user_id"]))
 
 
 @query("ST05_pooled_t", f"""WITH {MOMENTS}, s AS (SELECT *, CAST(nx + ny - 2 AS DOUBLE) AS df,
     (mean_x - mean_y) / nullif(sqrt((coalesce((nx - 1) * vx, 0) + coalesce((ny - 1) * vy, 0)) / nullif(nx + ny - 2, 0) * (1 / nx + 1 / ny)), 0) AS t FROM m)
-  SELECT user_id, nx, ny, {r6s('mean_x', 'mean_y', 't', 'df')}, {r6(sk.student_p('t', 'df', 8000), 'p_val')} FROM s""")
+  SELECT user_id, nx, ny, {r6s('mean_x', 'mean_y', 't', 'df')}, {r6(sk.student_p('t', 'df', 2000), 'p_val')} FROM s""")
 def _(spark, sf):
     return tidy(twosample.t_test(_clicks(spark, sf), "value", "side", ["user_id"], pooled=True))
 
@@ -316,7 +316,7 @@ TRAITS = f"""{FDR}, {ONCE}, j AS (SELECT definition, measure, direction, c_acctb
     var_samp(c_acctbal) FILTER (WHERE direction = 'Gain') AS vx, var_samp(c_acctbal) FILTER (WHERE direction = 'Loss') AS vy,
     count(c_acctbal) FILTER (WHERE direction = 'Gain') AS nx, count(c_acctbal) FILTER (WHERE direction = 'Loss') AS ny FROM j GROUP BY 1, 2),
   nt AS (SELECT *, nx + ny - 2 AS df, (mx - my) / nullif(sqrt((coalesce((nx - 1) * vx, 0) + coalesce((ny - 1) * vy, 0)) / nullif(nx + ny - 2, 0) * (1 / nullif(nx, 0) + 1 / nullif(ny, 0))), 0) AS t FROM nm),
-  num AS (SELECT definition, measure, 'c_acctbal' AS feature, {sk.student_p('t', 'df', 8000)} AS p_val, CASE WHEN mx > my THEN 'Gain Higher' ELSE 'Loss Higher' END AS direction FROM nt WHERE df > 0 AND t IS NOT NULL),
+  num AS (SELECT definition, measure, 'c_acctbal' AS feature, {sk.student_p('t', 'df')} AS p_val, CASE WHEN mx > my THEN 'Gain Higher' ELSE 'Loss Higher' END AS direction FROM nt WHERE df > 0 AND t IS NOT NULL),
   lc AS (UNPIVOT (SELECT definition, measure, direction, c_mktsegment, region FROM j) ON c_mktsegment, region INTO NAME feature VALUE x),
   o AS (SELECT definition, measure, feature, direction, x, count(*) AS o FROM lc GROUP BY ALL),
   ra AS (SELECT definition, measure, feature, direction, sum(o) AS m FROM o GROUP BY ALL), cb AS (SELECT definition, measure, feature, x, sum(o) AS m FROM o GROUP BY ALL),

@@ -75,12 +75,15 @@ def runs(src: str, out: str, label_col: str) -> str:
 
 
 def student_p(t: str, nu: str, steps: int = 2000) -> str:
-    """Two-sided t tail: ratio of two Simpson integrals of cos^(nu - 1)."""
-    f = lambda lo: (
+    """Two-sided t tail: ratio of two Simpson integrals of sin^(nu - 1).
+
+    The angle is s^4, which makes the integrand flat at 0 for every nu >= 1.
+    """
+    f = lambda top: (
         f"list_sum(list_transform(range(0, {steps} + 1), lambda i: (CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * "
-        f"greatest(cos({lo} + (1.5707963267948966 - ({lo})) * i / {steps}), 0) ** ({nu} - 1))) * (1.5707963267948966 - ({lo}))"
+        f"sin((sqrt(sqrt({top})) * i / {steps}) ** 4) ** ({nu} - 1) * 4 * (sqrt(sqrt({top})) * i / {steps}) ** 3)) * sqrt(sqrt({top}))"
     )
-    return f"({f(f'atan(abs({t}) / sqrt({nu}))')}) / ({f('0.0')})"
+    return f"({f(f'atan2(sqrt({nu}), abs({t}))')}) / ({f('1.5707963267948966')})"
 
 
 def chi2_p(x: str, dof: str, steps: int = 4000, top: float = 40.0) -> str:
@@ -91,3 +94,14 @@ def chi2_p(x: str, dof: str, steps: int = 4000, top: float = 40.0) -> str:
         f"({u(lo)} ** ({dof} - 1)) * exp(-{u(lo)} * {u(lo)} / 2))) * ({top} - ({lo}))"
     )
     return f"({f(f'sqrt({x})')}) / ({f('0.0')})"
+
+
+def noisy(c: str, i: int, sigma: float = 0.001) -> str:
+    """Column plus the i-th draw of the md5 columns h0, h1, ..."""
+    word = lambda k: f"CAST('0x' || substr(h{i // 4}, {8 * k + 1}, 8) AS BIGINT)"
+    pair = 2 * ((i % 4) // 2)
+    turn = "sin" if i % 2 else "cos"
+    return (
+        f"{c} + {sigma} * sqrt(-2.0 * ln(({word(pair)} + 1) / 4294967297.0)) * "
+        f"{turn}(6.283185307179586 * ({word(pair + 1)} / 4294967296.0))"
+    )
