@@ -153,7 +153,7 @@ def critical_r(n: Column, alpha: float) -> Column:
 # ---------------------------------------------------------------------- skeleton
 
 
-def skeleton(graphs: DataFrame, features: Sequence[str], *, alpha: float = 0.05, max_cond: int = 2) -> DataFrame:
+def skeleton(graphs: DataFrame, features: Sequence[str], *, max_cond: int = 2) -> DataFrame:
     """Order-independent skeleton search on each row.
 
     Adds ``edges`` (i < j) and ``cut``: the pairs a level of size one or two
@@ -307,19 +307,24 @@ ARCS = ArrayType(StructType([StructField("src", IntegerType()), StructField("dst
 
 
 def directed(skeletons: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Add ``arcs``: the directed edges of each row's graph, by feature position."""
+    """Add ``arcs``: the directed edges of each row's graph, by feature position.
+
+    A batch-wise map rather than a column function: the optimizer would
+    otherwise inline the whole search into the function's arguments.
+    """
     p = len(features)
+    schema = StructType([*skeletons.schema.fields, StructField("arcs", ARCS)])
 
-    @F.pandas_udf(ARCS)
-    def arcs(edges: pd.Series, cut: pd.Series) -> pd.Series:
-        def one(es, cs):
-            sets = {(c["i"], c["j"]): set(map(int, c["z"])) for c in cs}
-            found = orient(p, [(e["i"], e["j"]) for e in es], sets)
-            return [{"src": a, "dst": b} for a, b in found]
+    def one(es, cs):
+        sets = {(c["i"], c["j"]): set(map(int, c["z"])) for c in cs}
+        return [{"src": a, "dst": b} for a, b in orient(p, [(e["i"], e["j"]) for e in es], sets)]
 
-        return pd.Series([one(es, cs) for es, cs in zip(edges, cut)])
+    def add(batches):
+        for pdf in batches:
+            pdf["arcs"] = [one(es, cs) for es, cs in zip(pdf["edges"], pdf["cut"])]
+            yield pdf
 
-    return skeletons.withColumn("arcs", arcs("edges", "cut"))
+    return skeletons.mapInPandas(add, schema)
 
 
 def unfold(graphs: DataFrame, column: str, *keep: str) -> DataFrame:
@@ -347,8 +352,8 @@ def graph_rows(
     samples = draw_samples(pool, min_rows=min_rows, seed=seed, **keys)
     rows = correlation_rows(samples, features, sigma=sigma, seed=seed, **keys)
     gated = rows.join(distinct_gate(df, features, min_distinct, entity=entity), entity)
-    ready = spread(gated, entity, *GRAPH).withColumn("limit", critical_r(F.col("n"), alpha))
-    return directed(skeleton(ready, features, alpha=alpha, max_cond=max_cond), features)
+    ready = spread(gated.withColumn("limit", critical_r(F.col("n"), alpha)), entity, *GRAPH)
+    return directed(skeleton(ready, features, max_cond=max_cond), features)
 
 
 def discover(
