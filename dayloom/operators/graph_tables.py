@@ -297,8 +297,8 @@ def edge_difference(pairs: DataFrame, keys: Sequence[str], other: bool = False)
 def _changed(compare: DataFrame, entity: str) -> DataFrame:
     """Long form of the edges found on one side only, stress rows."""
     rows = compare.where(F.col("label") == "stress")
-    part = lambda c, kind: rows.select(entity, F.explode(c).alias("e")).select(
-        entity, F.least("e.src", "e.dst").alias("lo"), F.greatest("e.src", "e.dst").alias("hi"), F.lit(kind).alias("kind")
+    part = lambda c, kind: rows.select(entity, F.explode(c).alias("_e")).select(
+        entity, F.least("_e.src", "_e.dst").alias("lo"), F.greatest("_e.src", "_e.dst").alias("hi"), F.lit(kind).alias("kind")
     )
     return part("only_in_base", "added").unionByName(part("only_in_other", "removed"))
 
@@ -334,13 +334,13 @@ def frequent_edges(summary: DataFrame, cutoff: float, at_least: int = 10) -> Dat
 
 def weight_change(compare: DataFrame, *, entity: str, boots: int = 100) -> DataFrame:
     """Weight change of edges shared in every stress pair, tested against the reference pairs."""
-    long = compare.select(entity, "label", F.explode("weight_diffs").alias("e", "w")).select(
-        entity, F.least("e.src", "e.dst").alias("lo"), F.greatest("e.src", "e.dst").alias("hi"), "w",
+    long = compare.select(entity, "label", F.explode("weight_diffs").alias("_e", "_w")).select(
+        entity, F.least("_e.src", "_e.dst").alias("lo"), F.greatest("_e.src", "_e.dst").alias("hi"), "_w",
         F.when(F.col("label") == "stress", "x").otherwise("y").alias("_side"),
     )
     keys = [entity, "lo", "hi"]
     seen = long.groupBy(*keys).agg(
         F.count_if(F.col("_side") == "x").alias("_s"), F.count_if(F.col("_side") == "y").alias("_r")
     ).where((F.col("_s") == boots) & (F.col("_r") > 0))
-    tested = twosample.t_test(long.join(seen, keys, "left_semi"), "w", "_side", keys, pooled=True)
+    tested = twosample.t_test(long.join(seen, keys, "left_semi"), "_w", "_side", keys, pooled=True)
     return tested.select(*keys, F.col("mean_x").alias("mean"), "p_val")

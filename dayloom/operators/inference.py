@@ -59,12 +59,12 @@ def significance(
     if gate:
         df = df.join(informative_entities(df, gate, entity=entity, label=label, within=within), [*within, entity], "left_semi")
     as_double = df.select(*within, entity, label, *[F.col(m).cast("double").alias(m) for m in measures])
-    long = as_double.unpivot([*within, entity, label], list(measures), "measure", "x")
-    finite = long.where(F.col("x").isNotNull() & ~F.isnan("x"))
+    long = as_double.unpivot([*within, entity, label], list(measures), "measure", "_x")
+    finite = long.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     sides = finite.withColumn("_side", F.when(F.col(label) == "stress", "x").otherwise("y"))
     test = twosample.ks_test if method == "KS" else twosample.t_test
-    tested = test(sides, "x", "_side", keys).select(*keys, "p_val")
-    mean = F.avg(F.when(F.col("_side") == "x", F.col("x")))
+    tested = test(sides, "_x", "_side", keys).select(*keys, "p_val")
+    mean = F.avg(F.when(F.col("_side") == "x", F.col("_x")))
     direction = sides.groupBy(*keys).agg(mean.alias("_m")).select(
         *keys, F.when(F.col("_m") >= 0, "Loss").when(F.col("_m") < 0, "Gain").alias("direction")
     )
@@ -168,17 +168,17 @@ def population_traits(
     joined = rejected.join(traits, entity, "left")
     side = F.when(F.col("direction") == "Gain", "x").otherwise("y")
     num = joined.select(*keys, "direction", *[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(
-        [*keys, "direction"], list(numeric), "feature", "x"
+        [*keys, "direction"], list(numeric), "feature", "_x"
     )
-    t = twosample.t_test(num.withColumn("_side", side), "x", "_side", [*keys, "feature"], pooled=True)
+    t = twosample.t_test(num.withColumn("_side", side), "_x", "_side", [*keys, "feature"], pooled=True)
     t = t.select(
         *keys, "feature", "p_val",
         F.when(F.col("mean_x") > F.col("mean_y"), "Gain Higher").otherwise("Loss Higher").alias("direction"),
     )
     cat = joined.select(*keys, "direction", *[F.col(c).cast("string").alias(c) for c in categorical]).unpivot(
-        [*keys, "direction"], list(categorical), "feature", "x"
+        [*keys, "direction"], list(categorical), "feature", "_x"
     )
-    chi = twosample.chi2_test(cat, "direction", "x", [*keys, "feature"]).select(
+    chi = twosample.chi2_test(cat, "direction", "_x", [*keys, "feature"]).select(
         *keys, "feature", "p_val", F.lit("Categorical").alias("direction")
     )
     return correct(t.unionByName(chi).dropna(subset=["p_val"]), "p_val", keys)

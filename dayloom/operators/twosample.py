@@ -235,30 +235,29 @@ def chi2_test(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFr
     counts add up to n. A table with a single row or column gives statistic 0, p 1.
     """
     keys = list(keys)
-    cells = df.dropna(subset=[a, b]).groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("o"))
-    per = lambda *c: cells.groupBy(*keys, *c).agg(F.sum("o").cast("double").alias("m"))
-    rows, cols, total = per(a), per(b), per().withColumnRenamed("m", "n")
-    rsum = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("r"), F.sum(1 / F.col("m")).alias("ir"))
-    csum = cols.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.sum(1 / F.col("m")).alias("ic"))
+    cells = df.dropna(subset=[a, b]).groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("_o"))
+    per = lambda name, *c: cells.groupBy(*keys, *c).agg(F.sum("_o").cast("double").alias(name))
+    rows, cols, total = per("_rm", a), per("_cm", b), per("_n")
+    spread = lambda t, m, size, inverse: t.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias(size), F.sum(1 / F.col(m)).alias(inverse)
+    )
     join = lambda left, right, on: left.join(right, on) if on else left.crossJoin(F.broadcast(right))  # one row
-    e = join(
-        join(join(cells, rows.withColumnRenamed("m", "rm"), [*keys, a]), cols.withColumnRenamed("m", "cm"), [*keys, b]),
-        total, keys,
-    ).withColumn("e", F.col("rm") * F.col("cm") / F.col("n"))
+    e = join(join(join(cells, rows, [*keys, a]), cols, [*keys, b]), total, keys)
+    e = e.withColumn("_e", F.col("_rm") * F.col("_cm") / F.col("_n"))
     stat = _by(e, keys).agg(
-        F.sum(F.col("o") * F.col("o") / F.col("e")).alias("s"),
-        F.max(F.abs(F.col("o") - F.col("e"))).alias("d"),
-        F.first("n").alias("n"),
+        F.sum(F.col("_o") * F.col("_o") / F.col("_e")).alias("_s"),
+        F.max(F.abs(F.col("_o") - F.col("_e"))).alias("_d"),
+        F.first("_n").alias("_n"),
     )
-    full = join(join(stat, rsum, keys), csum, keys)
-    dof = (F.col("r") - 1) * (F.col("c") - 1)
-    moved = F.greatest(F.col("d") - 0.5, F.lit(0.0))
+    full = join(join(stat, spread(rows, "_rm", "_r", "_ir"), keys), spread(cols, "_cm", "_c", "_ic"), keys)
+    dof = (F.col("_r") - 1) * (F.col("_c") - 1)
+    moved = F.greatest(F.col("_d") - 0.5, F.lit(0.0))
     chi2 = (
         F.when(dof == 0, 0.0)
-        .when(dof == 1, moved * moved * F.col("n") * F.col("ir") * F.col("ic"))
-        .otherwise(F.col("s") - F.col("n"))
+        .when(dof == 1, moved * moved * F.col("_n") * F.col("_ir") * F.col("_ic"))
+        .otherwise(F.col("_s") - F.col("_n"))
     )
-    out = full.select(*keys, F.col("n").cast("long").alias("n"), dof.cast("long").alias("dof"), chi2.alias("chi2"))
+    out = full.select(*keys, F.col("_n").cast("long").alias("n"), dof.cast("long").alias("dof"), chi2.alias("chi2"))
     p = F.when(F.col("dof") == 0, 1.0).otherwise(tails.chi2_p_value(F.col("chi2"), F.col("dof")))
     return out.withColumn("p_val", p)
 

@@ -30,9 +30,9 @@ def read_survey_csv(spark: SparkSession, path: str | list[str], schema: StructTy
     """Header CSV, plain or gzip, with a declared schema (no inference pass).
 
     A gzip file cannot be split, so each file is one task; the rows are then
-    spread over the cluster before anything heavier runs.
+    spread into even partitions before anything heavier runs.
     """
-    return spark.read.schema(schema).option("header", True).csv(path).repartition()
+    return spark.read.schema(schema).option("header", True).csv(path).hint("rebalance")
 
 
 def schedule_column(columns: Sequence[str]) -> str:
