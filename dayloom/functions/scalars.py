@@ -121,6 +121,12 @@ def quartile_bin(p: Column) -> Column:
     return F.when(p <= 0.25, 0.25).when(p <= 0.75, 0.75).when(p.isNotNull(), 1.0)
 
 
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Pearson r as an aggregate over complete rows; null without spread or rows."""
+    x, y = ((F.col(c) if isinstance(c, str) else c).cast("double") for c in (a, b))
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def md5_bits(key: Column, start: int = 1) -> Column:
     """32 reproducible bits of a key as a long: eight hex digits of its md5."""
     return F.conv(F.substring(F.md5(key.cast("binary")), start, 8), 16, 10).cast("long")

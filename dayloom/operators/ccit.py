@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dayloom.functions import scalars as fn
 from dayloom.operators import ordered, sampling
+from dayloom.session import cut_lineage
 
 
 def _swapped(df: DataFrame, y: str, near: Column, rows: int, seed: str, row_id: str) -> DataFrame:
@@ -48,6 +49,7 @@ def conditional_independence(
     """
     cols = [x, y, *z]
     data = df.select(F.col(row_id).cast("string").alias(row_id), *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    data = cut_lineage(data)  # read in every round
     rows = data.count()
     gaps, tested = [], 0
     for k in range(rounds):

@@ -24,17 +24,16 @@ def lagged_correlation(
     n = F.count(F.lit(1)).over(panel.whole(entity))
     paired = known.withColumns({"_b": other, "_rn": rn, "_n": n})
     inside = (F.col("_rn") > shift) if shift >= 0 else (F.col("_rn") <= F.col("_n") + shift)
-    # both columns relative to a first value would not change r, so none is needed
     moments = (
         paired.where(inside)
         .groupBy(entity)
         .agg(
-            F.corr(F.col(first).cast("double"), F.col("_b").cast("double")).alias("r"),
+            fn.correlation(first, "_b").alias("r"),
             F.count(F.lit(1)).alias("n"),
             F.count("_b").alias("_known"),
         )
     )
-    ok = (F.col("n") >= 2) & (F.col("_known") == F.col("n")) & ~F.isnan("r")
+    ok = (F.col("n") >= 2) & (F.col("_known") == F.col("n"))
     out = moments.withColumn("r", F.when(ok, F.col("r"))).drop("_known")
     return out.withColumn("p_val", tails.pearson_p_value(F.col("r"), F.col("n")))
 

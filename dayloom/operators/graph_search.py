@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from dayloom.functions import tails
+from dayloom.functions import scalars as fn, tails
 from dayloom.operators import panel, runs, sampling
 
 GRAPH = ["boot", "cond"]
@@ -106,7 +106,7 @@ def correlation_rows(
     both = sampling.add_noise(both, noisy, sigma, keys=[entity, date, "boot", "cond"], seed=seed)
     p = len(features)
     pairs = [(i, j) for i in range(p) for j in range(i + 1, p)]
-    corr = lambda cols, tag: [F.corr(cols[i], cols[j]).alias(f"{tag}_{i}_{j}") for i, j in pairs]
+    corr = lambda cols, tag: [fn.correlation(cols[i], cols[j]).alias(f"{tag}_{i}_{j}") for i, j in pairs]
     grouped = both.groupBy(entity, *GRAPH).agg(
         F.count(F.lit(1)).alias("n"), *corr(noisy, "c"), *corr(list(features), "w")
     )

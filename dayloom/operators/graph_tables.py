@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
@@ -70,8 +69,7 @@ def undirected_frequency(edges: DataFrame, graphs: DataFrame, by: Sequence[str]
     """Share of graphs with an edge in either direction; ``graphs`` also counts empty graphs."""
     n = graphs.groupBy(*by).agg(F.count(F.lit(1)).alias("_g"))
     counts = canonical(edges).groupBy(*by, "lo", "hi").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per condition
-    joined = counts.join(F.broadcast(n), list(by)) if by else counts.crossJoin(F.broadcast(n))
+    joined = counts.join(n, list(by)) if by else counts.crossJoin(F.broadcast(n))  # one row without keys
     return joined.select(*by, "lo", "hi", (F.col("_n") / F.col("_g")).alias("freq"))
 
 

@@ -62,13 +62,14 @@ def significance(
     long = as_double.unpivot([*within, entity, label], list(measures), "measure", "_x")
     finite = long.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     sides = finite.withColumn("_side", F.when(F.col(label) == "stress", "x").otherwise("y"))
-    test = twosample.ks_test if method == "KS" else twosample.t_test
-    tested = test(sides, "_x", "_side", keys).select(*keys, "p_val")
-    mean = F.avg(F.when(F.col("_side") == "x", F.col("_x")))
-    direction = sides.groupBy(*keys).agg(mean.alias("_m")).select(
-        *keys, F.when(F.col("_m") >= 0, "Loss").when(F.col("_m") < 0, "Gain").alias("direction")
-    )
-    results = tested.join(direction, keys).dropna(subset=["p_val", "direction"])
+    if method == "KS":  # a group is one entity's bootstraps
+        tested = twosample.ks_test(sides, "_x", "_side", keys, small_groups=True)
+    else:
+        tested = twosample.t_test(sides, "_x", "_side", keys)
+    mean = F.col("mean_x")
+    results = tested.select(
+        *keys, "p_val", F.when(mean >= 0, "Loss").when(mean < 0, "Gain").alias("direction")
+    ).dropna(subset=["p_val", "direction"])
     return correct(results, "p_val", [*within, "measure"])
 
 

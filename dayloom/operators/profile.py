@@ -9,13 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 from dayloom.operators.panel import _spine
 
 
-def unpivot(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str, value: str) -> DataFrame:
-    return df.unpivot(list(ids), list(columns), name, value)
-
-
 def distinct_gate(df: DataFrame, columns: Sequence[str], k: int, *, entity: str) -> DataFrame:
     """Features with at least k distinct known values, per entity, in long form."""
-    long = unpivot(df, [entity], columns, "feature", "x").where(F.col("x").isNotNull())
+    long = df.unpivot([entity], list(columns), "feature", "x").where(F.col("x").isNotNull())
     counts = long.groupBy(entity, "feature").agg(F.count_distinct("x").alias("n_values"))
     return counts.where(F.col("n_values") >= k)
 

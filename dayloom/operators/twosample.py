@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from dayloom.functions import tails
+from dayloom.functions import scalars as fn, tails
 from dayloom.operators import ordered
 
 
@@ -156,7 +156,8 @@ def mmd_rbf(
         F.sum(F.when(own, F.col("_nx"))).cast("double").alias("nx"),
         F.sum(F.when(own, F.col("_ny"))).cast("double").alias("ny"),
     )
-    mmd = F.col("xx") / (F.col("nx") * F.col("nx")) + F.col("yy") / (F.col("ny") * F.col("ny")) - 2 * F.col("xy") / (F.col("nx") * F.col("ny"))
+    mean = lambda total_, a, b: F.col(total_) / F.nullif(F.col(a) * F.col(b), F.lit(0.0))
+    mmd = mean("xx", "nx", "nx") + mean("yy", "ny", "ny") - 2 * mean("xy", "nx", "ny")
     return total.select(*keys, mmd.alias("mmd"))
 
 
@@ -191,34 +192,39 @@ def t_test(df: DataFrame, value: str, sample: str, keys: Sequence[str] = (), poo
 
 
 def ks_statistic(
-    df: DataFrame, value: str, sample: str, keys: Sequence[str], block_rows: int = ordered.BLOCK_ROWS
+    df: DataFrame, value: str, sample: str, keys: Sequence[str], *,
+    block_rows: int = ordered.BLOCK_ROWS, small_groups: bool = False,
 ) -> DataFrame:
-    """Largest gap of the two empirical distribution functions.
+    """Largest gap of the two empirical distribution functions, and the mean of x.
 
     Equal values collapse to one row of counts before the running totals, and
     a group with very many distinct values runs in blocks of its value range.
+    ``small_groups`` skips the size check where the caller bounds the groups.
     """
     keys = list(keys)
     known = df.where(F.col(value).isNotNull())
     is_ = lambda s: F.count_if(F.col(sample) == s)
     counts = known.groupBy(*keys, value).agg(is_("x").alias("_cx"), is_("y").alias("_cy"))
-    walk = ordered.Ordered(counts, keys, value, largest=ordered.largest_group(known, keys), block_rows=block_rows)
+    largest = 0 if small_groups else ordered.largest_group(known, keys)
+    walk = ordered.Ordered(counts, keys, value, largest=largest, block_rows=block_rows)
     walk.running_sum("_sx", F.col("_cx")).running_sum("_sy", F.col("_cy"))
-    totals = known.groupBy(*keys).agg(is_("x").alias("nx"), is_("y").alias("ny")).where("nx > 0 and ny > 0")
+    totals = counts.groupBy(*keys).agg(
+        F.sum("_cx").alias("nx"), F.sum("_cy").alias("ny"),
+        (F.sum(F.col(value) * F.col("_cx")) / F.nullif(F.sum("_cx"), F.lit(0))).alias("mean_x"),
+    ).where("nx > 0 and ny > 0")
     gap = F.abs(F.col("_sx") / F.col("nx") - F.col("_sy") / F.col("ny"))
     joined = walk.result().join(totals, keys)
-    return joined.groupBy(*keys, "nx", "ny").agg(F.max(gap).alias("d"))
+    return joined.groupBy(*keys, "nx", "ny", "mean_x").agg(F.max(gap).alias("d"))
 
 
-def ks_test(df, value, sample, keys, block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
-    out = ks_statistic(df, value, sample, keys, block_rows)
+def ks_test(df: DataFrame, value: str, sample: str, keys: Sequence[str], **sizes) -> DataFrame:
+    out = ks_statistic(df, value, sample, keys, **sizes)
     return out.withColumn("p_val", tails.ks_p_value(F.col("d"), F.col("nx"), F.col("ny")))
 
 
 def correlation_test(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    r = F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
-    out = _by(both, keys).agg(F.count(F.lit(1)).alias("n"), F.nanvl(r, F.lit(None)).alias("r"))
+    out = _by(both, keys).agg(F.count(F.lit(1)).alias("n"), fn.correlation(a, b).alias("r"))
     return out.withColumn("p_val", tails.pearson_p_value(F.col("r"), F.col("n")))
 
 

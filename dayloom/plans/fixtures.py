@@ -85,19 +85,16 @@ def _steps(spark: SparkSession, sf: str) -> DataFrame:
     return stepped.where(F.col("next_event_type") != F.col("event_type"))
 
 
-def edges(spark: SparkSession, sf: str, reference: bool = False) -> DataFrame:
+def _edges(spark: SparkSession, sf: str, conditions) -> DataFrame:
     """Stand-in graphs: steps between event types, one direction kept per pair."""
     dom = F.dayofmonth("ts")
-    if reference:
-        cond = F.when(F.floor(dom / 2) % 2 == 0, "a").otherwise("b")
-    else:
-        cond = F.when(dom % 2 == 0, "stress").otherwise("no_stress")
     counted = (
         _steps(spark, sf)
+        .withColumn("cond", F.explode(F.array(*conditions(dom))))
         .groupBy(
             "user_id",
             F.floor((dom - 1) / 10).cast("int").alias("boot"),
-            cond.alias("cond"),
+            "cond",
             F.col("event_type").alias("src"),
             F.col("next_event_type").alias("dst"),
         )
@@ -110,8 +107,21 @@ def edges(spark: SparkSession, sf: str, reference: bool = False) -> DataFrame:
     return pair.select("user_id", "boot", "cond", "e.src", "e.dst", "e.weight")
 
 
+def _by_stress(dom):
+    return F.when(dom % 2 == 0, "stress").otherwise("no_stress")
+
+
+def _by_reference(dom):
+    return F.when(F.floor(dom / 2) % 2 == 0, "a").otherwise("b")
+
+
+def edges(spark: SparkSession, sf: str) -> DataFrame:
+    return _edges(spark, sf, lambda dom: [_by_stress(dom)])
+
+
 def all_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return edges(spark, sf).unionByName(edges(spark, sf, reference=True))
+    """Stress and reference graphs in one pass over the steps."""
+    return _edges(spark, sf, lambda dom: [_by_stress(dom), _by_reference(dom)])
 
 
 def _edges_sql(name: str, cond: str) -> str:

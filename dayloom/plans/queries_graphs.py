@@ -202,15 +202,24 @@ def _(spark, sf):
     return gt.padded_nodes(fx.all_edges(spark, sf), fx.NODES, G, target="view")
 
 
-@query("C03_log_connectivity", f"""WITH RECURSIVE {EDGES}, g AS (SELECT DISTINCT user_id, boot, cond FROM edges)
-  SELECT user_id, boot, cond FROM g""".replace("SELECT user_id, boot, cond FROM g", "SELECT user_id, boot, cond, true AS finite FROM g"))
-def _(spark, sf):
-    e = fx.edges(spark, sf)
-    out = gt.graph_connectivity(e, e.select(*G).distinct(), G, len(fx.NODES))
-    return out.select(*G, (F.col("log_connectivity") > float("-inf")).alias("finite"))
-
-
-@query("C03_log_connectivity_values")
+# Menger: disjoint paths = direct edge + fewest inner nodes that cut every other path.
+# Nodes are bits 0..4; every set of inner nodes is tried on every ordered pair.
+def connectivity_sql(src: str) -> str:
+    code = lambda c: f"CAST(list_position({fx.NODES}, {c}) - 1 AS INTEGER)"
+    return f"""cg AS (SELECT DISTINCT user_id, boot, cond FROM {src}),
+  ce AS MATERIALIZED (SELECT user_id, boot, cond, {code('src')} AS x, {code('dst')} AS y FROM {src}),
+  uv AS (SELECT CAST(a.i AS INTEGER) AS u, CAST(b.i AS INTEGER) AS v, CAST(m.i AS INTEGER) AS s FROM range(5) a(i), range(5) b(i), range(32) m(i)
+    WHERE a.i <> b.i AND (m.i >> a.i) % 2 = 0 AND (m.i >> b.i) % 2 = 0),
+  reach AS (SELECT user_id, boot, cond, u, v, s, u AS at FROM cg CROSS JOIN uv
+    UNION SELECT r.user_id, r.boot, r.cond, r.u, r.v, r.s, ce.y FROM reach r JOIN ce ON ce.user_id = r.user_id AND ce.boot = r.boot AND ce.cond = r.cond AND ce.x = r.at
+    WHERE (r.s >> ce.y) % 2 = 0 AND NOT (r.at = r.u AND ce.y = r.v)),
+  cuts AS (SELECT user_id, boot, cond, u, v, s, bool_or("at" = v) AS joined FROM reach GROUP BY ALL),
+  kap AS (SELECT user_id, boot, cond, u, v, min(bit_count(s)) AS k FROM cuts WHERE NOT joined GROUP BY ALL),
+  conn AS (SELECT k.user_id, k.boot, k.cond, (sum(k.k) + count(ce.x)) / 20.0 AS c FROM kap k LEFT JOIN ce ON ce.user_id = k.user_id AND ce.boot = k.boot
+    AND ce.cond = k.cond AND ce.x = k.u AND ce.y = k.v GROUP BY ALL)"""
+
+
+@query("C03_log_connectivity", f"WITH RECURSIVE {EDGES}, {connectivity_sql('edges')} SELECT user_id, boot, cond, CASE WHEN c = 0 THEN CAST('-inf' AS DOUBLE) ELSE {r6('ln(c)')} END AS log_connectivity FROM conn")
 def _(spark, sf):
     e = fx.edges(spark, sf)
     return tidy(gt.graph_connectivity(e, e.select(*G).distinct(), G, len(fx.NODES)))
@@ -239,7 +248,11 @@ def _(spark, sf):
     return c.select("user_id", "boot", "label", text("only_in_base"), text("only_in_other"))
 
 
-@query("C07_comparison")
+@query("C07_comparison", f"""WITH RECURSIVE {PAIRED}, {connectivity_sql('all_edges')},
+  cl AS (SELECT user_id, boot, CASE WHEN cond IN ('stress', 'no_stress') THEN 'stress' ELSE 'reference' END AS label,
+    max(c) FILTER (WHERE cond IN ('no_stress', 'b')) AS cb, max(c) FILTER (WHERE cond IN ('stress', 'a')) AS co FROM conn GROUP BY ALL),
+  ms AS (SELECT {ID}, count(*) FILTER (WHERE bsrc IS NOT NULL AND osrc IS NOT NULL) / count(*) AS iu, {THEMED} FROM pairs SEMI JOIN have USING ({ID}) GROUP BY ALL)
+  SELECT ms.* EXCLUDE (iu), {r6('iu', 'int_union')}, {r6('ln(cb) - ln(co)', 'difference')} FROM ms JOIN cl USING ({ID})""")
 def _(spark, sf):
     c = _compare(spark, sf)
     return tidy(c.drop("weight_diffs", "only_in_base", "only_in_other"))
@@ -304,7 +317,7 @@ def search_sql(label: str) -> str:
     key = lambda extra: f"md5(concat_ws('|', CAST(user_id AS VARCHAR), CAST(date AS VARCHAR), CAST(boot AS VARCHAR), {extra}))"
     pairs = [(i, j) for i in range(len(f)) for j in range(i + 1, len(f))]
     corrs = " UNION ALL ".join(
-        f"SELECT user_id, boot, cond, {i} AS i, {j} AS j, count(*) AS n, corr(e{i}, e{j}) AS r, corr({f[i]}, {f[j]}) AS w FROM noisy GROUP BY ALL"
+        f"SELECT user_id, boot, cond, {i} AS i, {j} AS j, count(*) AS n, corr(e{i}, e{j}) AS r, CASE WHEN stddev_pop({f[i]}) * stddev_pop({f[j]}) > 0 THEN corr({f[i]}, {f[j]}) END AS w FROM noisy GROUP BY ALL"
         for i, j in pairs)
     part = lambda a, b, c: f"(({a}) - ({b}) * ({c})) / sqrt(greatest((1 - ({b}) * ({b})) * (1 - ({c}) * ({c})), 1e-300))"
     indep = lambda r: f"({sk.student_p(f'({r}) * sqrt((n - 2) / (1 - ({r}) * ({r})))', '(n - 2)', 400)}) >= 0.05"
@@ -350,14 +363,15 @@ def _(spark, sf):
 
 
 @query("G02_partial_correlation", f"""WITH {FILLED}, c AS (SELECT user_id, count(*) AS n, corr(v, k) AS vk, corr(v, n_events) AS vn, corr(k, n_events) AS kn FROM filled WHERE v IS NOT NULL GROUP BY 1),
-  p AS (SELECT user_id, n, (vk - vn * kn) / sqrt((1 - vn * vn) * (1 - kn * kn)) AS r FROM c)
+  p AS (SELECT user_id, n, (vk - vn * kn) / nullif(sqrt((1 - vn * vn) * (1 - kn * kn)), 0) AS r FROM c)
   SELECT user_id, n, {r6s('r')}, {r6(sk.student_p('r * sqrt((n - 2) / (1 - r * r))', '(n - 2)'), 'p_val')} FROM p""")
 def _(spark, sf):
-    from dayloom.functions import tails
+    from dayloom.functions import scalars as fn, tails
 
     c = fx.daily_panel(spark, sf).groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n"), F.corr("v", "k").alias("vk"), F.corr("v", "n_events").alias("vn"), F.corr("k", "n_events").alias("kn"))
-    r = (F.col("vk") - F.col("vn") * F.col("kn")) / F.sqrt((1 - F.col("vn") * F.col("vn")) * (1 - F.col("kn") * F.col("kn")))
+        F.count(F.lit(1)).alias("n"), *[fn.correlation(a, b).alias(n) for a, b, n in (("v", "k", "vk"), ("v", "n_events", "vn"), ("k", "n_events", "kn"))])
+    rest = (1 - F.col("vn") * F.col("vn")) * (1 - F.col("kn") * F.col("kn"))
+    r = (F.col("vk") - F.col("vn") * F.col("kn")) / F.nullif(F.sqrt(rest), F.lit(0.0))
     out = c.select("user_id", "n", r.alias("r"))
     return tidy(out.withColumn("p_val", tails.pearson_p_value(F.col("r"), F.col("n"))))
 

@@ -11,7 +11,8 @@ from dayloom.operators.ordered import dense_codes
 from dayloom.plans import fixtures as fx, sqlkit as sk
 from dayloom.plans.fixtures import ONCE, PANEL
 from dayloom.plans.registry import query, r6, r6s, tidy
-from dayloom.sources import readers
+from dayloom.session import scratch_table
+from dayloom.sources import readers, writers
 
 WP = f"WITH {PANEL} "
 DAY = "CAST(date AS VARCHAR) AS date"
@@ -33,6 +34,32 @@ def _(spark, sf):
     return readers.read_table(spark, f"{sf}/events.parquet", ["user_id", "event_type", "value"])
 
 
+CUSTOMER = "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer"
+
+
+@query("S02_gzip_csv_scan", CUSTOMER)
+def _(spark, sf):
+    path = scratch_table(spark, "survey")
+    c = fx.table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    c.write.option("header", True).option("compression", "gzip").csv(path)
+    return readers.read_survey_csv(spark, path, c.schema)
+
+
+@query("S03_parquet_sink", f"WITH {PANEL} SELECT user_id, {DAY}, v, lab FROM panel")
+def _(spark, sf):
+    path = scratch_table(spark, "panel")
+    writers.write_panel(fx.daily_panel(spark, sf).select("user_id", "date", "v", "lab"), path, entity="user_id")
+    return tidy(readers.read_table(spark, path))
+
+
+@query("S04_result_store", f"WITH {fx.EDGES} SELECT user_id, boot, cond, src, dst, weight, 'steps' AS definition FROM edges WHERE cond = 'stress'")
+def _(spark, sf):
+    path = scratch_table(spark, "edges")
+    writers.write_results(fx.edges(spark, sf), path, {"definition": "steps"}, ["cond"])
+    writers.write_results(fx.edges(spark, sf), path, {"definition": "other"}, ["cond"])
+    return writers.read_results(spark, path, definition="steps", cond="stress")
+
+
 @query("S05_panel_scan", "SELECT user_id, event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date FROM events")
 def _(spark, sf):
     return tidy(readers.read_panel(spark, f"{sf}/events.parquet", "ts", ["user_id", "event_id"]))

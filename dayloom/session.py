@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,20 +24,31 @@ def build(app: str = "dayloom", cores: int | str = "*", shuffle_partitions: int
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach, for checkpoints and tables in between.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session
-    without that setting falls back to a scratch folder; a cluster without it
-    is a configuration error, because executors must all see the files.
+    It is the session's ``spark.checkpoint.dir``. Only a local session without
+    that setting falls back to a scratch folder; a cluster without it is a
+    configuration error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    folder = folder or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="dayloom-checkpoint-")
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            shared = tempfile.mkdtemp(prefix="dayloom-checkpoint-")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so that it runs once."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
