@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from dayloom.functions import scalars as fn, tails
+from dayloom.functions import tails
 from dayloom.operators import panel, runs, sampling
 
 GRAPH = ["boot", "cond"]
@@ -100,22 +100,34 @@ def draw_samples(pool: DataFrame, *, min_rows: int, seed: str, entity: str, date
 def correlation_rows(
     samples: DataFrame, features: Sequence[str], *, sigma: float, seed: str, entity: str, date: str
 ) -> DataFrame:
-    """One row per graph: n, and flat correlation matrices with (``c``) and without (``w``) noise."""
+    """One row per graph: n, and flat correlation matrices with (``c``) and without (``w``) noise.
+
+    A graph's sample is at most the calendar times the features, so it travels
+    as one flat array and NumPy takes all pairs at once; hundreds of pairwise
+    aggregates would outgrow generated code. ``w`` is null without spread.
+    """
     noisy = [f"_e{i}" for i in range(len(features))]
     both = samples.withColumns({e: F.col(f) for e, f in zip(noisy, features)})
     both = sampling.add_noise(both, noisy, sigma, keys=[entity, date, "boot", "cond"], seed=seed)
+    flat = lambda cols: F.flatten(F.collect_list(F.array(*[F.col(c).cast("double") for c in cols])))
     p = len(features)
-    pairs = [(i, j) for i in range(p) for j in range(i + 1, p)]
-    corr = lambda cols, tag: [fn.correlation(cols[i], cols[j]).alias(f"{tag}_{i}_{j}") for i, j in pairs]
-    grouped = both.groupBy(entity, *GRAPH).agg(
-        F.count(F.lit(1)).alias("n"), *corr(noisy, "c"), *corr(list(features), "w")
-    )
 
-    def matrix(tag: str) -> Column:
-        cell = lambda i, j: F.lit(1.0) if i == j else F.col(f"{tag}_{min(i, j)}_{max(i, j)}")
-        return F.array(*[cell(i, j) for i in range(p) for j in range(p)])
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def matrix(values: pd.Series) -> pd.Series:
+        def one(v):
+            x = np.asarray(v, float).reshape(-1, p)
+            x = x - x.mean(0)
+            norm = np.sqrt((x * x).sum(0))
+            with np.errstate(all="ignore"):
+                return np.clip(x.T @ x / np.outer(norm, norm), -1, 1).ravel()
 
-    return grouped.select(entity, *GRAPH, "n", matrix("c").alias("c"), matrix("w").alias("w"))
+        return values.map(one)
+
+    grouped = both.groupBy(entity, *GRAPH).agg(
+        F.count(F.lit(1)).alias("n"), flat(noisy).alias("_c"), flat(features).alias("_w")
+    )
+    out = grouped.select(entity, *GRAPH, "n", matrix("_c").alias("c"), matrix("_w").alias("w"))
+    return out.withColumn("w", F.transform("w", lambda x: F.when(~F.isnan(x), x)))
 
 
 def distinct_gate(df: DataFrame, features: Sequence[str], k: int, *, entity: str) -> DataFrame:
