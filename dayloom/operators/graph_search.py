@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from dayloom.functions import tails
 from dayloom.operators import panel, runs, sampling
+from dayloom.session import cut_lineage
 
 GRAPH = ["boot", "cond"]
 
@@ -174,61 +175,73 @@ def skeleton(graphs: DataFrame, features: Sequence[str], *, max_cond: int = 2) -
     """
     p = len(features)
     at = lambda x, y: F.element_at("c", x * p + y + 1)
+    bound = F.col("limit") * F.col("limit")
+
+    def let(value: Column, body: Callable[[Column], Column]) -> Column:
+        """Evaluate ``value`` once and hand it to ``body``; lambdas share no subexpressions."""
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    def free1(r, t):
+        """Is the partial correlation given one variable within the limit? Squared, so no roots."""
+        gap = r - t.x * t.y
+        return gap * gap <= bound * (1 - t.x * t.x) * (1 - t.y * t.y)
+
+    def free2(r, t, u):
+        """The same given two variables, from the covariances left after the first."""
+        left = lambda g: F.struct(
+            (r - t.x * t.y).alias("xy"), (1 - t.x * t.x).alias("xx"), (1 - t.y * t.y).alias("yy"),
+            (u.x - t.x * g).alias("xw"), (u.y - t.y * g).alias("yw"), (1 - g * g).alias("ww"),
+        )
 
-    def partial1(x, y, z):
-        xz, yz = at(x, z), at(y, z)
-        return (at(x, y) - xz * yz) / F.sqrt(F.greatest((1 - xz * xz) * (1 - yz * yz), F.lit(1e-300)))
+        def within(m):
+            gap = m.xy * m.ww - m.xw * m.yw
+            return gap * gap <= bound * (m.xx * m.ww - m.xw * m.xw) * (m.yy * m.ww - m.yw * m.yw)
 
-    def partial2(x, y, z, w):
-        xy, xw, yw = partial1(x, y, z), partial1(x, w, z), partial1(y, w, z)
-        return (xy - xw * yw) / F.sqrt(F.greatest((1 - xw * xw) * (1 - yw * yw), F.lit(1e-300)))
+        return let(at(t.z, u.z), lambda g: let(left(g), within))
 
-    def neighbours(edges: str) -> Column:
-        return F.transform(
-            F.array(*[F.lit(i) for i in range(p)]),
-            lambda x: F.transform(
-                F.filter(edges, lambda e: (e.i == x) | (e.j == x)), lambda e: e.i + e.j - x
-            ),
-        )
+    neighbours = F.transform(
+        F.array(*[F.lit(i) for i in range(p)]),
+        lambda v: F.transform(F.filter("edges", lambda e: (e.i == v) | (e.j == v)), lambda e: e.i + e.j - v),
+    )
+
+    def side(e: Column, own: Column, far: Column) -> Column:
+        """The other neighbours of one end with their correlations to both ends."""
+        others = F.filter(F.element_at("_nb", own + 1), lambda z: z != far)
+        return F.transform(others, lambda z: F.struct(z.alias("z"), at(e.i, z).alias("x"), at(e.j, z).alias("y")))
 
-    def sides(e: Column) -> tuple[Column, Column]:
-        near = lambda a, b: F.filter(F.element_at("_nb", a + 1), lambda z: z != b)
-        return near(e.i, e.j), near(e.j, e.i)
+    def hits1(e: Column, ts: Column) -> Column:
+        return F.transform(F.filter(ts, lambda t: free1(e.r, t)), lambda t: F.array(t.z))
+
+    def hits2(e: Column, ts: Column) -> Column:
+        return F.flatten(F.transform(ts, lambda t, k: F.transform(
+            F.filter(F.slice(ts, k + 2, p), lambda u: free2(e.r, t, u)), lambda u: F.array(t.z, u.z)
+        )))
 
     def first_set(level: int, e: Column) -> Column:
-        independent = lambda r: F.abs(r) <= F.col("limit")
-        if level == 1:
-            hits = F.filter(F.concat(*sides(e)), lambda z: independent(partial1(e.i, e.j, z)))
-            return F.transform(F.slice(hits, 1, 1), lambda z: F.array(z))
-        duos = lambda l: F.flatten(
-            F.transform(l, lambda z, k: F.transform(F.slice(l, k + 2, p), lambda w: F.array(z, w)))
-        )
-        a, b = sides(e)
-        hits = F.filter(
-            F.concat(duos(a), duos(b)),
-            lambda s: independent(partial2(e.i, e.j, F.element_at(s, 1), F.element_at(s, 2))),
+        hits = hits1 if level == 1 else hits2
+        both = F.concat(
+            let(side(e, e.i, e.j), lambda ts: hits(e, ts)), let(side(e, e.j, e.i), lambda ts: hits(e, ts))
         )
-        return F.slice(hits, 1, 1)
+        return F.slice(both, 1, 1)
 
+    edge = lambda e, *more: F.struct(e.i.alias("i"), e.j.alias("j"), *more)
     pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(p) for j in range(i + 1, p)])
-    usable = lambda e: F.array_contains("usable", e.i) & F.array_contains("usable", e.j)
-    out = graphs.withColumn("edges", F.filter(pairs, lambda e: usable(e) & (F.abs(at(e.i, e.j)) > F.col("limit"))))
+    usable = F.filter(pairs, lambda e: F.array_contains("usable", e.i) & F.array_contains("usable", e.j))
+    valued = F.transform(usable, lambda e: edge(e, at(e.i, e.j).alias("r")))
+    out = graphs.withColumn("edges", F.filter(valued, lambda e: F.abs(e.r) > F.col("limit")))
     out = out.withColumn("cut", F.array().cast("array<struct<i:int,j:int,z:array<int>>>"))
     for level in range(1, max_cond + 1):
-        out = out.withColumn("_nb", neighbours("edges"))
+        out = out.withColumn("_nb", neighbours)
         out = out.withColumn(
             "_tried",
-            F.transform("edges", lambda e: F.struct(e.i.alias("i"), e.j.alias("j"), first_set(level, e).alias("s"))),
+            F.transform("edges", lambda e: edge(e, e.r.alias("r"), first_set(level, e).alias("s"))),
         )
         gone = F.transform(
-            F.filter("_tried", lambda e: F.size(e.s) > 0),
-            lambda e: F.struct(e.i.alias("i"), e.j.alias("j"), F.element_at(e.s, 1).alias("z")),
-        )
-        left = F.transform(
-            F.filter("_tried", lambda e: F.size(e.s) == 0), lambda e: F.struct(e.i.alias("i"), e.j.alias("j"))
+            F.filter("_tried", lambda e: F.size(e.s) > 0), lambda e: edge(e, F.element_at(e.s, 1).alias("z"))
         )
+        left = F.transform(F.filter("_tried", lambda e: F.size(e.s) == 0), lambda e: edge(e, e.r.alias("r")))
         out = out.withColumns({"cut": F.concat("cut", gone), "edges": left}).drop("_nb", "_tried")
-    return out
+    return out.withColumn("edges", F.transform("edges", lambda e: edge(e)))
 
 
 # ------------------------------------------------------------------- orientation
@@ -365,6 +378,9 @@ def graph_rows(
     rows = correlation_rows(samples, features, sigma=sigma, seed=seed, **keys)
     gated = rows.join(distinct_gate(df, features, min_distinct, entity=entity), entity)
     ready = spread(gated.withColumn("limit", critical_r(F.col("n"), alpha)), entity, *GRAPH)
+    # the matrices are what the whole pipeline cost so far: written once, the search and
+    # whatever reads its result start from them
+    ready = cut_lineage(ready)
     return directed(skeleton(ready, features, max_cond=max_cond), features)
 
 
