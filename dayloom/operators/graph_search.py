@@ -10,6 +10,7 @@ bounded by the number of features, not by the data.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -247,102 +248,99 @@ def skeleton(graphs: DataFrame, features: Sequence[str], *, max_cond: int = 2) -
 # ------------------------------------------------------------------- orientation
 
 
-def orient(p: int, edges: list[tuple[int, int]], cut: dict[tuple[int, int], set[int]]) -> list[tuple[int, int]]:
+def orient(edges: list[tuple[int, int]], cut: dict[tuple[int, int], set[int]]) -> list[tuple[int, int]]:
     """Direct one skeleton: colliders, propagation to a fixed point, acyclic extension.
 
-    ``go[x, y]`` says that x -> y is still possible; both ways means undirected.
+    ``to[x]`` holds every y with x -> y still possible; both ways means undirected.
     """
-    go = np.zeros((p, p), bool)
+    near: dict[int, set[int]] = {}
     for i, j in edges:
-        go[i, j] = go[j, i] = True
-    linked = go.copy()
-    for x in range(p):
-        for y in range(x + 1, p):
-            if linked[x, y]:
-                continue
-            for z in np.flatnonzero(linked[x] & linked[y]):
-                if z not in cut.get((x, y), ()):
-                    go[z, x] = go[z, y] = False
+        near.setdefault(i, set()).add(j)
+        near.setdefault(j, set()).add(i)
+    nodes = sorted(near)
+    to = {v: set(near[v]) for v in nodes}
+    for z in nodes:
+        for x, y in combinations(sorted(near[z]), 2):
+            if y not in near[x] and z not in cut.get((x, y), ()):
+                to[z] -= {x, y}
+
+    fixed = lambda x, y: y in to[x] and x not in to[y]
+    loose = lambda x: [y for y in sorted(to[x]) if x in to[y]]
     while True:
-        before = go.sum()
-        for x in range(p):
-            for y in range(p):
-                if x != y and not go[x, y]:  # x -> z - y without x -> y: z -> y
-                    go[y, (go[x] & ~go[:, x]) & (go[y] & go[:, y])] = False
-        for x, y in np.argwhere(go & go.T):  # x - y with a directed way round: x -> y
-            if go[x, y] and go[y, x]:
-                fixed = go & ~go.T
-                seen, todo = {x}, [x]
-                while todo:
-                    for k in np.flatnonzero(fixed[todo.pop()]):
-                        if k not in seen:
-                            seen.add(k)
-                            todo.append(k)
-                if y in seen:
-                    go[y, x] = False
-        for x in range(p):
-            for y in range(x + 1, p):  # x - z - y, x -> w <- y, z - w: z -> w
-                for z in np.flatnonzero(go[x] & go[:, x] & go[y] & go[:, y]):
-                    w = (go[x] & ~go[:, x]) & (go[y] & ~go[:, y]) & go[z] & go[:, z]
-                    go[w, z] = False
-        if go.sum() == before:
-            break
-    return _extend(go)
-
-
-def _extend(go: np.ndarray) -> list[tuple[int, int]]:
+        before = sum(map(len, to.values()))
+        for z in nodes:  # x -> z - y without x -> y: z -> y
+            heads = [x for x in nodes if fixed(x, z)]
+            for y in loose(z):
+                if any(x != y and y not in to[x] for x in heads):
+                    to[y].discard(z)
+        for x in nodes:  # x - y with a directed way round: x -> y
+            for y in loose(x):
+                if _reaches({(u, v) for u in nodes for v in to[u] if u not in to[v]}, x, y):
+                    to[y].discard(x)
+        for z in nodes:  # x - z - y, x -> w <- y, z - w: z -> w
+            around = loose(z)
+            for w in around:
+                if sum(fixed(x, w) for x in around if x != w) >= 2:
+                    to[w].discard(z)
+        if sum(map(len, to.values())) == before:
+            return _extend(nodes, to)
+
+
+def _extend(nodes: list[int], to: dict[int, set[int]]) -> list[tuple[int, int]]:
     """Acyclic extension: take sinks off one by one, pointing what is undirected at them."""
-    arcs = {(int(x), int(y)) for x, y in np.argwhere(go & ~go.T)}
-    rest = go.copy()
-    alive = [int(v) for v in range(len(go)) if go[v].any() or go[:, v].any()]
+    arcs = {(x, y) for x in nodes for y in to[x] if x not in to[y]}
+    rest = {v: set(to[v]) for v in nodes}
+    alive = list(nodes)
     while alive:
         for v in alive:
-            open_ = rest[v] & rest[:, v]
-            if (rest[v] & ~rest[:, v]).any():
+            into = {x for x in alive if v in rest[x]}
+            if rest[v] - into:
                 continue
-            around = np.flatnonzero(rest[:, v])
-            if all(rest[y, z] for y in np.flatnonzero(open_) for z in around if y != z):
-                arcs |= {(int(y), v) for y in around}
-                rest[v, :] = rest[:, v] = False
+            if all(z in rest[y] for y in rest[v] for z in into if y != z):
+                arcs |= {(y, v) for y in into}
+                for x in into:
+                    rest[x].discard(v)
                 alive.remove(v)
                 break
         else:  # no acyclic extension keeps all colliders: point the rest one way without a cycle
-            for x, y in np.argwhere(rest):
-                x, y = int(x), int(y)
-                if (y, x) not in arcs and not _reaches(arcs, y, x):
-                    arcs.add((x, y))
+            for x in alive:
+                for y in sorted(rest[x]):
+                    if (y, x) not in arcs and not _reaches(arcs, y, x):
+                        arcs.add((x, y))
             break
     return sorted(arcs)
 
 
 def _reaches(arcs: set[tuple[int, int]], start: int, goal: int) -> bool:
+    out: dict[int, list[int]] = {}
+    for a, b in arcs:
+        out.setdefault(a, []).append(b)
     seen, todo = {start}, [start]
     while todo:
         v = todo.pop()
         if v == goal:
             return True
-        for a, b in arcs:
-            if a == v and b not in seen:
-                seen.add(b)
-                todo.append(b)
+        for u in out.get(v, ()):
+            if u not in seen:
+                seen.add(u)
+                todo.append(u)
     return False
 
 
 ARCS = ArrayType(StructType([StructField("src", IntegerType()), StructField("dst", IntegerType())]))
 
 
-def directed(skeletons: DataFrame, features: Sequence[str]) -> DataFrame:
+def directed(skeletons: DataFrame) -> DataFrame:
     """Add ``arcs``: the directed edges of each row's graph, by feature position.
 
     A batch-wise map rather than a column function: the optimizer would
     otherwise inline the whole search into the function's arguments.
     """
-    p = len(features)
     schema = StructType([*skeletons.schema.fields, StructField("arcs", ARCS)])
 
     def one(es, cs):
         sets = {(c["i"], c["j"]): set(map(int, c["z"])) for c in cs}
-        return [{"src": a, "dst": b} for a, b in orient(p, [(e["i"], e["j"]) for e in es], sets)]
+        return [{"src": a, "dst": b} for a, b in orient([(int(e["i"]), int(e["j"])) for e in es], sets)]
 
     def add(batches):
         for pdf in batches:
@@ -381,7 +379,7 @@ def graph_rows(
     # the matrices are what the whole pipeline cost so far: written once, the search and
     # whatever reads its result start from them
     ready = cut_lineage(ready)
-    return directed(skeleton(ready, features, max_cond=max_cond), features)
+    return directed(skeleton(ready, features, max_cond=max_cond))
 
 
 def discover(

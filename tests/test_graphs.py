@@ -69,7 +69,7 @@ def test_skeletons_equal_a_direct_search(spark):
 
 
 def arcs_of(spark, x, names):
-    out = gs.directed(gs.skeleton(matrix_rows(spark, [x]), names), names).first()
+    out = gs.directed(gs.skeleton(matrix_rows(spark, [x]), names)).first()
     return {(names[a["src"]], names[a["dst"]]) for a in out["arcs"]}
 
 
@@ -109,7 +109,7 @@ def test_orientation_is_acyclic_and_adds_nothing():
         pairs = [(i, j) for i in range(p) for j in range(i + 1, p) if rng.uniform() < 0.5]
         cut = {(i, j): {int(k) for k in range(p) if k not in (i, j) and rng.uniform() < 0.4}
                for i in range(p) for j in range(i + 1, p) if (i, j) not in pairs}
-        arcs = gs.orient(p, pairs, cut)
+        arcs = gs.orient(pairs, cut)
         assert {(min(a), max(a)) for a in arcs} <= set(pairs)
         assert len({frozenset(a) for a in arcs}) == len(arcs)
 
@@ -117,14 +117,14 @@ def test_orientation_is_acyclic_and_adds_nothing():
 def test_extension_orients_a_tree_without_new_colliders():
     pairs = [(0, 1), (1, 2), (2, 3)]
     cut = {(0, 2): {1}, (0, 3): {1}, (1, 3): {2}}
-    arcs = gs.orient(4, pairs, cut)
+    arcs = gs.orient(pairs, cut)
     heads = [b for _, b in arcs]
     assert len(arcs) == 3 and len(set(heads)) == 3 and acyclic(4, arcs)
 
 
 def test_propagation_away_from_a_collider():
     # 0 -> 2 <- 1 and 2 - 3: the last edge must leave node 2
-    arcs = gs.orient(4, [(0, 2), (1, 2), (2, 3)], {(0, 1): set(), (0, 3): {2}, (1, 3): {2}})
+    arcs = gs.orient([(0, 2), (1, 2), (2, 3)], {(0, 1): set(), (0, 3): {2}, (1, 3): {2}})
     assert set(arcs) == {(0, 2), (1, 2), (2, 3)}
 
 
