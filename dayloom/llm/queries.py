@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dayloom.llm import byte_pairs
+from dayloom.llm import byte_pairs, packing
 from dayloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,9 @@ def query(name: str, sql: str | None = None):
 def op6_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text."""
     return byte_pairs.digest_texts(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+@query("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack every document into sequences of 4096 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2, limit=4096)
