@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dayloom.llm import byte_pairs, packing
+from dayloom.llm import byte_pairs, licence_scan, packing
 from dayloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,9 @@ def op6_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack every document into sequences of 4096 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2, limit=4096)
+
+
+@query("op10_licence_digests", licence_scan.oracle())
+def op10_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every whole text and notices on its lines, by canonical digest."""
+    return licence_scan.scan(table(spark, sf_dir, "documents"))
