@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dayloom.llm import byte_pairs, licence_scan, packing
+from dayloom.llm import byte_pairs, licence_scan, maxscore, packing
 from dayloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence of every whole text and notices on its lines, by canonical digest."""
     return licence_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op3_maxscore")
+def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five highest integer inner products of every fiftieth vector among all."""
+    return maxscore.search(table(spark, sf_dir, "embeddings"), F.col("_id") % 50 == 0, k=5)
+
+
