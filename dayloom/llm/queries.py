@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dayloom.llm import byte_pairs, licence_scan, maxscore, packing
+from dayloom.llm import byte_pairs, licence_scan, maxscore, packing, quantised
 from dayloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,7 @@ def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.search(table(spark, sf_dir, "embeddings"), F.col("_id") % 50 == 0, k=5)
 
 
+@query("op8_quantised_neighbours")
+def op8_quantised_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest of every hundredth vector among all."""
+    return quantised.nearest(table(spark, sf_dir, "embeddings"), F.col("_id") % 100 == 0, k=10)
