@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dayloom.llm import byte_pairs, licence_scan, maxscore, packing, quantised
+from dayloom.llm import byte_pairs, licence_scan, maxscore, packing, quantised, toxicity
 from dayloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,11 @@ def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quantised_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest of every hundredth vector among all."""
     return quantised.nearest(table(spark, sf_dir, "embeddings"), F.col("_id") % 100 == 0, k=10)
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~toxicity.held_out()))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
