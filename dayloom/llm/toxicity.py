@@ -21,12 +21,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 #: Bounds of the training sample: rows of either label, and characters in all.
 TOXIC_ROWS, CLEAN_ROWS, CHARACTERS = 3000, 6000, 24_000_000
 #: Hashed features, the least number of training documents a feature must be in.
-FEATURES, LEAST_DOCS = 1 << 18, 4
+FEATURES, LEAST_DOCS = 1 << 18, 3
 #: A sentence ends at these marks, or after this many words.
 TOKENS, LONGEST = re.compile(r"\w+|[.!?\n]+"), 40
 #: Beginnings of words that are features.
 BEGINNINGS = (4, 5)
-STEPS, RATE, DECAY = 120, 0.15, 2e-4
+#: A feature's weight is never negative, and it has one only if its share of the toxic
+#: training documents is this many times its share of the clean ones.
+RATIO = 3.0
+STEPS, RATE, SPARSE = 200, 0.2, 4e-5
 REMEMBERED = 1 << 19
 
 
@@ -106,7 +109,8 @@ class Model:
 
 
 def fit(bags: list[list[np.ndarray]], labels: np.ndarray, weights: np.ndarray) -> Model:
-    """Gradient steps (Adam) on the weighted log-likelihood of the noisy-or."""
+    """Gradient steps (Adam) on the weighted log-likelihood of the noisy-or, with an L1
+    penalty and weights of zero or more: words can accuse a sentence, none can excuse it."""
     toxic = float(weights[labels == 1].sum() / weights.sum()) if len(labels) else 0.0
     sizes = np.array([max(1, len(b)) for b in bags] or [1])
     share = min(max(toxic, 1e-3), 0.999)
@@ -119,8 +123,11 @@ def fit(bags: list[list[np.ndarray]], labels: np.ndarray, weights: np.ndarray) -
     at, of = np.concatenate(flat), np.repeat(np.arange(len(flat)), lengths)
     doc = np.repeat(np.arange(len(bags)), sizes)
     pairs = np.unique(doc[of].astype(np.int64) * FEATURES + at)
-    often = np.bincount(pairs % FEATURES, minlength=FEATURES) >= LEAST_DOCS
-    keep = often[at]
+    by_label = [
+        np.bincount(pairs[labels[pairs // FEATURES] == x] % FEATURES, minlength=FEATURES) for x in (0, 1)
+    ]
+    clean, accused = ((n + 0.5) / ((labels == x).sum() + 1) for x, n in enumerate(by_label))
+    keep = ((by_label[1] >= LEAST_DOCS) & (accused >= RATIO * clean))[at]
     at, of = at[keep], of[keep]
     names, at = np.unique(at, return_inverse=True)
     w = np.zeros(len(names))
@@ -132,13 +139,13 @@ def fit(bags: list[list[np.ndarray]], labels: np.ndarray, weights: np.ndarray) -
         chance = -np.expm1(-np.bincount(doc, weights=np.logaddexp(0, z), minlength=len(bags)))
         chance = np.clip(chance, 1e-9, 1)[doc]
         g = np.where(positive, -p * (1 - chance) / chance, p) * weights[doc] / weights.sum()
-        grad = np.append(np.bincount(at, weights=g[of], minlength=len(names)) + DECAY * w / len(names) ** 0.5, g.sum())
+        grad = np.append(np.bincount(at, weights=g[of], minlength=len(names)) + SPARSE, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-        w -= move[:-1]
+        w = np.maximum(w - move[:-1], 0)
         bias -= move[-1]
     full = np.zeros(FEATURES, np.float32)
-    full[names] = np.where(np.abs(w) < 0.02, 0, w)
+    full[names] = w
     return Model(full, float(bias))
 
 
