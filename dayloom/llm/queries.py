@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dayloom.llm import byte_pairs, html_main, licence_scan, maxscore, packing, quantised, toxicity
+from dayloom.llm import byte_pairs, html_main, licence_scan, maxscore, packing, quantised, secret_scan, toxicity
 from dayloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op7_secrets")
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every key-like run of every document."""
+    return secret_scan.scan(table(spark, sf_dir, "documents")).drop("row")
