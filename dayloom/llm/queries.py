@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dayloom.llm import byte_pairs, html_main, licence_scan, maxscore, packing, quantised, secret_scan, toxicity
+from dayloom.llm import (
+    byte_pairs, html_main, jaccard_join, licence_scan, maxscore, packing, quantised, secret_scan, toxicity,
+)
 from dayloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +78,9 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every key-like run of every document."""
     return secret_scan.scan(table(spark, sf_dir, "documents")).drop("row")
+
+
+@query("op2_jaccard_join")
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by 0.8 of their five-word shingles."""
+    return jaccard_join.join(table(spark, sf_dir, "documents"), n=5, percent=80)[0]
