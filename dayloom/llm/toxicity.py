@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from dayloom.llm.common import saved
+
 #: Bounds of the training sample: rows of either label, and characters in all.
 TOXIC_ROWS, CLEAN_ROWS, CHARACTERS = 3000, 6000, 24_000_000
 #: Hashed features, the least number of training documents a feature must be in.
@@ -108,35 +110,28 @@ class Model:
         return float(-np.expm1(-np.logaddexp(0, z).sum()))
 
 
-def fit(bags: list[list[np.ndarray]], labels: np.ndarray, weights: np.ndarray) -> Model:
+def fit(sizes: np.ndarray, at: np.ndarray, of: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> Model:
     """Gradient steps (Adam) on the weighted log-likelihood of the noisy-or, with an L1
-    penalty and weights of zero or more: words can accuse a sentence, none can excuse it."""
+    penalty and weights of zero or more: words can accuse a sentence, none can excuse it.
+
+    ``sizes`` has the sentences of every document; feature ``at[i]`` is in sentence
+    ``of[i]``, counted through all documents.
+    """
     toxic = float(weights[labels == 1].sum() / weights.sum()) if len(labels) else 0.0
-    sizes = np.array([max(1, len(b)) for b in bags] or [1])
     share = min(max(toxic, 1e-3), 0.999)
-    bias = float(np.log(np.expm1(-np.log1p(-share) / sizes.mean())))
-    w = np.zeros(FEATURES)
+    bias = float(np.log(np.expm1(-np.log1p(-share) / (sizes.mean() if len(sizes) else 1))))
+    full = np.zeros(FEATURES, np.float32)
     if len(set(labels.tolist())) < 2:
-        return Model(w.astype(np.float32), bias)
-    flat = [s for b in bags for s in (b or [np.empty(0, np.int64)])]
-    lengths = np.array([len(s) for s in flat])
-    at, of = np.concatenate(flat), np.repeat(np.arange(len(flat)), lengths)
-    doc = np.repeat(np.arange(len(bags)), sizes)
-    pairs = np.unique(doc[of].astype(np.int64) * FEATURES + at)
-    by_label = [
-        np.bincount(pairs[labels[pairs // FEATURES] == x] % FEATURES, minlength=FEATURES) for x in (0, 1)
-    ]
-    clean, accused = ((n + 0.5) / ((labels == x).sum() + 1) for x, n in enumerate(by_label))
-    keep = ((by_label[1] >= LEAST_DOCS) & (accused >= RATIO * clean))[at]
-    at, of = at[keep], of[keep]
+        return Model(full, bias)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
     names, at = np.unique(at, return_inverse=True)
     w = np.zeros(len(names))
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     positive = labels[doc] == 1
     for step in range(1, STEPS + 1):
-        z = np.clip(bias + np.bincount(of, weights=w[at], minlength=len(flat)), -30, 30)
+        z = np.clip(bias + np.bincount(of, weights=w[at], minlength=len(doc)), -30, 30)
         p = 1 / (1 + np.exp(-z))
-        chance = -np.expm1(-np.bincount(doc, weights=np.logaddexp(0, z), minlength=len(bags)))
+        chance = -np.expm1(-np.bincount(doc, weights=np.logaddexp(0, z), minlength=len(sizes)))
         chance = np.clip(chance, 1e-9, 1)[doc]
         g = np.where(positive, -p * (1 - chance) / chance, p) * weights[doc] / weights.sum()
         grad = np.append(np.bincount(at, weights=g[of], minlength=len(names)) + SPARSE, g.sum())
@@ -144,7 +139,6 @@ def fit(bags: list[list[np.ndarray]], labels: np.ndarray, weights: np.ndarray) -
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w = np.maximum(w - move[:-1], 0)
         bias -= move[-1]
-    full = np.zeros(FEATURES, np.float32)
     full[names] = w
     return Model(full, float(bias))
 
@@ -152,9 +146,9 @@ def fit(bags: list[list[np.ndarray]], labels: np.ndarray, weights: np.ndarray) -
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fits the model on a bounded sample of ``labels`` joined with ``docs``.
 
-    The sample holds at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` rows, first by md5 of the
-    key, and ``CHARACTERS`` characters. Its size is fixed, so it is broadcast to the
-    texts and its features fit the driver. Clean rows are weighted back to their share
+    The sample holds at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` keys, first by md5, and
+    about ``CHARACTERS`` characters. Its size is fixed, so its keys are broadcast to the
+    texts; only features that lean to the toxic side come to the driver. Clean rows are weighted back to their share
     of all labels. Null keys and labels are left out; a key with several labels is
     toxic if one says so; without both labels the scores are one constant.
     """
@@ -175,27 +169,51 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         F.broadcast(drawn), "_key"
     )
 
+    def drawn_features(batches):
+        for b in batches:
+            rows = [sorted({i for _, _, words in sentences(t) for w in words for i in features(w)}) for t in b["_text"]]
+            yield pd.DataFrame({"_features": rows}).assign(**{c: b[c].to_numpy() for c in ("_label", "_order")}, _chars=b["_text"].str.len())
+
+    so_far = F.sum("_chars").over(Window.orderBy("_order").rowsBetween(Window.unboundedPreceding, 0))  # a bounded table
+    sample = saved(
+        found.mapInPandas(drawn_features, "_features array<int>, _label int, _order string, _chars long"), "sample"
+    )
+    last = sample.select("_order", so_far.alias("_sum")).filter(F.col("_sum") <= CHARACTERS).agg(F.max("_order")).first()[0]
+    sample = sample.filter(F.col("_order") <= F.lit(last or ""))
+    n = {r[0]: r[1] for r in sample.groupBy("_label").count().collect()}
+    often = sample.select(F.explode("_features").alias("_feature"), "_label").groupBy("_feature").agg(
+        F.sum(F.col("_label")).alias("_toxic"), F.sum(1 - F.col("_label")).alias("_clean")
+    )
+    accused = (F.col("_toxic") + 0.5) / (n.get(1, 0) + 1) >= RATIO * (F.col("_clean") + 0.5) / (n.get(0, 0) + 1)
+    # at most FEATURES numbers
+    kept = frozenset(r[0] for r in often.filter((F.col("_toxic") >= LEAST_DOCS) & accused).select("_feature").collect())
+
     def bags(batches):
         for b in batches:
             rows = []
             for t in b["_text"]:
-                groups = [[i for w in words for i in features(w)] for _, _, words in sentences(t)]
-                rows.append((
-                    np.array([i for g in groups for i in g], np.int32), np.array([len(g) for g in groups], np.int32),
-                ))
-            out = pd.DataFrame(rows, columns=["_features", "_lengths"])
-            yield out.assign(_label=b["_label"].to_numpy(), _order=b["_order"].to_numpy(), _chars=b["_text"].str.len().to_numpy())
-
-    sample = found.mapInPandas(
-        bags, "_features array<int>, _lengths array<int>, _label int, _order string, _chars long"
-    )
-    so_far = F.sum("_chars").over(Window.orderBy("_order").rowsBetween(Window.unboundedPreceding, 0))  # a bounded table
-    rows = sample.withColumn("_sum", so_far).filter(F.col("_sum") <= CHARACTERS).toPandas()
-    rows = rows.sort_values(["_order", "_chars"], kind="stable")
-    y = rows["_label"].to_numpy()
+                size, at, of = 0, [], []
+                for _, _, words in sentences(t):
+                    new = [i for w in words for i in features(w) if i in kept]
+                    at += new
+                    of += [size] * len(new)
+                    size += 1
+                rows.append((max(1, size), np.array(at, np.int32), np.array(of, np.int32)))
+            out = pd.DataFrame(rows, columns=["_size", "_at", "_of"])
+            yield out.assign(_label=b["_label"].to_numpy(), _order=b["_order"].to_numpy())
+
+    rows = (
+        found.filter(F.col("_order") <= F.lit(last or ""))
+        .mapInPandas(bags, "_size int, _at array<int>, _of array<int>, _label int, _order string").toPandas()
+        .sort_values(["_order", "_size"], kind="stable")
+    )
+    y, sizes = rows["_label"].to_numpy(np.int64), rows["_size"].to_numpy(np.int64)
     ratio = {x: totals.get(x, 0) / max(1, int((y == x).sum())) for x in (0, 1)}
-    cut = [np.split(np.asarray(f), np.cumsum(n)[:-1]) if len(n) else [] for f, n in zip(rows["_features"], rows["_lengths"])]
-    return fit(cut, y, np.array([ratio[x] for x in y]))
+    before = np.cumsum(np.r_[0, sizes])[:-1]
+    none = [np.empty(0, np.int64)]
+    at = np.concatenate([*map(np.asarray, rows["_at"]), *none]).astype(np.int64)
+    of = np.concatenate([*(np.asarray(o, np.int64) + start for o, start in zip(rows["_of"], before)), *none])
+    return fit(sizes, at, of.astype(np.int64), y, np.array([ratio[x] for x in y], float))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
