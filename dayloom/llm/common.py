@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from dayloom.session import scratch_table, shared_folder
@@ -23,4 +25,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["partitions", "saved", "scratch_table", "shared_folder", "table"]
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hash of every word; hashing again is cheaper than looking words up."""
+    digest = xxhash.xxh3_64_digest
+    return np.frombuffer(b"".join([digest(w) for w in words]), np.uint64)
+
+
+__all__ = ["partitions", "saved", "scratch_table", "shared_folder", "table", "word_hashes"]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dayloom.llm import (
-    byte_pairs, html_main, jaccard_join, licence_scan, maxscore, packing, quantised, secret_scan, toxicity,
+    byte_pairs, html_main, jaccard_join, language_model, licence_scan, maxscore, packing, quantised, secret_scan, toxicity,
 )
 from dayloom.llm.common import table
 
@@ -83,4 +83,12 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_jaccard_join")
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked by 0.8 of their five-word shingles."""
-    return jaccard_join.join(table(spark, sf_dir, "documents"), n=5, percent=80)[0]
+    return jaccard_join.join(table(spark, sf_dir, "documents"), n=5, percent=80)[0].drop("_row")
+
+
+@query("op5_attention_scores")
+def op5_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every text under the attention model, beside the base counts."""
+    docs = table(spark, sf_dir, "documents")
+    scores = language_model.score(docs, ~language_model.held_out(), BYTE_BPE)
+    return scores.select("doc_id", language_model.held_out().alias("held_out"), *scores.columns[1:])
