@@ -167,11 +167,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "
 
 
 def redact(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source", mark: str = "[SECRET]"
-) -> DataFrame:
+    docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source", length: str = "n_chars",
+    mark: str = "[SECRET]",
+) -> DataFrame:
     """``docs`` with every confirmed secret replaced by ``mark``; same rows and columns.
 
-    Only texts with secrets change. Their values are gathered per text (a handful of runs
+    Only texts with secrets change, and so does their ``length`` column if there is one. Their values are gathered per text (a handful of runs
     that the text itself holds) and replaced between its other pieces.
     """
     verdict = scan(docs, key, text, path).filter("secret")
@@ -183,9 +184,9 @@ def redact(
         F.arrays_zip(pieces.alias("p"), F.concat(shown, F.array(F.lit(""))).alias("v")),
         lambda z: F.array(z["p"], z["v"]),
     )), "")
-    return (
-        docs.withColumn("_row", F.xxhash64(text))
-        .join(values, "_row", "left")
-        .withColumn(text, F.when(F.col("_secrets").isNull(), F.col(text)).otherwise(joined))
-        .select(*docs.columns)
-    )
+    masked = docs.withColumn("_row", F.xxhash64(text)).join(values, "_row", "left")
+    masked = masked.withColumn(text, F.when(F.col("_secrets").isNull(), F.col(text)).otherwise(joined))
+    if length in docs.columns:
+        counted = F.length(text).cast(dict(docs.dtypes)[length])
+        masked = masked.withColumn(length, F.when(F.col("_secrets").isNull(), F.col(length)).otherwise(counted))
+    return masked.select(*docs.columns)
