@@ -86,56 +86,63 @@ def chi2_tail(x: np.ndarray, dof: np.ndarray) -> np.ndarray:
     return np.where(z <= 0, 1.0, np.clip(out, 0, 1))
 
 
-def ks_two_sided(d: float, m: int, n: int) -> float:
+def ks_two_sided(d: float, m: int, n: int, method: str = "exact") -> float:
     """P(D >= d) for two samples of sizes m and n.
 
-    Exact up to 10,000 points a side by counting lattice paths that stay inside
-    the band, as shares of all paths; the asymptotic series beyond.
+    ``exact`` counts lattice paths that stay inside the band, as shares of all
+    paths; ``series`` is the asymptotic one. The caller chooses, the sizes never do.
     """
-    if max(m, n) > 10_000:
+    if method == "series":
         z = d * math.sqrt(m * n / (m + n))
         if z < 0.2:
             return 1.0
         return min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * z * z) for k in range(1, 101)))
-    if m == n:
-        h = round(d * n)
-        if h == 0:
-            return 1.0
-        p, k = 0.0, 1
-        while k * h <= n:
-            # C(2n, n-kh) / C(2n, n) as a running product
-            ratio = 1.0
-            for i in range(k * h):
-                ratio *= (n - i) / (n + i + 1)
-            p += (-1) ** (k - 1) * ratio
-            k += 1
-        return min(1.0, max(0.0, 2 * p))
+    if method != "exact":
+        raise ValueError(f"unknown method {method}")
+    return _ks_equal(round(d * n), n) if m == n else _ks_paths(d, m, n)
+
+
+def _ks_equal(h: int, n: int) -> float:
+    """Equal sizes: alternating sum of C(2n, n - kh) / C(2n, n), reflections at the band."""
+    if h == 0:
+        return 1.0
+    p, ratio, at = 0.0, 1.0, 0
+    for k in range(1, n // h + 1):
+        steps = np.arange(at, k * h)
+        ratio *= float(np.prod((n - steps) / (n + steps + 1)))
+        at = k * h
+        p += (-1) ** (k - 1) * ratio
+        if ratio < 1e-18:
+            break
+    return min(1.0, max(0.0, 2 * p))
+
+
+def _ks_paths(d: float, m: int, n: int) -> float:
+    """Unequal sizes: walks the anti-diagonals i + j, each one vector over the band.
+
+    ``inside[i]`` is the chance that a random path is at (i, step - i) and has
+    not left the band; a step draws from what is left of either sample.
+    """
     lcm = m * n // math.gcd(m, n)
     limit = round(d * lcm)
     if limit == 0:
         return 1.0
-    # share[j] = probability that a random path reaches (i, j) without leaving the band
-    js = np.arange(n + 1)
-    share = np.zeros(n + 1)
-    for i in range(m + 1):
-        inside = np.abs(i * (lcm // m) - js * (lcm // n)) < limit
-        new = np.zeros(n + 1)
-        left = m + n - i - js
-        for j in range(n + 1):
-            if not inside[j]:
-                continue
-            if i == 0 and j == 0:
-                new[j] = 1.0
-                continue
-            got = 0.0
-            if i > 0:  # step in i from (i-1, j)
-                got += share[j] * (m - i + 1) / (left[j] + 1)
-            if j > 0:  # step in j from (i, j-1)
-                got += new[j - 1] * (n - j + 1) / (left[j] + 1)
-            new[j] = got
-        share = new
-    return float(min(1.0, max(0.0, 1 - share[n])))
-
+    a, b = lcm // m, lcm // n
+    inside, low = np.ones(1), 0  # i from low on
+    for step in range(1, m + n + 1):
+        # |i a - (step - i) b| < limit, 0 <= i <= m, 0 <= step - i <= n
+        lo = max(0, step - n, (step * b - limit) // (a + b) + 1)
+        hi = min(m, step, -((-step * b - limit) // (a + b)) - 1)
+        if lo > hi:
+            return 1.0
+        i = np.arange(lo, hi + 1)
+        old = np.zeros(hi - lo + 2)  # places lo - 1 .. hi of the diagonal before
+        from_, upto = max(low, lo - 1), min(low + len(inside) - 1, hi)
+        if from_ <= upto:
+            old[from_ - lo + 1 : upto - lo + 2] = inside[from_ - low : upto - low + 1]
+        inside = (old[:-1] * (m - i + 1) + old[1:] * (n - step + i + 1)) / (m + n - step + 1)
+        low = lo
+    return float(min(1.0, max(0.0, 1 - inside[-1])))
 
 
 @F.pandas_udf(DoubleType())

@@ -33,8 +33,16 @@ def fit_predict(
     data: DataFrame, features: Sequence[str], *, target: str = "target", trees: int = 100,
     depth: int = 5, rate: float = 0.3, seed: int = 7,
 ) -> DataFrame:
-    """Train on ``part = 'train'`` and return the test rows with ``prediction``."""
-    rows = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(data)
+    """Train on ``part = 'train'`` and return the test rows with ``prediction``.
+
+    No row is left out: a missing feature is 0 with a flag of its own beside it.
+    """
+    gap = lambda f: F.col(f).isNull() | F.isnan(F.col(f).cast("double"))
+    known = {f"_known_{f}": F.when(gap(f), 0.0).otherwise(F.col(f).cast("double")) for f in features}
+    gaps = {f"_gap_{f}": gap(f).cast("double") for f in features}
+    columns = [*known, *gaps]
+    rows = data.withColumns({**known, **gaps})
+    rows = VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="error").transform(rows).drop(*columns)
     model = GBTClassifier(
         featuresCol="_x", labelCol=target, predictionCol="prediction", maxIter=trees, maxDepth=depth,
         stepSize=rate, seed=seed,

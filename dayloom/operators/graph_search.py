@@ -263,6 +263,11 @@ def orient(edges: list[tuple[int, int]], cut: dict[tuple[int, int], set[int]]) -
         for x, y in combinations(sorted(near[z]), 2):
             if y not in near[x] and z not in cut.get((x, y), ()):
                 to[z] -= {x, y}
+    for x in nodes:  # colliders that point one edge both ways leave it undirected
+        for z in near[x]:
+            if z not in to[x] and x not in to[z]:
+                to[x].add(z)
+                to[z].add(x)
 
     fixed = lambda x, y: y in to[x] and x not in to[y]
     loose = lambda x: [y for y in sorted(to[x]) if x in to[y]]
@@ -307,6 +312,8 @@ def _extend(nodes: list[int], to: dict[int, set[int]]) -> list[tuple[int, int]]:
                 for y in sorted(rest[x]):
                     if (y, x) not in arcs and not _reaches(arcs, y, x):
                         arcs.add((x, y))
+            # between nodes that are on a directed cycle already, either way closes one
+            arcs |= {(x, y) for x in alive for y in rest[x] if x < y and not {(x, y), (y, x)} & arcs}
             break
     return sorted(arcs)
 

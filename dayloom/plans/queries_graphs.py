@@ -270,9 +270,9 @@ def _summary(spark, sf):
     return gt.edge_summary(c, who, entity="user_id", boots=3)
 
 
-@query("C08_edge_shares", f"WITH {SUMMARY} SELECT user_id, lo, hi, {r6s('percent_added', 'percent_removed')} FROM summ WHERE percent_added > 0 OR percent_removed > 0")
+@query("C08_edge_shares", f"WITH {SUMMARY} SELECT user_id, lo, hi, {r6s('percent_added', 'percent_removed')} FROM summ")
 def _(spark, sf):
-    return tidy(_summary(spark, sf).where("percent_added > 0 or percent_removed > 0"))
+    return tidy(_summary(spark, sf).select("user_id", "lo", "hi", "percent_added", "percent_removed"))
 
 
 @query("C09_edge_summary", f"WITH {SUMMARY} SELECT user_id, lo, hi, {r6s('percent_added', 'percent_removed')} FROM summ")

@@ -61,10 +61,10 @@ def _(spark, sf):
     return tidy(classify.scores(_labelled(spark, sf), "quality", "toxic", ["source"]))
 
 
-@query("M05_metric_table", "SELECT * FROM (UNPIVOT (" + _scores_sql("source", "labels JOIN documents USING (doc_id)") + ") ON accuracy, precision, recall, f1, roc_auc INTO NAME metric VALUE value)")
+@query("M05_metric_table", "SELECT * FROM (" + _scores_sql("source", "labels JOIN documents USING (doc_id)") + ") UNPIVOT INCLUDE NULLS (value FOR metric IN (accuracy, precision, recall, f1, roc_auc))")
 def _(spark, sf):
     s = classify.scores(_labelled(spark, sf), "quality", "toxic", ["source"])
-    return tidy(classify.metric_table(s, ["source"]).where("value is not null"))
+    return tidy(classify.metric_table(s, ["source"]))
 
 
 @query("M05_targets")

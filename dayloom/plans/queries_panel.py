@@ -175,12 +175,11 @@ def _(spark, sf):
 
 @query("W15_rolling_mmd_rbf", WF + f""", {sk.interpolate('filled', 'i', ['v'])}, z AS (SELECT user_id, date, v / 100 AS v FROM i),
   r AS (SELECT *, list(v) OVER ({sk.W} ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS l FROM z),
-  h AS (SELECT user_id, date, l[1:3] AS a, l[4:6] AS b FROM r WHERE len(l) = 6 AND list_count(l) = 6)
-  SELECT user_id, {DAY}, {r6("(SELECT avg(exp(-1 * (x - y) * (x - y))) FROM (SELECT unnest(a) AS x) JOIN (SELECT unnest(a) AS y) ON true) + (SELECT avg(exp(-1 * (x - y) * (x - y))) FROM (SELECT unnest(b) AS x) JOIN (SELECT unnest(b) AS y) ON true) - 2 * (SELECT avg(exp(-1 * (x - y) * (x - y))) FROM (SELECT unnest(a) AS x) JOIN (SELECT unnest(b) AS y) ON true)", 'v_MMD')} FROM h""")
+  h AS (SELECT user_id, date, l[1:3] AS a, l[4:6] AS b, len(l) = 6 AND list_count(l) = 6 AS whole FROM r)
+  SELECT user_id, {DAY}, {r6("CASE WHEN whole THEN (SELECT avg(exp(-1 * (x - y) * (x - y))) FROM (SELECT unnest(a) AS x) JOIN (SELECT unnest(a) AS y) ON true) + (SELECT avg(exp(-1 * (x - y) * (x - y))) FROM (SELECT unnest(b) AS x) JOIN (SELECT unnest(b) AS y) ON true) - 2 * (SELECT avg(exp(-1 * (x - y) * (x - y))) FROM (SELECT unnest(a) AS x) JOIN (SELECT unnest(b) AS y) ON true) END", 'v_MMD')} FROM h""")
 def _(spark, sf):
     p = panel.interpolate(_filled(spark, sf, "v"), ["v"], **K).withColumn("v", F.col("v") / 100)
-    out = p.select("user_id", "date", panel.rolling_mmd("v", 3, **K, kind="rbf").alias("v_MMD"))
-    return tidy(out.where("v_MMD is not null"))
+    return tidy(p.select("user_id", "date", panel.rolling_mmd("v", 3, **K, kind="rbf").alias("v_MMD")))
 
 
 @query("W16_window_test", f"""WITH {PANEL}, l AS (SELECT user_id, list(v ORDER BY date) AS vs, count(*) AS n FROM panel GROUP BY 1)
