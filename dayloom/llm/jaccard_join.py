@@ -18,9 +18,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from dayloom.llm.common import partitions, saved
+from dayloom.llm.common import partitions, saved, word_hashes
 
 #: Elements in more sets than this count as shared; so many of them are told to all tasks.
 SHARED, MOST_SHARED = 64, 1 << 20
@@ -30,7 +30,6 @@ SMALL = 64
 CHUNK = 1 << 16
 #: Early elements that one group of tiles holds, about; rows compared at a time.
 GROUP_KEYS, STRETCH = 400_000, 2048
-REMEMBERED = 1 << 20
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _PLACES = np.array(
@@ -38,19 +37,6 @@ _PLACES = np.array(
 )
 
 
-class _Words(dict):
-    """64-bit hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) < 64:
-            self[word] = h
-        return h
-
-
-_WORDS = _Words()
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -66,14 +52,16 @@ def shingles(text: str | None, n: int = 5) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(words)
     if len(words) < n:
         return mixed((mixed(h + np.uint64(len(h))) * np.arange(1, 2 * len(h), 2, dtype=np.uint64)).sum(keepdims=True))
     total = np.zeros(len(h) - n + 1, np.uint64)
     for i in range(n):
         place = _PLACES[i % len(_PLACES)] + np.uint64(2 * (i // len(_PLACES)))
         total += h[i : len(h) - n + 1 + i] * place
-    return np.unique(mixed(total))
+    total = mixed(total)
+    total.sort()
+    return total[np.r_[True, total[1:] != total[:-1]]]
 
 
 def class_id(s: np.ndarray) -> int:
@@ -82,8 +70,9 @@ def class_id(s: np.ndarray) -> int:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Parity of the elements in each slot; as many slots as the next power of two."""
-    bits = max(64, 1 << int(max(1, len(s)) - 1).bit_length())
+    """Parity of the elements in each slot; as many slots as the power of two from twice
+    the elements on."""
+    bits = max(64, 1 << int(2 * max(1, len(s)) - 1).bit_length())
     odd = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -125,12 +114,14 @@ def _base(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def rows(batches):
         for b in batches:
             out = []
-            for k, t in zip(b["_key"], b["_text"]):
+            for t in b["_text"]:
                 s = shingles(t, n)
-                out.append((k, len(s), class_id(s), signature(s), early(s, none, percent).tobytes() if len(s) else b""))
-            yield pd.DataFrame(out, columns=["_key", "n", "cid", "sig", "low"])
+                out.append((len(s), class_id(s), signature(s), early(s, none, percent).tobytes() if len(s) else b""))
+            out = pd.DataFrame(out, columns=["n", "cid", "sig", "low"])
+            yield out.assign(_key=b["_key"].to_numpy(), _row=b["_row"].to_numpy())
 
-    return docs.mapInPandas(rows, "_key long, n long, cid long, sig binary, low binary")
+    docs = docs.withColumn("_row", F.xxhash64("_text"))
+    return docs.mapInPandas(rows, "_key long, _row long, n long, cid long, sig binary, low binary")
 
 
 def _frequent(base: DataFrame, groups: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,8 +161,8 @@ def _blobs(part: np.ndarray, columns: dict[str, np.ndarray]) -> pd.DataFrame:
 
 
 def _tiles(docs: DataFrame, n: int, percent: int, groups: int, shared: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of small tiles; of large ones the pairs with pivots, and
-    their members ``(a, null, tile, pivot)``."""
+    """Candidate pairs ``(a, b)`` of small tiles, with tile 0; of large ones the pairs with
+    pivots, and their members ``(a, a, tile, pivot)``."""
     chunks = -(-counts // CHUNK)
 
     def dealt(batches):
@@ -231,22 +222,21 @@ def _tiles(docs: DataFrame, n: int, percent: int, groups: int, shared: np.ndarra
                 if j < b - a:
                     pairs.append(np.array([[c[i], c[j]]]))
                 i = j
-            is_pivot = np.zeros(b - a, bool)
-            is_pivot[pivots] = True
-            members.append(pd.DataFrame({"a": c, "b": None, "tile": np.int64(key[a].astype(np.int64)), "pivot": is_pivot}))
-        out = []
-        if pairs:
-            p = np.sort(np.concatenate(pairs), axis=1)
-            p = np.unique(p[p[:, 0] != p[:, 1]], axis=0)
-            out.append(pd.DataFrame({"a": p[:, 0], "b": p[:, 1], "tile": None, "pivot": None}))
-        out += members
-        if not out:
-            return pd.DataFrame({"a": [], "b": [], "tile": [], "pivot": []})
-        return pd.concat([x.astype({"a": "Int64", "b": "Int64", "tile": "Int64", "pivot": "boolean"}) for x in out])
+            rows = np.zeros((b - a, 4), np.int64)
+            rows[:, 0] = rows[:, 1] = c
+            rows[:, 2] = key[a].astype(np.int64)
+            rows[pivots, 3] = 1
+            members.append(rows)
+        p = np.sort(np.concatenate([*pairs, np.empty((0, 2), np.int64)]), axis=1)
+        p = p[p[:, 0] != p[:, 1]]
+        p = p[np.lexsort((p[:, 1], p[:, 0]))]
+        p = p[np.r_[True, (p[1:] != p[:-1]).any(axis=1)]] if len(p) else p
+        rows = np.concatenate([np.pad(p, ((0, 0), (0, 2))), *members])
+        return pd.DataFrame(rows, columns=["a", "b", "tile", "pivot"])
 
     return (
         docs.mapInPandas(dealt, "part long, keys binary, cids binary, sizes binary")
-        .groupBy("part").applyInPandas(paired, "a long, b long, tile long, pivot boolean")
+        .groupBy("part").applyInPandas(paired, "a long, b long, tile long, pivot long")
     )
 
 
@@ -266,10 +256,9 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(bound, "a long, b long")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs that are linked, by exact intersection; sets are made again for their rows only."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    asked = saved(asked.join(classes, "cid").select("cid", F.col("rep").alias("_key")), "asked")
+def _sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """``(cid, set)`` of the classes in ``ids``, made again from their rows only."""
+    asked = saved(ids.distinct().join(classes, "cid").select("cid", F.col("rep").alias("_key")), "asked")
 
     def sets(batches):
         for b in batches:
@@ -278,16 +267,22 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percen
 
     wanted = docs.join(asked.select("_key").distinct(), "_key").mapInPandas(sets, "cid long, set binary")
     # repeated keys may bring other rows: only the asked sets stay, once each
-    wanted = saved(wanted.join(asked.select("cid"), "cid").dropDuplicates(["cid"]), "sets")
+    return saved(wanted.join(asked.select("cid"), "cid").dropDuplicates(["cid"]), "sets")
+
+
+def overlap(a: bytes, b: bytes) -> int:
+    """Size of the exact intersection of two sorted arrays."""
+    return len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+
+
+def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs that are linked, by exact intersection."""
+    wanted = _sets(pairs.select(F.explode(F.array("a", "b")).alias("cid")), docs, classes, n)
     side = lambda x: wanted.select(F.col("cid").alias(x), F.col("set").alias(f"set{x}"))
 
     def exact(batches):
         for p in batches:
-            keep = []
-            for x, y in zip(p["seta"], p["setb"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                inter = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(linked(inter, len(x), len(y), percent))
+            keep = [linked(overlap(x, y), len(x) // 8, len(y) // 8, percent) for x, y in zip(p["seta"], p["setb"])]
             yield p.loc[np.array(keep, bool), ["a", "b"]]
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(exact, "a long, b long")
@@ -313,53 +308,90 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _between(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Possible pairs between different components of a large tile.
+def _between(
+    members: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int
+) -> DataFrame:
+    """Links between different components of a large tile, as many as join them.
 
-    Sets outside the tile's largest component meet all its sets, in stretches.
+    Tiles with the same largest component are laid together, so that a pair which shares
+    many early elements is compared once. The sets outside that component meet all sets
+    of the tiles, in stretches, within the band of sizes that allows a link.
     """
     known = (
         members.join(labels, members["a"] == labels["cid"], "left")
         .select("tile", "a", F.coalesce("label", "a").alias("label")).distinct()
     )
     sizes = known.groupBy("tile", "label").agg(F.count("*").alias("_n"))
-    mixed_tiles = sizes.groupBy("tile").agg(
-        F.max(F.struct("_n", "label")).alias("_top"), F.sum("_n").alias("_all"), F.count("*").alias("_labels")
-    ).filter("_labels > 1").select("tile", F.col("_top.label").alias("_main"), "_all", (F.col("_all") - F.col("_top._n")).alias("_rest"))
-    mixed_tiles = saved(mixed_tiles, "mixed-tiles")
-    if mixed_tiles.isEmpty():
-        return members.select("a", F.col("a").alias("b")).limit(0)
-    rows = known.join(mixed_tiles, "tile").join(classes.select(F.col("cid").alias("a"), "n", "sig"), "a")
+    mixed_tiles = sizes.groupBy("tile").agg(F.max(F.struct("_n", "label")).alias("_top"), F.count("*").alias("_labels"))
+    mixed_tiles = mixed_tiles.filter("_labels > 1").select("tile", F.col("_top.label").alias("_main"))
+    laid = saved(known.join(mixed_tiles, "tile").select("_main", "a", "label").distinct(), "mixed-tiles")
+    totals = laid.groupBy("_main").agg(
+        F.count("*").alias("_all"), F.count(F.when(F.col("label") != F.col("_main"), 1)).alias("_rest")
+    )
+    sets = _sets(laid.select(F.col("a").alias("cid")), docs, classes, n).withColumnRenamed("cid", "a")
+    rows = laid.join(totals, "_main").join(classes.select(F.col("cid").alias("a"), "n", "sig"), "a").join(sets, "a")
     stretch = lambda total: F.ceil(F.col(total) / STRETCH).cast("int")
     deal = lambda total, seed: F.pmod(F.xxhash64("a", F.lit(seed)), stretch(total)).cast("int")
     every = lambda total: F.explode(F.sequence(F.lit(0), stretch(total) - 1))
     left = rows.filter("label != _main").withColumn("_l", deal("_rest", 1)).withColumn("_r", every("_all"))
     right = rows.withColumn("_r", deal("_all", 2)).withColumn("_l", every("_rest"))
-    wide = ["tile", "a", "label", "n", "sig", "_l", "_r"]
+    wide = ["_main", "a", "label", "n", "sig", "set", "_l", "_r"]
     left, right = left.select(*wide), right.select(*[F.col(c).alias(c) for c in wide])  # names of their own
+    keys = ["_main", "_l", "_r"]
+    return (
+        left.groupBy(*keys).cogroup(right.groupBy(*keys))
+        .applyInPandas(lambda l, r: _compared(l, r, percent), "a long, b long")
+    )
+
 
-    def compared(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        r = r.sort_values("n", kind="stable")
-        size = r["n"].to_numpy()
-        label, ids, sigs = r["label"].to_numpy(), r["a"].to_numpy(), r["sig"].to_numpy()
-        for a, lab, na, sig in zip(l["a"], l["label"], l["n"], l["sig"]):
-            lo, hi = np.searchsorted(size, -(-percent * na // 100)), np.searchsorted(size, 100 * na // percent, side="right")
-            for j in np.flatnonzero(label[lo:hi] != lab) + lo:
-                nb = int(size[j])
-                if linked(min(most_overlap(na, sig, nb, sigs[j]), na, nb), na, nb, percent):
-                    out.append((min(a, ids[j]), max(a, ids[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _compared(l: pd.DataFrame, r: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links that join components across two stretches of sets.
 
-    keys = ["tile", "_l", "_r"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compared, "a long, b long").distinct()
+    Sorted by size, sets with signatures of one length lie together, so that a set meets
+    whole runs of signatures. Pairs that may be linked are decided by exact intersection,
+    unless links found before have joined their components.
+    """
+    r = r.sort_values(["n", "a"], kind="stable")
+    size, label, ids, sets = (r[c].to_numpy() for c in ("n", "label", "a", "set"))
+    names, label = np.unique(np.concatenate([label, l["label"].to_numpy()]), return_inverse=True)
+    label, own = label[: len(r)], label[len(r) :]
+    now = np.arange(len(names))  # component that a label belongs to by now
+    lengths = r["sig"].str.len().to_numpy() // 8
+    runs = []
+    for length in np.unique(lengths):
+        lo, hi = np.searchsorted(lengths, length), np.searchsorted(lengths, length, side="right")
+        runs.append((lo, hi, {int(length): np.frombuffer(b"".join(r["sig"].iloc[lo:hi]), np.uint64).reshape(-1, length)}))
+    out = []
+    for a, lab, na, sig, set_ in zip(l["a"], own, l["n"], l["sig"], l["set"]):
+        x = np.frombuffer(sig, np.uint64)
+        least, most = np.searchsorted(size, -(-percent * na // 100)), np.searchsorted(size, 100 * na // percent, side="right")
+        for lo, hi, folded in runs:
+            i, j = max(lo, least), min(hi, most)
+            if i >= j:
+                continue
+            width = min(len(x), max(folded))
+            if width not in folded:
+                y = folded[max(folded)]
+                while y.shape[1] > width:
+                    y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+                folded[width] = y
+            unequal = np.bitwise_count(folded[width][i - lo : j - lo] ^ _folded(x, width)).sum(axis=1, dtype=np.int64)
+            nb = size[i:j]
+            most_shared = np.minimum(np.minimum(na, nb), (na + nb - unequal) // 2)
+            near = (100 * most_shared >= percent * (na + nb - most_shared)) & (now[label[i:j]] != now[lab])
+            for at in np.flatnonzero(near) + i:
+                if now[label[at]] != now[lab] and linked(overlap(set_, sets[at]), na, int(size[at]), percent):
+                    now[now == now[label[at]]] = now[lab]
+                    out.append((min(a, ids[at]), max(a, ids[at])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def join(
     docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80
 ) -> tuple[DataFrame, DataFrame]:
-    """``(rows, links)``. Rows: ``(key, n_shingles, component_id)`` for every row, where
-    the component is the smallest key reachable by links. Links: pairs ``(a, b)`` of class
+    """``(rows, links)``. Rows: ``(key, n_shingles, component_id, _row)`` for every row,
+    where the component is the smallest key reachable by links and ``_row`` a hash of the
+    text. Links: pairs ``(a, b)`` of class
     ids that are linked and span the components.
 
     Rows with empty sets (null, empty or blank texts) are alone in their component, by
@@ -380,26 +412,43 @@ def join(
     )
     shared, counts = _frequent(keyed, groups)
     found = saved(_tiles(usable, n, percent, groups, shared, counts), "tiles")
-    members = found.filter("b is null").select("tile", "a", "pivot")
-    pivots = members.filter("pivot")
+    members = found.filter("a = b").select("tile", "a", "pivot")
+    pivots = members.filter("pivot = 1")
     first = pivots.groupBy("tile").agg(F.min("a").alias("b"))
     among = pivots.join(first, "tile").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = found.filter("b is not null").select("a", "b").union(among).distinct()
+    pairs = found.filter("a != b").select("a", "b").union(among).distinct()
     possible = saved(_possible(pairs, classes, percent), "pairs")
     links = saved(_links(possible, usable, classes, n, percent), "links")
     labels = components(links)
-    rest = saved(_between(members, labels, classes, percent), "pairs")
+    rest = saved(_between(members, labels, usable, classes, n, percent), "links")
     if not rest.isEmpty():
-        links = saved(links.union(_links(rest, usable, classes, n, percent)), "links")
+        links = links.union(rest)
         labels = components(links)
     named = labels.join(classes, "cid").groupBy("label").agg(F.min("rep").alias("component_id"))
     named = saved(labels.join(named, "label").select("cid", "component_id"), "components")
     rows = (
-        base.select("_key", "n", "cid")
+        base.select("_key", "_row", "n", "cid")
         .join(classes.select("cid", "rep"), "cid", "left").join(named, "cid", "left")
         .select(
             F.col("_key").alias(key), F.col("n").alias("n_shingles"),
             F.when(F.col("n") == 0, F.col("_key")).when(F.col("_key").isNotNull(), F.coalesce("component_id", "rep")).alias("component_id"),
+            "_row",
         )
     )
     return rows, links
+
+
+def representatives(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80
+) -> DataFrame:
+    """``docs`` with one row of each component, the one with the smallest key; same columns.
+
+    Of rows that repeat a key and a text one stays; rows with a null key all stay, for
+    nothing links them. Extra columns follow their row.
+    """
+    rows, _ = join(docs, key, text, n, percent)
+    stay = rows.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_key"), "_row").distinct()
+    named = docs.withColumn("_key", F.col(key).cast("long")).withColumn("_row", F.xxhash64(text))
+    once = F.row_number().over(Window.partitionBy("_key", "_row").orderBy(*[c for c in docs.columns if c != text]))
+    one = named.join(stay, ["_key", "_row"], "left_semi").withColumn("_once", once).filter("_once = 1")
+    return one.select(*docs.columns).union(docs.filter(F.col(key).isNull()))
