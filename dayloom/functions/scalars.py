@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -53,6 +54,11 @@ def control_bin(c: str) -> Column:
     return F.when(x >= 75, 0).when(x >= 50, 1).when(x >= 25, 2).when(x < 25, 3).otherwise(0)
 
 
+def derived(c: str, rule: Callable[[Column], Column]) -> Column:
+    """The caller's rule applied to a column."""
+    return rule(F.col(c))
+
+
 def any_shift(c: str) -> Column:
     """1 and 2 -> 1, 0 -> 0, anything else unchanged."""
     x = F.col(c)

@@ -123,8 +123,8 @@ def mmd_rbf(
     )
     tile = F.struct("_x", "_y")
     pairs = placed.groupBy(*keys, "_lo", "_hi").agg(
-        F.max(F.when(F.col("_t") == F.col("_lo"), tile)).alias("_a"),
-        F.max(F.when(F.col("_t") == F.col("_hi"), tile)).alias("_b"),
+        F.any_value(F.when(F.col("_t") == F.col("_lo"), tile), True).alias("_a"),
+        F.any_value(F.when(F.col("_t") == F.col("_hi"), tile), True).alias("_b"),
     )
 
     def kernel_sum(a, b) -> float:

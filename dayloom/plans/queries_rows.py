@@ -177,8 +177,8 @@ rows("P15_any_of", lambda: {"any_stress": fn.any_of("lab", "lab3", "v_click", "n
 rows("P16_composite", lambda: {"total_stress": fn.composite_stress("lab", "lab3", "v_click")},
      r6("lab / 2.0 + lab3 / 2.0 + coalesce(v_click, 0) / 3.0", "total_stress"))
 rows("P17_below", lambda: {"bad": fn.below(F.col("v_click"), 50.0)}, "CASE WHEN v_click < 50 THEN 1 ELSE 0 END AS bad")
-rows("P18_derived_column", lambda: {"out": fn.control_bin("k")},
-     "CASE WHEN k >= 75 THEN 0 WHEN k >= 50 THEN 1 WHEN k >= 25 THEN 2 WHEN k < 25 THEN 3 ELSE 0 END AS out")
+rows("P18_derived_column", lambda: {"out": fn.derived("k", lambda c: F.when(c % 2 == 0, c / 2).otherwise(3 * c + 1))},
+     r6("CASE WHEN k % 2 = 0 THEN k / 2 ELSE 3 * k + 1 END", "out"))
 rows("P19_code_label", lambda: {"sex": fn.code_label("n_events", vocab.GENDERS)},
      "['female', 'male', 'non-binary', 'other', 'prefer not to say'][n_events] AS sex")
 rows("P20_number_or_zero", lambda: {"x": fn.number_or_zero("s")}, "coalesce(TRY_CAST(s AS DOUBLE), 0) AS x",

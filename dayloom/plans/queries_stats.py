@@ -254,9 +254,13 @@ def _directions(spark, sf, d):
     return inference.direction_table(results(spark, sf).where(F.col("definition") == d), MEAS, entity="user_id")
 
 
-@query("A07_direction_pivot", f"WITH {WIDE.format(d='d0')} SELECT * FROM wide")
+EVERY = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("A07_direction_pivot", f"WITH {FDR} SELECT user_id, " + ", ".join(
+    f"min(direction) FILTER (WHERE measure = '{m}') AS {m}" for m in EVERY) + " FROM res WHERE reject_fdr = 1 AND definition = 'd0' GROUP BY 1")
 def _(spark, sf):
-    return _directions(spark, sf, "d0")
+    return inference.direction_table(results(spark, sf).where("definition = 'd0'"), EVERY, entity="user_id")
 
 
 @query("A08_pattern_frequency", f"WITH {WIDE.format(d='d0')} SELECT {', '.join(MEAS)}, count(*) AS freq FROM wide WHERE click IS NOT NULL AND error IS NOT NULL AND view IS NOT NULL GROUP BY ALL")
