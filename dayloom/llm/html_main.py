@@ -50,6 +50,11 @@ MARKS = frozenset(
     "breadcrumbs footer comment comments reply replies discussion disqus related recommended newsletter subscribe "
     "subscription signup share sharing social popup modal overlay toolbar search pagination pager skip login".split()
 )
+#: Of these, marks that still hold when an article stands inside (a comment may be one).
+KEPT_MARKS = frozenset(
+    "comment comments reply replies discussion disqus related recommended sidebar sidenav ad ads advert adverts "
+    "advertisement promo".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 
 #: A subtree's hash is polynomial in those of its blocks of text.
@@ -70,6 +75,7 @@ class Node:
     dropped: bool = False
     main: bool = False
     inside: bool = False  # it or an element around it is main
+    wrapper: bool = False  # dropped, unless an article stands inside
 
 
 def _attributes(tag: str) -> dict[str, str]:
@@ -83,6 +89,7 @@ def _opened(tag: str, name: str, inside: bool) -> Node:
     """A node, and whether it is furniture or main content. ``inside`` an article, a
     header belongs to the article."""
     node = Node(name, dropped=name in DROPPED or name == "header" and not inside, main=name in ("article", "main"))
+    node.wrapper = name == "form"
     if len(tag) > len(name) + 3 and not node.dropped and name not in ("html", "body"):
         at = _attributes(tag)
         words = set(PIECES.split(f"{at.get('class', '')} {at.get('id', '')}".lower()))
@@ -92,6 +99,7 @@ def _opened(tag: str, name: str, inside: bool) -> Node:
             or node.main and bool(words & {"comment", "comments", "reply", "replies", "ad", "advert", "promo"})
         )
         node.main |= at.get("role", "").lower() == "main"
+        node.wrapper = node.dropped and bool(words & MARKS) and not words & KEPT_MARKS
     node.inside = inside or node.main
     return node
 
@@ -136,6 +144,9 @@ def parse(source: str) -> Node:
                 if stack[i].tag in CONTAINERS:
                     break
         node = _opened(tag, name, stack[-1].inside)
+        if node.main and not node.dropped and not any(x.dropped and not x.wrapper for x in stack):
+            for x in stack:
+                x.dropped = False
         stack[-1].parts.append(node)
         if name not in VOID and not tag.endswith("/>"):
             stack.append(node)

@@ -159,6 +159,8 @@ PAGE = (
 def test_main_text_of_one_page():
     assert " ".join(html_main.read(PAGE)[0]) == "One & two Unclosed line Next para &am"
     assert html_main.read("<div>" * 3000 + "deep")[0] == ["deep"]
+    assert html_main.read("<form><div class=menu-page>x<article>A</article></div></form>")[0] == ["A"]
+    assert html_main.read("<p>A</p><section id=comments><article>B</article></section>")[0] == ["A"]
     assert html_main.read("plain text <p>and a block")[0] == ["plain text", "and a block"]
     assert html_main.read("")[0] == html_main.read(None)[0] == []
 
