@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +28,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Jobs run inside send at most ``n`` rows at a time to Python workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hash of every word; hashing again is cheaper than looking words up."""
     digest = xxhash.xxh3_64_digest
     return np.frombuffer(b"".join([digest(w) for w in words]), np.uint64)
 
 
-__all__ = ["partitions", "saved", "scratch_table", "shared_folder", "table", "word_hashes"]
+__all__ = ["batch_rows", "partitions", "saved", "scratch_table", "shared_folder", "table", "word_hashes"]

@@ -20,7 +20,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from dayloom.llm.common import partitions, saved, word_hashes
+from dayloom.llm.common import batch_rows, partitions, saved, word_hashes
 
 #: Elements in more sets than this count as shared; so many of them are told to all tasks.
 SHARED, MOST_SHARED = 64, 1 << 20
@@ -30,6 +30,8 @@ SMALL = 64
 CHUNK = 1 << 16
 #: Early elements that one group of tiles holds, about; rows compared at a time.
 GROUP_KEYS, STRETCH = 400_000, 2048
+#: Rows that a Python worker gets at a time: texts or sets, a few KB each.
+BATCH = 1024
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _PLACES = np.array(
@@ -398,6 +400,11 @@ def join(
     key. Repeated rows and copies share a component; rows with a null key are alone with
     a null component and lend no link. An empty table gives no rows.
     """
+    with batch_rows(docs.sparkSession, BATCH):
+        return _joined(docs, key, text, n, percent)
+
+
+def _joined(docs: DataFrame, key: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     usable = docs.filter(F.col("_key").isNotNull())
