@@ -184,9 +184,11 @@ def redact(
         F.arrays_zip(pieces.alias("p"), F.concat(shown, F.array(F.lit(""))).alias("v")),
         lambda z: F.array(z["p"], z["v"]),
     )), "")
-    masked = docs.withColumn("_row", F.xxhash64(text)).join(values, "_row", "left")
+    # texts without candidates stay where they are: only the others meet the verdicts
+    some = F.coalesce(F.col(text).rlike(RUN), F.lit(False))
+    masked = docs.filter(some).withColumn("_row", F.xxhash64(text)).join(values, "_row", "left")
     masked = masked.withColumn(text, F.when(F.col("_secrets").isNull(), F.col(text)).otherwise(joined))
     if length in docs.columns:
         counted = F.length(text).cast(dict(docs.dtypes)[length])
         masked = masked.withColumn(length, F.when(F.col("_secrets").isNull(), F.col(length)).otherwise(counted))
-    return masked.select(*docs.columns)
+    return masked.select(*docs.columns).union(docs.filter(~some))
