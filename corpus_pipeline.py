@@ -3,6 +3,8 @@ masked, and what is left is packed into sequences."""
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from dayloom.llm import jaccard_join, packing, secret_scan, toxicity
@@ -10,6 +12,22 @@ from dayloom.llm.common import saved, table
 from dayloom.llm.queries import WORD_BPE
 
 
+#: Texts that a Python worker gets at a time; the stages' workers live side by side.
+BATCH = "1024"
+
+
+def _small_batches(stage):
+    """The stage, in a session that sends texts to Python in small batches."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_small_batches
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
     labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out())
@@ -17,16 +35,19 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
 
 
+@_small_batches
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near-duplicates."""
     return jaccard_join.representatives(docs, n=5, percent=80)
 
 
+@_small_batches
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with confirmed secrets masked, and their lengths counted again."""
     return secret_scan.redact(docs)
 
 
+@_small_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 4096 ids."""
     return packing.pack(docs, WORD_BPE, end_id=2, limit=4096)

@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Parts remembered by one worker; longer parts are not kept.
-REMEMBERED, LONGEST = 1 << 19, 200
+REMEMBERED, LONGEST = 1 << 18, 200
 #: The file's splitting pattern within the first 256 characters, after lower-casing.
 PARTS = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+"

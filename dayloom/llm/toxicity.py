@@ -32,7 +32,7 @@ BEGINNINGS = (4, 5)
 #: training documents is this many times its share of the clean ones.
 RATIO = 3.0
 STEPS, RATE, SPARSE = 200, 0.2, 4e-5
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 
 
 def features(word: str) -> tuple[int, ...]:
