@@ -142,3 +142,42 @@ def test_scores_against_counts_by_hand(spark, monkeypatch):
     assert language_model.score(df.limit(0), training, BYTE_BPE).count() == 0
     none = language_model.score(df.limit(3), F.lit(False), BYTE_BPE).collect()
     assert len(none) == 3 and all(r.n_known == 0 and r.base_score == 0 for r in none)
+
+
+def test_every_training_row_trains_the_model(spark, monkeypatch):
+    texts = [f"the {w} of" for w in ("tion", "and", "Ering", "x9") for _ in range(10)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    start = {}
+
+    def averaged(docs, path, weights, vocab):
+        start.update(rows=docs.count(), vocab=vocab, weights=weights)
+        start["after"] = language_model_averaged(docs, path, weights, vocab)
+        return start["after"]
+
+    language_model_averaged = language_model._averaged
+    monkeypatch.setattr(language_model, "_averaged", averaged)
+    monkeypatch.setattr(language_model, "SAMPLE_ROWS", 1)  # the sample lacks most subwords
+    language_model.score(df, F.lit(True), BYTE_BPE).count()
+    assert start["rows"] == len(texts)
+    assert any(not np.array_equal(start["after"][n], start["weights"][n]) for n in start["weights"])
+
+
+def test_neighbours_come_from_all_rows(spark):
+    texts = [f"the {w} of" for w in ("tion", "and", "Ering", "x9") for _ in range(10)]
+    df = spark.createDataFrame([(t,) for t in texts], "_text string").repartition(5)
+    ids = [s for t in texts for s in language_model.sequences([language_model.words(t)], BYTE_BPE)]
+    counts = np.bincount(np.concatenate(ids), minlength=language_model.END + 1)
+    own, rank = lm.ranked(counts)
+    want = lm.neighbours(own, rank, np.concatenate([[language_model.END], *ids]))
+    got = language_model._neighbours(df, BYTE_BPE, counts)
+    assert np.array_equal(got, want) and (got.sum(axis=1) > 0).all()
+
+
+def test_one_pass_goes_on_from_call_to_call():
+    vocab, w, seqs = small_model()
+    inputs, targets, scored, _ = lm.windows(seqs, 0)
+    state = {}
+    first = lm.train(w, vocab, inputs, targets, scored, state=state)
+    steps = state["step"]
+    lm.train(first, vocab, inputs, targets, scored, state=state)
+    assert state["step"] == 2 * steps > 0
