@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import html
 import re
-import zlib
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -20,8 +19,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dayloom.llm.common import saved
 
-#: A template recurs on this many different pages of a host, and on this share of them.
-LEAST_PAGES, LEAST_SHARE = 3, 0.2
+#: A template recurs on this many different pages of a host, whatever its size; on a
+#: small host fewer are enough if they are this share of its different pages.
+MANY_PAGES, LEAST_PAGES, LEAST_SHARE = 10, 3, 0.2
 
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -231,12 +231,12 @@ def host(url: Column) -> Column:
 
 def extract(
     pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html",
-    least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE,
+    least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, many_pages: int = MANY_PAGES,
 ) -> DataFrame:
     """``(key, url, text, n_chars)`` of every row.
 
-    Null or empty HTML gives an empty text. Rows without a host are one site. Repeated
-    rows count as one page for the templates and are kept in the result; null keys and
+    Null or empty HTML gives an empty text. Rows without a host are one site. Rows that
+    show the same count as one page for the templates and are all kept in the result; null keys and
     further columns do not matter. An empty table gives no rows.
     """
     kinds = dict(pages.dtypes)
@@ -260,17 +260,18 @@ def extract(
             "_digests array<long>, _firsts array<int>, _lasts array<int>",
         )
 
-    # only pages that have removable subtrees take part in the count
+    # the null digest, which every page has, counts the different pages of a host
     seen = rows.mapInPandas(
         lambda batches: _subtrees(batches), "_host string, _digest long, _row long, _page long"
     )
-    sites = rows.select("_host", "_row").distinct().groupBy("_host").agg(F.count("*").alias("_pages"))
     counted = seen.groupBy("_host", "_digest", "_page").agg(F.lit(1)).groupBy("_host", "_digest").agg(F.count("*").alias("_n"))
-    template = counted.filter(F.col("_n") >= least_pages).join(sites, "_host").filter(
-        F.col("_n") >= least_share * F.col("_pages")
+    counted = saved(counted.filter((F.col("_n") >= least_pages) | F.col("_digest").isNull()), "subtree-counts")
+    sites = counted.filter(F.col("_digest").isNull()).select("_host", F.col("_n").alias("_pages"))
+    template = counted.filter(F.col("_digest").isNotNull()).join(sites, "_host").filter(
+        (F.col("_n") >= many_pages) | (F.col("_n") >= least_share * F.col("_pages"))
     )
     marked = saved(
-        seen.select("_host", "_digest", "_row").distinct().join(template.select("_host", "_digest"), ["_host", "_digest"])
+        seen.filter(F.col("_digest").isNotNull()).select("_host", "_digest", "_row").distinct().join(template.select("_host", "_digest"), ["_host", "_digest"])
         .groupBy("_row").agg(F.collect_set("_digest").alias("_template")),
         "templates",
     )
@@ -298,15 +299,15 @@ def _read_row(source: str | None) -> tuple[list, list, list, list]:
 
 
 def _subtrees(batches):
-    """Removable subtrees of every page; ``_page`` tells apart pages that show something else."""
+    """Removable subtrees of every page and a null; ``_page`` tells apart pages that show something else."""
     for b in batches:
         out = []
         for h, row, source in zip(b["_host"], b["_row"], b["_source"]):
             blocks, spans = read(source)
-            if spans:
-                page = zlib.crc32("\n".join(blocks).encode("utf-8", "replace"))
-                out += [(h, d, row, page) for d in {s[0] for s in spans}]
-        yield pd.DataFrame(out, columns=["_host", "_digest", "_row", "_page"])
+            page = xxhash.xxh3_64_intdigest("\n".join(blocks).encode("utf-8", "replace")) >> 1
+            out += [(h, d, row, page) for d in {None, *(s[0] for s in spans)}]
+        found = pd.DataFrame(out, columns=["_host", "_digest", "_row", "_page"])
+        yield found.assign(_digest=pd.array([x[1] for x in out], dtype="Int64"))
 
 
 def _without(blocks, digests, firsts, lasts, template) -> list[str]:

@@ -175,3 +175,21 @@ def test_templates_go_by_host(spark):
     want = [(i, f"Own text {i}", 10) for i in range(6)] + [(10, "Same box Own text", 17), (11, "", 0), (12, "", 0), (0, "Own text 0", 10)]
     assert got == sorted(want + [(20 + i, "copied article", 14) for i in range(9)], key=str)
     assert html_main.extract(df.limit(0)).count() == 0
+
+
+def test_neither_copies_nor_big_hosts_hide_a_template(spark):
+    page = lambda own, box: f"<body><div><div>{box}</div><p>{own}</p></div></body>"
+    copy = page("copied text", "Site box")
+    rows = [(i, f"http://a.x/{i}", copy) for i in range(40)]
+    rows += [(100 + i, f"http://a.x/n{i}", page(f"own {i}", "Site box")) for i in range(5)]
+    rows += [(200 + i, f"http://big.x/{i}", page(f"own {i}", "Section box" if i < 12 else f"lone {i}")) for i in range(100)]
+    rows += [(400 + i, f"http://few.x/{i}", page(f"own {i}", "Rare box" if i < 4 else f"lone {i}")) for i in range(100)]
+    rows += [(600 + i, f"http://bare.x/{i}", "<p>one</p>" if i else None) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_main.extract(df).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == "copied text" for i in range(40))
+    assert all(got[100 + i] == f"own {i}" for i in range(5))
+    assert all(got[200 + i] == (f"own {i}" if i < 12 else f"lone {i} own {i}") for i in range(100))
+    assert all(got[400 + i] == (f"Rare box own {i}" if i < 4 else f"lone {i} own {i}") for i in range(100))
+    assert [got[600 + i] for i in range(5)] == ["", *["one"] * 4]
