@@ -1,7 +1,8 @@
 """Secret scan with a random forest that removes false positives.
 
 Everything runs as DataFrame expressions and Spark ML, without Python on executors.
-Candidates are long unbroken runs of key characters. The pieces of text between them give
+Candidates are long unbroken runs of key characters, and values of any printable signs that
+are assigned to a credential name or stand as the password of an address. The pieces of text between them give
 each candidate's neighbours. Labelled findings (assignments to credential names and keys
 of published formats against all other runs) train a forest on length, character
 transitions, dictionary coverage, path and neighbouring words; it then judges every
@@ -23,10 +24,22 @@ RUN = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_+/=-])"
 #: Characters before and after a candidate that hold its neighbouring words.
 NEAR = 48
 #: Names whose assigned value is a credential, and keys of published formats.
-CREDENTIAL = (
-    r"(?i)(?:token|passw(?:or)?d|pwd|secret|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer)"
-    r"[\"' ]{0,3}(?:[:=]|=>|\s)[\"' ]{0,3}$"
+NAMES = r"(?:token|passw(?:or)?d|pwd|secret|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer)"
+CREDENTIAL = r"(?i)" + NAMES + r"[\"' ]{0,3}(?:[:=]|=>|\s)[\"' ]{0,3}$"
+#: Also candidates: four printable signs or more that are assigned to such a name, up to the
+#: closing quote or else to white space, without signs that end a clause; and passwords of addresses.
+ASSIGNED = (
+    r"(?<=[:=>\"' ])(?=[\x21\x23-\x26\x28-\x3c\x3f-\x7e][\x21-\x7e]{3})(?<=[:=>][\"' ]{0,3})"
+    r"(?<=(?i:" + NAMES + r")[\"' ]{0,3}(?:=>|[:=])[\"' ]{0,3})"
+    r"(?:(?<=\")[\x21\x23-\x7e]{4,}(?=\")|(?<=')[\x21-\x26\x28-\x7e]{4,}(?=')|[\x21\x23-\x26\x28-\x7e]{4,}(?<![,;.:)\]}]))"
 )
+IN_ADDRESS = (
+    r"(?<=:)(?<=://[\x21\x23-\x26\x28-\x2e\x30-\x39\x3b-\x3f\x41-\x7e]{0,64}:)"
+    r"[\x21\x23-\x26\x28-\x2e\x30-\x3f\x41-\x7e]{4,}(?=@)"
+)
+CANDIDATE = f"{IN_ADDRESS}|{ASSIGNED}|{RUN}"
+#: What stands for a value that is filled in elsewhere.
+FILLED_IN = r"^(?:\$\{?\(?[A-Za-z_].*|%[({].*|<.*>|\{.*\})$"
 FORMATS = (
     r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[0-9A-Za-z]{36}$|^xox[abprs]-[0-9A-Za-z-]{10,}$"
     r"|^(?:sk|rk|pk)_(?:live|test)_[0-9A-Za-z]{16,}$|^AIza[0-9A-Za-z_-]{35}$|^glpat-[0-9A-Za-z_-]{20}$"
@@ -40,7 +53,7 @@ SECRETS, OTHERS, WORD_TEXTS = 4000, 12000, 3
 TREES, DEPTH, SEED = 30, 6, 7
 FEATURES = [
     "n", "transitions", "transition_rate", "digits", "uppers", "lowers", "others", "distinct_share", "hex", "vowels",
-    "covered", "longest_run", "assigned", "quoted", "credential_word", "dummy", "digit_neighbour", "test_path",
+    "covered", "longest_run", "assigned", "quoted", "credential_word", "in_address", "dummy", "digit_neighbour", "test_path",
 ]
 
 
@@ -57,7 +70,7 @@ def candidates(
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), where.alias("path"))
     rows = rows.select(
         "_key", F.xxhash64("_text").alias("row"), "path",
-        F.regexp_extract_all("_text", F.lit(RUN), F.lit(0)).alias("_values"), F.split("_text", RUN, -1).alias("_rest"),
+        F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0)).alias("_values"), F.split("_text", CANDIDATE, -1).alias("_rest"),
     ).filter(F.size("_values") > 0)
     rows = rows.select("_key", "row", "path", F.posexplode("_values").alias("_i", "value"), "_values", "_rest")
     length = lambda part, upto: F.aggregate(
@@ -106,7 +119,7 @@ def measured(found: DataFrame, words: DataFrame, key: str = "doc_id") -> DataFra
         .withColumn("digits", _count(value, "0-9") / n)
         .withColumn("uppers", _count(value, "A-Z") / n)
         .withColumn("lowers", _count(value, "a-z") / n)
-        .withColumn("others", _count(value, "_+/=-") / n)
+        .withColumn("others", F.length(F.regexp_replace(value, "[A-Za-z0-9]", "")) / n)
         .withColumn("distinct_share", F.size(F.array_distinct(F.split(value, ""))) / n)
         .withColumn("hex", flag(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")))
         .withColumn("vowels", _count(F.lower(value), "aeiou") / (_count(value, "A-Za-z") + 1))
@@ -115,6 +128,7 @@ def measured(found: DataFrame, words: DataFrame, key: str = "doc_id") -> DataFra
         .withColumn("assigned", flag(F.col("before").rlike("[:=][\"' ]{0,2}$")))
         .withColumn("quoted", flag(F.col("before").rlike("[\"'`]$")))
         .withColumn("credential_word", flag(F.col("before").rlike(CREDENTIAL_WORD)))
+        .withColumn("in_address", flag(F.col("before").rlike("://[^\\s/:@\"']*:$") & F.col("after").startswith("@")))
         .withColumn("dummy", flag(value.rlike(DUMMY)))
         .withColumn("digit_neighbour", flag(F.col("before").rlike("[0-9+()]\\s*$") | F.col("after").rlike("^\\s*[0-9+()]")))
         .withColumn("test_path", flag(F.col("path").rlike(TEST_PATH)))
@@ -123,10 +137,13 @@ def measured(found: DataFrame, words: DataFrame, key: str = "doc_id") -> DataFra
 
 
 def labelled(findings: DataFrame) -> DataFrame:
-    """``findings`` with ``label``: 1 for values of published key formats or assigned to a
-    credential name, unless they are dummies; 0 for all others."""
-    secret = (F.col("before").rlike(CREDENTIAL) & F.col("value").rlike("[0-9]")) | F.col("value").rlike(FORMATS)
-    return findings.withColumn("label", (secret & (F.col("dummy") == 0)).cast("double"))
+    """``findings`` with ``label``: 1 for values of published key formats, passwords of
+    addresses, and values with a digit (short ones with a letter too) that are assigned to a
+    credential name, unless they are dummies or filled in elsewhere; 0 for all others."""
+    value = F.col("value")
+    like = value.rlike("[0-9]") & ((F.col("n") >= 16) | value.rlike("[A-Za-z]"))
+    secret = (F.col("before").rlike(CREDENTIAL) & like) | (F.col("in_address") > 0) | value.rlike(FORMATS)
+    return findings.withColumn("label", (secret & (F.col("dummy") == 0) & ~value.rlike(FILLED_IN)).cast("double"))
 
 
 def train(findings: DataFrame) -> PipelineModel | None:
@@ -177,15 +194,15 @@ def redact(
     """
     verdict = scan(docs, key, text, path).filter("secret")
     values = verdict.groupBy(F.col("row").alias("_row")).agg(F.collect_set("value").alias("_secrets"))
-    found = F.regexp_extract_all(F.col(text), F.lit(RUN), F.lit(0))
-    pieces = F.split(F.col(text), RUN, -1)
+    found = F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0))
+    pieces = F.split(F.col(text), CANDIDATE, -1)
     shown = F.transform(found, lambda v: F.when(F.array_contains("_secrets", v), F.lit(mark)).otherwise(v))
     joined = F.array_join(F.flatten(F.transform(
         F.arrays_zip(pieces.alias("p"), F.concat(shown, F.array(F.lit(""))).alias("v")),
         lambda z: F.array(z["p"], z["v"]),
     )), "")
     # texts without candidates stay where they are: only the others meet the verdicts
-    some = F.coalesce(F.col(text).rlike(RUN), F.lit(False))
+    some = F.coalesce(F.col(text).rlike(CANDIDATE), F.lit(False))
     masked = docs.filter(some).withColumn("_row", F.xxhash64(text)).join(values, "_row", "left")
     masked = masked.withColumn(text, F.when(F.col("_secrets").isNull(), F.col(text)).otherwise(joined))
     if length in docs.columns:
