@@ -85,15 +85,28 @@ def _steps(spark: SparkSession, sf: str) -> DataFrame:
     return stepped.where(F.col("next_event_type") != F.col("event_type"))
 
 
+def _with_boot(spark: SparkSession, sf: str, df: DataFrame) -> DataFrame:
+    """Stand-in bootstrap: blocks of ten days, counted from the day of the first event."""
+    first = table(spark, sf, "events").agg(F.min(F.to_date("ts")).alias("_first"))
+    days = F.datediff(F.to_date("ts"), "_first")
+    return df.crossJoin(F.broadcast(first)).withColumn("boot", F.floor(days / 10).cast("int")).drop("_first")
+
+
+def bootstraps(spark: SparkSession, sf: str) -> int:
+    """How many bootstraps the events have."""
+    boots = _with_boot(spark, sf, table(spark, sf, "events").select("ts")).where("boot is not null")
+    return boots.select(F.count_distinct("boot")).first()[0]
+
+
 def _edges(spark: SparkSession, sf: str, conditions) -> DataFrame:
     """Stand-in graphs: steps between event types, one direction kept per pair."""
     dom = F.dayofmonth("ts")
     counted = (
-        _steps(spark, sf)
+        _with_boot(spark, sf, _steps(spark, sf))
         .withColumn("cond", F.explode(F.array(*conditions(dom))))
         .groupBy(
             "user_id",
-            F.floor((dom - 1) / 10).cast("int").alias("boot"),
+            "boot",
             "cond",
             F.col("event_type").alias("src"),
             F.col("next_event_type").alias("dst"),

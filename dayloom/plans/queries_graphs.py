@@ -267,7 +267,7 @@ SUMMARY = f"""{UNIQ}, who AS (SELECT user_id FROM have WHERE label = 'stress' GR
 def _summary(spark, sf):
     c = _compare(spark, sf)
     who = c.where("label = 'stress'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    return gt.edge_summary(c, who, entity="user_id", boots=3)
+    return gt.edge_summary(c, who, entity="user_id", boots=fx.bootstraps(spark, sf))
 
 
 @query("C08_edge_shares", f"WITH {SUMMARY} SELECT user_id, lo, hi, {r6s('percent_added', 'percent_removed')} FROM summ")
@@ -295,7 +295,7 @@ WCHANGE = f"""{PAIRED}, d AS (SELECT user_id, label, least(bsrc, bdst) AS lo, gr
 
 @query("ST14_weight_change", f"WITH {WCHANGE} SELECT user_id, lo, hi, {r6('mx', 'mean')}, {r6(sk.student_p('t', 'df'), 'p_val')} FROM tt")
 def _(spark, sf):
-    return tidy(gt.weight_change(_compare(spark, sf), entity="user_id", boots=3))
+    return tidy(gt.weight_change(_compare(spark, sf), entity="user_id", boots=fx.bootstraps(spark, sf)))
 
 
 # ---------------------------------------------------------------- graph search

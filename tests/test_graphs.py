@@ -237,3 +237,24 @@ def test_edge_summary_keeps_zeros(spark):
     who = spark.createDataFrame([("p",), ("q",)], "e string")
     got = {(r["e"], r["lo"], r["hi"]): (r["percent_added"], r["percent_removed"]) for r in gt.edge_summary(c, who, entity="e", boots=1).collect()}
     assert got == {("p", "a", "b"): (1, 0), ("p", "b", "c"): (0, 0), ("q", "a", "b"): (0, 0), ("q", "b", "c"): (0, 1)}
+
+
+def test_bootstraps_of_a_longer_history(spark, tmp_path):
+    from dayloom.plans import catalogue, fixtures as fx
+
+    kinds, rows = fx.TYPES, []
+    for day in range(63):
+        # inside every day: click to view on all days, and click to error on even days of the month only
+        for user in (1, 2):
+            for i, kind in enumerate(("click", "view", "click", "error") if (day + 1) % 2 else ("click", "view")):
+                rows.append((len(rows), user, day, i, kind, float(day % 5 + i)))
+    assert {r[4] for r in rows} <= set(kinds)
+    df = spark.createDataFrame(rows, "event_id long, user_id long, d int, i int, event_type string, value double")
+    ts = F.expr("timestamp'2024-01-05 06:00:00' + make_interval(0, 0, 0, d, i)")
+    df.withColumn("ts", ts).drop("d", "i").write.parquet(f"{tmp_path}/events.parquet")
+    assert fx.bootstraps(spark, str(tmp_path)) == 7
+    assert sorted(r.boot for r in fx.edges(spark, str(tmp_path)).select("boot").distinct().collect()) == list(range(7))
+    shares = catalogue.QUERIES["C08_edge_shares"](spark, str(tmp_path)).collect()
+    assert shares and all(0 <= r.percent_added <= 1 and 0 <= r.percent_removed <= 1 for r in shares)
+    kept = {(r.user_id, r.lo, r.hi) for r in catalogue.QUERIES["ST14_weight_change"](spark, str(tmp_path)).collect()}
+    assert {(u, "click", "view") for u in (1, 2)} <= kept
