@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dayloom.llm import (
-    byte_pairs, html_main, jaccard_join, language_model, licence_scan, maxscore, packing, quantised, secret_scan, toxicity,
+    byte_pairs, divergence, html_main, impact_lists, jaccard_join, language_model, licence_scan, maxscore, packing,
+    quantised, secret_scan, toxicity, vantage,
 )
 from dayloom.llm.common import table
 
@@ -92,3 +93,21 @@ def op5_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scores = language_model.score(docs, ~language_model.held_out(), BYTE_BPE)
     return scores.select("doc_id", language_model.held_out().alias("held_out"), *scores.columns[1:])
+
+
+@query("op11_vantage_points")
+def op11_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every text and components of links of four bits or fewer."""
+    return vantage.near_duplicates(table(spark, sf_dir, "documents"), n=4, seed=42, most=4)
+
+
+@query("op12_impact_lists", impact_lists.oracle(10))
+def op12_impact_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents for every benchmark item, among all."""
+    return impact_lists.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query("op13_source_divergence", divergence.oracle(3, 200))
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from its language's other sources, and its terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"), least=3, ranks=200)
