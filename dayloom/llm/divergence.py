@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from dayloom.llm.common import batch_rows, partitions, saved
+from dayloom.llm.common import batch_rows, saved
 from dayloom.llm.components import looked_up
 
 #: Bytes of terms, with A-Z in lower case; all others are spaces.
@@ -31,9 +31,14 @@ TERM_BYTES = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
 )
 #: Counts that a task holds before it hands them on; rows in an Arrow batch.
-HELD, ROWS = 400_000, 1 << 16
-#: Index rows in a block of terms; groups that one task accumulates; terms scattered at a time.
-BLOCK, STRIPE, SCATTER = 1 << 19, 256, 1 << 20
+HELD, ROWS = 700_000, 1 << 16
+#: Index rows in a block of terms, at least and at most; as many as a language has pairs
+#: between, so that accumulators are never more than the index.
+BLOCK = (1 << 16, 1 << 21)
+#: Groups that one task accumulates; terms scattered at a time.
+STRIPE, SCATTER = 256, 1 << 20
+#: Groups up to which they are told to all tasks.
+TOLD = 1 << 16
 #: Texts that a Python worker gets at a time.
 BATCH = 1024
 #: Scale of the shares.
@@ -152,40 +157,50 @@ def audit(
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     docs = docs.select(empty(lang).alias("lang"), empty(source).alias("source"), empty(text).alias("_text"))
     counted = docs.mapInArrow(_counted, "lang string, source string, term string, tf long, df long")
-    # one exchange by term serves the documents of a term, its counts by source and its total
+    # one exchange by term serves both aggregations: they read the same columns
     counted = counted.repartition("lang", "term")
-    kept = counted.groupBy("lang", "term").agg(F.sum("df").alias("_df")).filter(F.col("_df") >= least)
-    counts = counted.join(kept, ["lang", "term"], "left_semi").groupBy("lang", "term", "source").agg(F.sum("tf").alias("count"))
-    every = Window.partitionBy("lang", "term")
-    counts = counts.withColumn("whole", F.sum("count").over(every)).withColumn(
-        "first", F.col("source") == F.min("source").over(every)
+    kept = counted.groupBy("lang", "term").agg(
+        F.sum("df").alias("_df"), F.sum("tf").alias("whole"), F.min("source").alias("_least")
+    )
+    kept = kept.filter(F.col("_df") >= least).hint("shuffle_hash")
+    counts = (
+        counted.join(kept, ["lang", "term"])
+        .groupBy("lang", "term", "source", "whole", (F.col("source") == F.col("_least")).alias("first"))
+        .agg(F.sum("tf").alias("count"), F.sum("df").alias("docs"))
+        .filter("docs > 0")
     )
     with batch_rows(spark, BATCH):
         counts = saved(counts, "term-counts")
 
     langs = counts.filter("first").groupBy("lang").agg(F.count("*").alias("v"), F.sum("whole").alias("lang_n"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("count").alias("n"))
+    totals = counts.groupBy("lang", "source").agg(F.sum("count").alias("n"), F.count("*").alias("rows"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     groups = (
         docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
-        .select("lang", "source", zero("n"), zero("v"), zero("lang_n"))
+        .select("lang", "source", zero("n"), zero("v"), zero("lang_n"), zero("rows"))
         .withColumn("code", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
         .withColumn("peers", F.count("*").over(Window.partitionBy("lang")))
+        .withColumn("rows", F.sum("rows").over(Window.partitionBy("lang")))
         .withColumn("p0", _share("0", "n"))
     )
     groups = saved(groups, "groups")
+    size = F.least(F.greatest(F.col("peers") * F.col("peers"), F.lit(BLOCK[0])), F.lit(BLOCK[1]))
+    told = groups.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("rows") / size)).cast("int"))
+    told = told.select(F.struct("lang", "source").alias("_group"), "n", "v", "lang_n", "code", "peers", "blocks", "p0")
     rows = counts.withColumn("_group", F.struct("lang", "source"))
-    told = groups.select(F.struct("lang", "source").alias("_group"), "n", "v", "lang_n", "code", "peers", "p0")
-    rows = looked_up(rows, "_group", told, "term").select(
-        "lang", "source", "term", "code", "peers", "p0", _share("count", "n").alias("p"), _share("whole", "lang_n").alias("q")
-    )
+    few = groups.count() <= TOLD
+    rows = rows.join(F.broadcast(told), "_group") if few else looked_up(rows, "_group", told, "term")
+    rows = rows.select(
+        "lang", "source", "term", "code", "peers", "blocks", "p0",
+        _share("count", "n").alias("p"), _share("whole", "lang_n").alias("q"),
+    )
     rows = saved(rows, "index")
 
-    blocks = max(partitions(spark), -(-rows.count() // BLOCK))
     stripes = F.sequence(F.lit(0), F.ceil(F.col("peers") / STRIPE).cast("int") - 1)
-    index = rows.select("lang", "term", "code", "peers", "p0", "p").withColumn(
-        "block", F.pmod(F.xxhash64("term"), F.lit(blocks))
-    ).withColumn("stripe", F.explode(stripes))
+    index = rows.select(
+        "lang", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), F.explode(stripes).alias("stripe"),
+        "term", "code", "peers", "p0", "p",
+    )
 
     def shared(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         return scatter(g, key[2], int(g["peers"].iloc[0])).assign(lang=key[0])[["lang", "code", "peer", "value"]]

@@ -233,9 +233,9 @@ def plain_audit(rows, least=3, ranks=200):
     return sorted(out)
 
 
-@pytest.mark.parametrize("held, block, stripe, room", [(400_000, 1 << 19, 256, 1 << 20), (20, 30, 2, 3), (1, 7, 1, 1)])
-def test_audit_equals_pair_by_pair(spark, monkeypatch, held, block, stripe, room):
-    for name, v in (("HELD", held), ("BLOCK", block), ("STRIPE", stripe), ("SCATTER", room), ("ROWS", 9)):
+@pytest.mark.parametrize("held, block, stripe, room, told", [(400_000, (1 << 16, 1 << 21), 256, 1 << 20, 99), (20, (5, 30), 2, 3, 0), (1, (7, 7), 1, 1, 0)])
+def test_audit_equals_pair_by_pair(spark, monkeypatch, held, block, stripe, room, told):
+    for name, v in (("HELD", held), ("BLOCK", block), ("STRIPE", stripe), ("SCATTER", room), ("TOLD", told), ("ROWS", 9)):
         monkeypatch.setattr(divergence, name, v)
     rng = random.Random(held)
     words = ["The", "la", "Ñu", "ñu", "x", "😀", "z9z", *(f"w{'abcdefghij'[i]}" for i in range(10))]
