@@ -7,6 +7,11 @@ too, as guests that ask there but have their home outside. Guests go on to every
 that the bounds leave open. The upper levels of the tree deal fingerprints into shards;
 each shard grows its own tree below, down to leaves that are compared in full.
 
+Distances of all 64 bits crowd around 32, so that bands hold most of the fingerprints. A
+tree therefore measures one quarter of the bits: a link of ``most`` bits leaves a quarter
+with ``most // 4`` differing bits or fewer, and is found by that quarter's tree. There are
+four trees; ``PARTS`` of 1 is one tree over all bits, with the same result.
+
 Fingerprints within ``most`` bits of a vantage point are linked to it at once, and pairs
 that are known to be connected are not compared any more, so a dense group costs little.
 A shard returns one link per fingerprint at most; components join the shards.
@@ -20,11 +25,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from dayloom.llm.common import batch_rows, partitions, saved
+from dayloom.llm.common import batch_rows, saved
 from dayloom.llm.components import components, looked_up
 
-#: Fingerprints at home in a shard: at most about, and at least where there are many tasks.
-SHARD, LEAST = 1 << 17, 1 << 12
+#: Stretches of bits that have trees of their own.
+PARTS = 4
+#: Fingerprints at home in a shard, about.
+SHARD = 1 << 16
 #: Fingerprints in the sample that the upper levels are grown from, on average.
 SAMPLE = 1 << 15
 #: Home fingerprints in a leaf; distances held at a time.
@@ -56,8 +63,17 @@ def fingerprint(text: str | None, n: int = 4, seed: int = 42) -> bytes:
     return np.packbits(2 * count > len(octets)).tobytes()
 
 
-def distances(values: np.ndarray, vantage: np.uint64) -> np.ndarray:
-    return np.bitwise_count(values ^ vantage).astype(np.int64)
+ALL = np.uint64(2**64 - 1)
+
+
+def masks(parts: int) -> list[np.uint64]:
+    """Bits of each of ``parts`` stretches."""
+    at = [64 * i // parts for i in range(parts + 1)]
+    return [np.uint64((1 << b) - (1 << a)) for a, b in zip(at, at[1:])]
+
+
+def distances(values: np.ndarray, vantage: np.uint64, mask: np.uint64 = ALL) -> np.ndarray:
+    return np.bitwise_count((values ^ vantage) & mask).astype(np.int64)
 
 
 def radius(home: np.ndarray, guests: np.ndarray, most: int) -> tuple[int, float]:
@@ -73,12 +89,12 @@ def radius(home: np.ndarray, guests: np.ndarray, most: int) -> tuple[int, float]
     return at, float(left[at] / max(1, h[-1] * (h[-1] + g[-1])))
 
 
-def vantage_point(values: np.ndarray, home: np.ndarray, most: int, tries: int = 4) -> np.uint64:
+def vantage_point(values: np.ndarray, home: np.ndarray, bound: int, mask: np.uint64, tries: int = 4) -> np.uint64:
     """The home fingerprint that parts a stretch of its node best, of a few."""
     stretch = values[home[:: max(1, len(home) // 512)]]
     found = home[np.linspace(0, len(home) - 1, tries).astype(np.int64)]
     none = np.empty(0, np.int64)
-    return min((values[v] for v in found), key=lambda v: (radius(distances(stretch, v), none, most)[1], int(v)))
+    return min((values[v] for v in found), key=lambda v: (radius(distances(stretch, v, mask), none, bound)[1], int(v)))
 
 
 class Forest:
@@ -134,9 +150,14 @@ def _compared(values, home, others, forest, most, among=True):
             forest.link(np.r_[rows[i], cols[near[i]]])
 
 
-def search(values: np.ndarray, home: np.ndarray, guests: np.ndarray, most: int) -> Forest:
+def search(
+    values: np.ndarray, home: np.ndarray, guests: np.ndarray, most: int, bound: int | None = None, mask: np.uint64 = ALL
+) -> Forest:
     """Components of distinct ``values`` by links within ``most`` bits that have an end in
-    ``home``. Both are positions; links between two guests are found at their homes."""
+    ``home``; of links with more than ``bound`` differing bits under ``mask`` some may be
+    left to another tree. Home and guests are positions; links between two guests are
+    found at their homes."""
+    bound = most if bound is None else bound
     forest = Forest(len(values))
     nodes = [(home, guests)]
     while nodes:
@@ -150,12 +171,12 @@ def search(values: np.ndarray, home: np.ndarray, guests: np.ndarray, most: int)
         if len(home) <= LEAF:
             compare(values, home, guests, forest, most)
             continue
-        v = vantage_point(values, home, most)
-        d, dg = distances(values[home], v), distances(values[guests], v)
-        linked = np.concatenate([home[d <= most], guests[dg <= most]])
+        v = vantage_point(values, home, bound, mask)
+        linked = every[distances(values[every], v) <= most]
         if len(linked) > 1:
             forest.link(linked)
-        r, left = radius(d, dg, most)
+        d, dg = distances(values[home], v, mask), distances(values[guests], v, mask)
+        r, left = radius(d, dg, bound)
         if left > WORTH:
             for p in home[np.linspace(0, len(home) - 1, 32).astype(np.int64)]:  # a dense group: link it first
                 near = every[distances(values[every], values[p]) <= most]
@@ -163,13 +184,13 @@ def search(values: np.ndarray, home: np.ndarray, guests: np.ndarray, most: int)
                     forest.link(near)
             compare(values, home, guests, forest, most)
             continue
-        band = home[(d > r) & (d <= r + most)]
-        nodes.append((home[d <= r], np.concatenate([guests[dg <= r + most], band])))
-        nodes.append((home[d > r], guests[dg > r - most]))
+        band = home[(d > r) & (d <= r + bound)]
+        nodes.append((home[d <= r], np.concatenate([guests[dg <= r + bound], band])))
+        nodes.append((home[d > r], guests[dg > r - bound]))
     return forest
 
 
-def grow(sample: np.ndarray, weight: float, size: int, most: int) -> list[tuple]:
+def grow(sample: np.ndarray, weight: float, size: int, bound: int, mask: np.uint64 = ALL) -> list[tuple]:
     """Upper levels of a tree: nodes ``(vantage, radius, inside, outside)`` and shards
     ``(first cell, parts)``, the root first. A sampled fingerprint stands for ``weight``;
     a shard that cannot be parted is dealt into as many parts as keep them below ``size``."""
@@ -179,9 +200,9 @@ def grow(sample: np.ndarray, weight: float, size: int, most: int) -> list[tuple]
     while todo:
         at, here = todo.pop()
         if len(here) * weight > size and len(here) > 1:
-            v = vantage_point(sample, here, most, tries=8)
-            d = distances(sample[here], v)
-            r, left = radius(d, none, most)
+            v = vantage_point(sample, here, bound, mask, tries=8)
+            d = distances(sample[here], v, mask)
+            r, left = radius(d, none, bound)
             if left <= WORTH:
                 tree[at] = (v, r, len(tree), len(tree) + 1)
                 tree += [(), ()]
@@ -193,7 +214,7 @@ def grow(sample: np.ndarray, weight: float, size: int, most: int) -> list[tuple]
     return tree
 
 
-def route(tree: list[tuple], values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def route(tree: list[tuple], values: np.ndarray, bound: int, mask: np.uint64 = ALL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(cell, position, at home)`` of fingerprints in all cells where they are at home or
     guests. A shard of several parts has a cell for each part with itself, where guests
     come too, and one for each two parts, where the later part is the guest."""
@@ -205,10 +226,10 @@ def route(tree: list[tuple], values: np.ndarray, most: int) -> tuple[np.ndarray,
             continue
         if len(tree[at]) == 4:
             v, r, inside, outside = tree[at]
-            d, dg = distances(values[home], v), distances(values[guests], v)
-            band = home[(d > r) & (d <= r + most)]
-            todo.append((inside, home[d <= r], np.concatenate([guests[dg <= r + most], band])))
-            todo.append((outside, home[d > r], guests[dg > r - most]))
+            d, dg = distances(values[home], v, mask), distances(values[guests], v, mask)
+            band = home[(d > r) & (d <= r + bound)]
+            todo.append((inside, home[d <= r], np.concatenate([guests[dg <= r + bound], band])))
+            todo.append((outside, home[d > r], guests[dg > r - bound]))
             continue
         cell, parts = tree[at]
         dealt = (values[home] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)
@@ -222,31 +243,31 @@ def route(tree: list[tuple], values: np.ndarray, most: int) -> tuple[np.ndarray,
 
 def links(prints: DataFrame, most: int) -> DataFrame:
     """Links ``(a, b)`` that join all components of the distinct fingerprints ``fp``."""
-    spark = prints.sparkSession
     n = prints.count()
-    size = max(LEAST, min(SHARD, n // max(1, 2 * partitions(spark))))
     share = min(1.0, SAMPLE / max(1, n))
     draw = F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))
     sample = np.sort(prints.filter(draw).select("fp").toPandas()["fp"].to_numpy(np.int64)).view(np.uint64)
-    tree = grow(sample, 1 / share, size, most)
+    bound, bits = most // PARTS, masks(PARTS)
+    trees = [grow(sample, 1 / share, SHARD, bound, m) for m in bits]
 
     def dealt(batches):
         for b in batches:
             values = b["fp"].to_numpy(np.int64)
-            cell, at, own = route(tree, values.view(np.uint64), most)
-            yield pd.DataFrame({"cell": cell, "fp": values[at], "own": own})
+            for part, (tree, mask) in enumerate(zip(trees, bits)):
+                cell, at, own = route(tree, values.view(np.uint64), bound, mask)
+                yield pd.DataFrame({"part": part, "cell": cell, "fp": values[at], "own": own})
 
-    def joined(g: pd.DataFrame) -> pd.DataFrame:
+    def joined(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("fp")
         values, own = g["fp"].to_numpy(np.int64), g["own"].to_numpy(bool)
-        up = search(values.view(np.uint64), np.flatnonzero(own), np.flatnonzero(~own), most)
+        up = search(values.view(np.uint64), np.flatnonzero(own), np.flatnonzero(~own), most, bound, bits[key[0]])
         root = up.roots(np.arange(len(values)))
         more = root != np.arange(len(values))
         return pd.DataFrame({"a": values[more], "b": values[root[more]]})
 
     return (
-        prints.select("fp").mapInPandas(dealt, "cell long, fp long, own boolean")
-        .groupBy("cell").applyInPandas(joined, "a long, b long")
+        prints.select("fp").mapInPandas(dealt, "part int, cell long, fp long, own boolean")
+        .groupBy("part", "cell").applyInPandas(joined, "a long, b long")
     )
 
 

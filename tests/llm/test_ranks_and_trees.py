@@ -74,35 +74,41 @@ def test_long_texts_are_counted_in_stretches(monkeypatch):
     assert int.from_bytes(whole, "big") == plain_fingerprint(text)
 
 
+@pytest.mark.parametrize("parts", [1, 2, 4])
 @pytest.mark.parametrize("leaf, held, seed", [(2, 64, 1), (8, 1 << 10, 2), (32, 1 << 21, 3), (10_000, 1 << 12, 4)])
-def test_trees_find_all_links(monkeypatch, leaf, held, seed):
+def test_trees_find_all_links(monkeypatch, parts, leaf, held, seed):
     monkeypatch.setattr(vantage, "LEAF", leaf)
     monkeypatch.setattr(vantage, "HELD", held)
     values = scattered(seed)
     home = np.random.default_rng(seed).random(len(values)) < 0.6
-    up = vantage.search(values, np.flatnonzero(home), np.flatnonzero(~home), 4)
-    assert up.roots(np.arange(len(values))).tolist() == reachable(values, asked=home)
+    joined = vantage.Forest(len(values))
+    for mask in vantage.masks(parts):
+        up = vantage.search(values, np.flatnonzero(home), np.flatnonzero(~home), 4, 4 // parts, mask)
+        for i, r in enumerate(up.roots(np.arange(len(values)))):
+            joined.link(np.array([i, r]))
+    assert joined.roots(np.arange(len(values))).tolist() == reachable(values, asked=home)
 
 
+@pytest.mark.parametrize("parts", [1, 4])
 @pytest.mark.parametrize("size", [1000, 60, 15])
-def test_shards_meet_in_every_pair(monkeypatch, size):
+def test_shards_meet_in_every_pair(monkeypatch, parts, size):
     monkeypatch.setattr(vantage, "LEAF", 8)
     values = scattered(size)
-    tree = vantage.grow(values[::2], 2, size, 4)
-    cell, at, own = vantage.route(tree, values, 4)
-    assert len(np.unique(cell)) > (size < 1000)
     joined = vantage.Forest(len(values))
-    for c in np.unique(cell):
-        here = np.unique(at[cell == c])
-        mine = np.isin(here, at[(cell == c) & own])
-        up = vantage.search(values[here], np.flatnonzero(mine), np.flatnonzero(~mine), 4)
-        for i, r in enumerate(up.roots(np.arange(len(here)))):
-            joined.link(here[[i, r]])
+    for mask in vantage.masks(parts):
+        tree = vantage.grow(values[::2], 2, size, 4 // parts, mask)
+        cell, at, own = vantage.route(tree, values, 4 // parts, mask)
+        assert len(np.unique(cell)) > (size < 1000)
+        for c in np.unique(cell):
+            here = np.unique(at[cell == c])
+            mine = np.isin(here, at[(cell == c) & own])
+            up = vantage.search(values[here], np.flatnonzero(mine), np.flatnonzero(~mine), 4, 4 // parts, mask)
+            for i, r in enumerate(up.roots(np.arange(len(here)))):
+                joined.link(here[[i, r]])
     assert joined.roots(np.arange(len(values))).tolist() == reachable(values)
 
 
 def test_near_duplicates_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(vantage, "LEAST", 16)
     monkeypatch.setattr(vantage, "SHARD", 32)
     monkeypatch.setattr(vantage, "LEAF", 4)
     rng = random.Random(9)
