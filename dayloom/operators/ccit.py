@@ -1,8 +1,16 @@
-"""Classifier test of conditional independence (Sen et al. 2017).
+"""Classifier test of conditional independence (Sen et al. 2017), many tests at once.
 
-Rows of one half are compared with rows of the other half whose ``y`` comes
-from a neighbour in ``z``. If a classifier cannot tell them apart, x and y are
-independent given z.
+A round deals the rows into three parts by hash. The first stays as it is; a row of the
+second takes its ``y`` from the nearest row in ``z`` of the third. If a classifier cannot
+tell first and second part apart, x and y are independent given z.
+
+Rounds and tests are keys, not loops. Neighbours meet in a locality-sensitive bucket join:
+z is cut into cells, finer the more rows a test has, shifted by another offset in every
+round; a row asks in the finest cell that holds a donor and takes the nearest of a bucket.
+Buckets hold about ``BUCKET`` donors: fuller cells are dealt by hash, so rows of equal z
+never meet in one task. The classifier is a forest of random splits: a tree sends a row to
+one of ``2 ** depth`` leaves by fixed cuts, so that training is one count by leaf for all
+rounds, and scoring the mean over a row's leaves.
 """
 
 from __future__ import annotations
@@ -11,68 +19,133 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from dayloom.functions import scalars as fn
-from dayloom.operators import ordered, sampling
+from dayloom.operators import sampling
+from dayloom.operators.lookup import looked_up
 from dayloom.session import cut_lineage
 
+#: Donors in a bucket, about; columns of z that make cells (distances take all).
+BUCKET, CELL_COLUMNS = 32, 3
 
-def _swapped(df: DataFrame, y: str, near: Column, rows: int, seed: str, row_id: str) -> DataFrame:
-    """Give each row the ``y`` of the next row in the order of ``near``.
 
-    With one z column that is the nearest neighbour above; with several, the
-    order is a random direction that changes every round. A large table is cut
-    into blocks of the order; a block's last row takes the row before it.
-    """
-    placed = df.withColumns({"_near": near, "_all": F.lit(1), "_tie": sampling.hash_order(row_id, seed=seed)})
-    if rows > ordered.BLOCK_ROWS:
-        placed = ordered.with_blocks(placed, ["_all"], "_near", ordered.BLOCK_ROWS)
-    else:
-        placed = placed.withColumn("_block", F.lit(0))
-    w = Window.partitionBy("_all", "_block").orderBy("_near", "_tie")
-    other = F.coalesce(F.lead(y).over(w), F.lag(y).over(w), F.col(y))
-    return placed.withColumn("_y", other).drop(y, "_near", "_all", "_tie", "_block").withColumnRenamed("_y", y)
+def shifts(rounds: int) -> np.ndarray:
+    """Offset of the cells of each round and column."""
+    return np.random.default_rng(17).uniform(0, 1, (rounds, CELL_COLUMNS)).round(6)
 
 
-def conditional_independence(
-    df: DataFrame, x: str, y: str, z: Sequence[str], *, row_id: str, rounds: int = 30,
-    trees: int = 20, depth: int = 4, alpha: float | None = None, seed: str = "ccit",
-) -> float | bool:
-    """p-value of "x and y are independent given z"; with ``alpha``, p >= alpha.
-
-    Each round splits the rows in two by hash, trains on two thirds of the
-    mixture and scores the rest. The mean gap over a coin flip, against its
-    sampling error, gives the p-value.
+def cuts(columns: int, trees: int, depth: int) -> list[list[tuple[int, float]]]:
+    """Per tree its (column, cut) pairs; scaled values lie between 0 and 1."""
+    rng = np.random.default_rng(29)
+    return [[(int(rng.integers(columns)), round(float(rng.uniform(0.15, 0.85)), 6)) for _ in range(depth)] for _ in range(trees)]
+
+
+def _p_value(gap: Column, tested: Column, rounds: int) -> Column:
+    @F.pandas_udf(DoubleType())
+    def tail(g: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([0.5 * math.erfc(a / (0.5 / math.sqrt(max(b / rounds, 1))) / math.sqrt(2)) for a, b in zip(g, n)], dtype=float)
+
+    return tail(gap, tested.cast("double"))
+
+
+def classifier_tests(
+    df: DataFrame, x: str, y: str, z: Sequence[str] = (), *, row_id: str, keys: Sequence[str] = (),
+    rounds: int = 30, trees: int = 32, depth: int = 5, seed: str = "ccit",
+) -> DataFrame:
+    """One row per test (``keys``; without keys one test over all rows): rows tested, mean
+    ``gap`` of the balanced accuracy over a coin flip, and ``p_val`` of independence.
+
+    Rows with a null among the test's columns take no part; ``row_id`` tells a test's rows
+    apart. A test without rows gives no row; where a round has no donor, a row keeps its y.
     """
+    keys, width = list(keys), min(len(z), CELL_COLUMNS)
     cols = [x, y, *z]
-    data = df.select(F.col(row_id).cast("string").alias(row_id), *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    data = cut_lineage(data)  # read in every round
-    rows = data.count()
-    gaps, tested = [], 0
-    for k in range(rounds):
-        tag = f"{seed}-{k}"
-        u = fn.md5_bits(sampling.hash_key(row_id, seed=tag)) % 2
-        real = data.where(u == 0).withColumn("label", F.lit(1.0))
-        rng = np.random.default_rng(k)
-        near = sum((F.col(c) * float(g) for c, g in zip(z, rng.normal(size=len(z)))), F.lit(0.0))
-        if not z:
-            near = fn.md5_bits(sampling.hash_key(row_id, seed=f"{tag}-order")).cast("double")
-        fake = _swapped(data.where(u == 1), y, near, rows, tag, row_id).withColumn("label", F.lit(0.0))
-        mixed = real.unionByName(fake.select(*real.columns))
-        split = sampling.hash_split(mixed, 1 / 3, keys=[row_id], seed=f"{tag}-part")
-        split = VectorAssembler(inputCols=cols, outputCol="_x").transform(split)
-        model = GBTClassifier(featuresCol="_x", labelCol="label", maxIter=trees, maxDepth=depth, seed=k).fit(
-            split.where("part = 'train'").select("_x", "label")
-        )
-        hit = (F.col("prediction") == F.col("label")).cast("double")
-        # balanced accuracy: the halves differ in size by chance
-        out = model.transform(split.where("part = 'test'")).groupBy("label").agg(F.avg(hit).alias("a"), F.count(F.lit(1)).alias("n"))
-        sides = out.collect()  # one row per label
-        gaps.append(sum(r["a"] for r in sides) / len(sides) - 0.5)
-        tested += sum(r["n"] for r in sides)
-    sigma = 0.5 / math.sqrt(max(tested / rounds, 1))
-    p = 0.5 * math.erfc(float(np.mean(gaps)) / sigma / math.sqrt(2))
-    return p if alpha is None else p >= alpha
+    data = df.select(
+        *keys, F.col(row_id).cast("string").alias("_id"), *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)]
+    ).dropna(subset=["_id", *[f"_c{i}" for i in range(len(cols))]])
+    data = cut_lineage(data)  # read for its moments and for the rounds
+    moments = data.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[f(f"_c{i}").alias(f"_{n}{i}") for i in range(len(cols)) for n, f in (("m", F.avg), ("s", F.stddev_pop))],
+    )
+    data = looked_up(data, keys, moments, "_id") if keys else data.crossJoin(F.broadcast(moments))
+
+    def scaled(i: int) -> Column:
+        s = F.coalesce((F.col(f"_c{i}") - F.col(f"_m{i}")) / F.nullif(F.col(f"_s{i}"), F.lit(0.0)), F.lit(0.0))
+        return F.round(1 / (1 + F.exp(-1.702 * s)), 9).alias(f"_u{i}")
+
+    us = [f"_u{i}" for i in range(len(cols))]
+    level = F.greatest(F.lit(0), F.floor(F.log2(F.col("_n") / (3.0 * BUCKET)) / max(width, 1)).cast("int"))
+    digest = sampling.hash_key("_id", "_k", seed=seed)
+    rows = (
+        data.select(*keys, "_id", *[scaled(i) for i in range(len(cols))], (level if width else F.lit(0)).alias("_fine"))
+        .withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+        .withColumns({"_part": fn.md5_bits(digest) % 3, "_test": fn.md5_bits(digest, 9) % 3 == 0, "_deal": fn.md5_bits(digest, 17)})
+    )
+    tests = [*keys, "_k"]
+    real = rows.where("_part = 0").select(*tests, "_id", "_test", F.lit(1.0).alias("_label"), *us)
+    fake = _swapped(rows, tests, us, width, rounds).withColumn("_label", F.lit(0.0))
+    mixed = cut_lineage(real.unionByName(fake.select(*real.columns)))
+    hits = _hits(mixed, tests, us, trees, depth)
+    sides = hits.groupBy(*tests, "_label").agg(F.avg("_hit").alias("_a"), F.count(F.lit(1)).alias("_n"))
+    gaps = sides.groupBy(*tests).agg((F.avg("_a") - 0.5).alias("_gap"), F.sum("_n").alias("_n"))
+    out = gaps.groupBy(*keys).agg(F.sum("_n").alias("tested"), F.avg("_gap").alias("gap")).where("tested is not null")
+    return out.withColumn("p_val", _p_value(F.col("gap"), F.col("tested"), rounds))
+
+
+def _swapped(rows: DataFrame, tests: list[str], us: list[str], width: int, rounds: int) -> DataFrame:
+    """The second part of every round, each row with the y of its neighbour in the third."""
+    offset = shifts(rounds)
+    shift = [F.element_at(F.array(*[F.lit(float(o)) for o in offset[:, h]]), F.col("_k") + 1) for h in range(width)]
+    corner = [F.floor(F.col(us[2 + h]) * F.pow(F.lit(2.0), F.col("_level")) + shift[h]).cast("string") for h in range(width)]
+    levels = F.array_distinct(F.array(*[F.floor(F.col("_fine") / d).cast("int") for d in (1, 2, 4)], F.lit(0)))
+    placed = (
+        rows.where("_part > 0").withColumn("_level", F.explode(levels)).withColumn("_cell", F.concat_ws(",", *corner))
+    )
+    at = [*tests, "_level", "_cell"]
+    count = placed.where("_part = 2").groupBy(*at).agg(F.count(F.lit(1)).alias("_full"))
+    placed = looked_up(placed, at, count, "_id", "left")
+    bucket = F.pmod(F.col("_deal"), F.ceil(F.col("_full") / BUCKET)).cast("int").alias("_bucket")
+    donors = placed.where("_part = 2").select(
+        *at, bucket, *[F.col(u).alias(f"_d{u}") for u in us[1:]], F.col("_deal").alias("_turn"), F.col("_id").alias("_from")
+    )
+    own = [*tests, "_id", "_test", "_deal", *us]
+    finest = F.max(F.when(F.col("_full").isNotNull(), F.struct("_level", "_cell", "_full"))).alias("_at")
+    asks = placed.where("_part = 1").groupBy(*own).agg(finest).select(*own, "_at.*").select(*own, "_level", "_cell", bucket)
+    near = asks.join(donors, [*at, "_bucket"], "left")
+    apart = sum(((F.col(u) - F.col(f"_d{u}")) * (F.col(u) - F.col(f"_d{u}")) for u in us[2:]), F.lit(0.0))
+    # rows at equal distance come in another order for every row that asks
+    order = F.struct(F.round(apart, 12), F.col("_deal").bitwiseXOR(F.col("_turn")), F.col("_from"))
+    best = near.groupBy(*own).agg(F.min_by(f"_d{us[1]}", order).alias("_y"))
+    return best.withColumn(us[1], F.coalesce("_y", us[1])).drop("_y", "_deal")
+
+
+def _hits(mixed: DataFrame, tests: list[str], us: list[str], trees: int, depth: int) -> DataFrame:
+    """Rows held out of training, with 1 where the forest names their part."""
+    size = 2**depth
+    slots = [
+        F.lit(t * size) + sum(((F.col(us[c]) > F.lit(v)).cast("int") * 2**d for d, (c, v) in enumerate(tree)), F.lit(0))
+        for t, tree in enumerate(cuts(len(us), trees, depth))
+    ]
+    coded = mixed.withColumn("_slots", F.array(*slots))
+    train = coded.where(~F.col("_test")).select(*tests, F.explode("_slots").alias("_slot"), "_label")
+    leaves = train.groupBy(*tests, "_slot").agg(((F.sum("_label") + 1) / (F.count(F.lit(1)) + 2)).alias("_v"))
+    known = leaves.groupBy(*tests).agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_v"))).alias("_known"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(trees * size - 1)), lambda s: F.coalesce(F.try_element_at("_known", s), F.lit(0.5)))
+    forest = known.select(*tests, every.alias("_leaf"))  # trees x leaves numbers a test and round
+    told = looked_up(coded.where("_test"), tests, forest, "_id")
+    score = F.aggregate("_slots", F.lit(0.0), lambda a, s: a + F.element_at("_leaf", s + 1)) / trees
+    return told.withColumn("_hit", ((F.round(score, 9) >= 0.5).cast("double") == F.col("_label")).cast("double"))
+
+
+def conditional_independence(
+    df: DataFrame, x: str, y: str, z: Sequence[str], *, alpha: float | None = None, **options
+) -> float | bool | None:
+    """p-value of one test over the whole table; with ``alpha``, p >= alpha. None without rows."""
+    row = classifier_tests(df, x, y, z, **options).first()
+    if row is None:
+        return None
+    return row["p_val"] if alpha is None else row["p_val"] >= alpha

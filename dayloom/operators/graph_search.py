@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from dayloom.functions import tails
-from dayloom.operators import panel, runs, sampling
+from dayloom.operators import ci_tests, panel, runs, sampling
 from dayloom.session import cut_lineage
 
 GRAPH = ["boot", "cond"]
@@ -54,13 +54,17 @@ def prepared_days(
 
 
 def sample_pool(
-    days: DataFrame, features: Sequence[str], *, limit: int, boots: int, seed: str, entity: str, date: str
+    days: DataFrame, features: Sequence[str], *, limit: int, boots: int, seed: str, entity: str, date: str,
+    group: Sequence[str] = (),
 ) -> DataFrame:
-    """Run samples and all days per bootstrap, with the counts that decide what can be drawn."""
+    """Run samples and all days per bootstrap, with the counts that decide what can be drawn.
+
+    ``group`` names further keys that tell panels of one entity apart; draws do not depend on them.
+    """
     pool = runs.sample_runs(
-        days, features, "label", limit=limit, boots=boots, seed=seed, entity=entity, date=date, with_days=True
+        days, features, "label", limit=limit, boots=boots, seed=seed, entity=entity, date=date, with_days=True, group=group
     )
-    u = Window.partitionBy(entity, "boot")
+    u = Window.partitionBy(entity, *group, "boot")
     size = lambda c: F.count(F.when(F.col("cond") == c, 1)).over(u)
     return pool.withColumns({c: size(k) for c, k in (("n_stress", "stress"), ("n_calm", "no_stress"), ("n_days", "day"))})
 
@@ -83,9 +87,11 @@ def entity_status(pool: DataFrame, min_rows: int, *, entity: str) -> DataFrame:
     )
 
 
-def draw_samples(pool: DataFrame, *, min_rows: int, seed: str, entity: str, date: str) -> DataFrame:
+def draw_samples(
+    pool: DataFrame, *, min_rows: int, seed: str, entity: str, date: str, group: Sequence[str] = ()
+) -> DataFrame:
     """n rows each for stress, no_stress and two disjoint reference samples a and b of days."""
-    w = Window.partitionBy(entity, "boot", "cond").orderBy(
+    w = Window.partitionBy(entity, *group, "boot", "cond").orderBy(
         sampling.hash_order(entity, date, "boot", "cond", seed=seed), date
     )
     n = F.least("n_stress", "n_calm")
@@ -100,10 +106,14 @@ def draw_samples(pool: DataFrame, *, min_rows: int, seed: str, entity: str, date
 
 
 def correlation_rows(
-    samples: DataFrame, features: Sequence[str], *, sigma: float, seed: str, entity: str, date: str
+    samples: DataFrame, features: Sequence[str], *, sigma: float, seed: str, entity: str, date: str,
+    group: Sequence[str] = (), extra: Sequence[str] = (),
 ) -> DataFrame:
     """One row per graph: n, and flat correlation matrices with (``c``) and without (``w``) noise.
 
+    ``extra`` may add ``s``, the correlations of the noisy sample's ranks, and ``x``, the
+    noisy sample itself.
+
     A graph's sample is at most the calendar times the features, so it travels
     as one flat array and NumPy takes all pairs at once; hundreds of pairwise
     aggregates would outgrow generated code. ``w`` is null without spread.
@@ -125,10 +135,23 @@ def correlation_rows(
 
         return values.map(one)
 
-    grouped = both.groupBy(entity, *GRAPH).agg(
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def ranked(values: pd.Series) -> pd.Series:
+        """Average ranks of every column of the flat samples."""
+
+        def one(v):
+            x = pd.DataFrame(np.asarray(v, float).reshape(-1, p))
+            return x.rank().to_numpy().ravel()
+
+        return values.map(one)
+
+    grouped = both.groupBy(*group, entity, *GRAPH).agg(
         F.count(F.lit(1)).alias("n"), flat(noisy).alias("_c"), flat(features).alias("_w")
     )
-    out = grouped.select(entity, *GRAPH, "n", matrix("_c").alias("c"), matrix("_w").alias("w"))
+    more = {"s": lambda: matrix(ranked("_c")).alias("s"), "x": lambda: F.col("_c").alias("x")}
+    out = grouped.select(
+        *group, entity, *GRAPH, "n", matrix("_c").alias("c"), matrix("_w").alias("w"), *[more[e]() for e in extra]
+    )
     return out.withColumn("w", F.transform("w", lambda x: F.when(~F.isnan(x), x)))
 
 
@@ -245,6 +268,53 @@ def skeleton(graphs: DataFrame, features: Sequence[str], *, max_cond: int = 2) -
     return out.withColumn("edges", F.transform("edges", lambda e: edge(e)))
 
 
+def _questions(edges: DataFrame, keys: list[str], level: int) -> DataFrame:
+    """Every edge with every set of ``level`` neighbours of one end, in the order of trial."""
+    pair = edges.select(*keys, "i", "j")
+    if level == 0:
+        return pair.withColumns({"z": F.array().cast("array<int>"), "ord": F.array(F.lit(0))})
+    arcs = pair.select(*keys, F.explode(F.array(F.struct(F.col("i").alias("v"), F.col("j").alias("nb")), F.struct(F.col("j").alias("v"), F.col("i").alias("nb")))).alias("a"))
+    around = arcs.select(*keys, "a.v", "a.nb").groupBy(*keys, "v").agg(F.sort_array(F.collect_list("nb")).alias("near"))  # at most the features
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("v")), F.struct(F.lit(1).alias("side"), F.col("j").alias("v"))))
+    asked = pair.withColumn("_e", ends).select(*keys, "i", "j", "_e.side", "_e.v").join(around, [*keys, "v"])
+    rest = F.filter("near", lambda n: (n != F.col("i")) & (n != F.col("j")))
+    sets = F.transform(rest, lambda a: F.array(a))
+    for _ in range(level - 1):
+        sets = F.flatten(F.transform(sets, lambda s: F.transform(
+            F.filter(rest, lambda a: a > F.element_at(s, -1)), lambda a: F.concat(s, F.array(a)))))
+    out = asked.select(*keys, "i", "j", "side", F.explode(sets).alias("z"))
+    return out.select(*keys, "i", "j", "z", F.concat(F.array("side"), "z").alias("ord"))
+
+
+def skeleton_by_test(
+    graphs: DataFrame, features: Sequence[str], test: str, *, keys: Sequence[str], alpha: float, max_cond: int = 2
+) -> DataFrame:
+    """The search of ``skeleton`` as a table of questions per level, filled by a test by name.
+
+    Adds the same ``edges`` and ``cut``. A level is one pass over all graphs: edges, their
+    neighbours as they are at its start, the test, and an anti-join of what it set free.
+    """
+    keys, p = list(keys), len(features)
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(p) for j in range(i + 1, p)])
+    usable = F.filter(pairs, lambda e: F.array_contains("usable", e.i) & F.array_contains("usable", e.j))
+    edges, cut = graphs.select(*keys, F.inline(usable)), None
+    for level in range(max_cond + 1):
+        asked = ci_tests.Asked(_questions(edges, keys, level), graphs, keys, p, level, alpha)
+        free = ci_tests.TESTS[test](asked).groupBy(*keys, "i", "j").agg(F.min_by("z", "ord").alias("z"))
+        free = cut_lineage(free)
+        edges = cut_lineage(edges.join(free.select(*keys, "i", "j"), [*keys, "i", "j"], "left_anti"))
+        if level:
+            cut = free if cut is None else cut.unionByName(free)
+    listed = lambda df, name, *cols: df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
+    out = graphs.join(listed(edges, "edges", "i", "j"), keys, "left")
+    none = lambda kind: F.array().cast(f"array<struct<{kind}>>")
+    cut = listed(cut, "cut", "i", "j", "z") if cut is not None else None
+    out = out.join(cut, keys, "left") if cut is not None else out.withColumn("cut", none("i:int,j:int,z:array<int>"))
+    return out.withColumns({
+        "edges": F.coalesce("edges", none("i:int,j:int")), "cut": F.coalesce("cut", none("i:int,j:int,z:array<int>"))
+    })
+
+
 # ------------------------------------------------------------------- orientation
 
 
@@ -370,40 +440,96 @@ def unfold(graphs: DataFrame, column: str, *keep: str) -> DataFrame:
 # ---------------------------------------------------------------------- the job
 
 
-def graph_rows(
-    df: DataFrame, features: Sequence[str], label: Callable[[DataFrame], DataFrame], *, entity: str, date: str,
-    boots: int = 100, limit: int = 3, min_rows: int = 10, min_distinct: int = 5, sigma: float = 0.001,
-    alpha: float = 0.05, max_cond: int = 2, seed: str = "graph", backfill: str | None = None,
+def usable_features(df: DataFrame, features: Sequence[str], k: int, *, entity: str) -> DataFrame:
+    """``distinct_gate`` as a column: a window of the entity's shuffle in place of a scan of its own."""
+    u = Window.partitionBy(entity)
+    flags = [F.when(F.size(F.collect_set(f).over(u)) >= k, F.lit(i)) for i, f in enumerate(features)]
+    return df.withColumn("usable", F.array_compact(F.array(*flags)))
+
+
+def definition_rows(
+    df: DataFrame, definitions: dict[str, tuple[Sequence[str], Callable[[DataFrame], DataFrame]]], *,
+    entity: str, date: str, boots: int = 100, limit: int = 3, min_rows: int = 10, min_distinct: int = 5,
+    sigma: float = 0.001, alpha: float = 0.05, max_cond: int = 2, seed: str = "graph", backfill: Sequence[str] = (),
+    ci_test: str = "pearsonr", label_after_scaling: bool = False,
 ) -> DataFrame:
-    """One row per entity, bootstrap and condition with its skeleton and directed graph."""
+    """One row per definition, entity, bootstrap and condition with its skeleton and directed graph.
+
+    A definition is (features, label step). The panel is filled, scaled and completed once
+    for the features of all definitions; then every day is repeated per definition with
+    that definition's label, and a definition's features mask the pairs its graphs may
+    have. ``ci_test`` names a test of ``ci_tests``. Labels are taken from unscaled values,
+    or with ``label_after_scaling`` from the scaled and completed ones, as published.
+    """
     keys = {"entity": entity, "date": date}
-    days = prepared_days(df, features, label, **keys, backfill=backfill)
-    pool = sample_pool(days, features, limit=limit, boots=boots, seed=seed, **keys)
-    samples = draw_samples(pool, min_rows=min_rows, seed=seed, **keys)
-    rows = correlation_rows(samples, features, sigma=sigma, seed=seed, **keys)
-    gated = rows.join(distinct_gate(df, features, min_distinct, entity=entity), entity)
-    ready = spread(gated.withColumn("limit", critical_r(F.col("n"), alpha)), entity, *GRAPH)
+    features = list(dict.fromkeys(f for names, _ in definitions.values() for f in names))
+    out = usable_features(spread(df, entity), features, min_distinct, entity=entity)
+    out = panel.fill_days(out, **keys)
+    if backfill:
+        out = panel.backward_fill(out, list(backfill), 7, **keys)
+    marks = {name: f"_label_{i}" for i, name in enumerate(definitions)}
+
+    def labelled(days: DataFrame) -> DataFrame:
+        for name, (_, label) in definitions.items():
+            days = label(days).withColumnRenamed("label", marks[name])
+        return days
+
+    if not label_after_scaling:
+        out = labelled(out)
+    out = panel.z_score(out, features, entity=entity)
+    out = panel.entity_means(out, features, entity=entity)
+    out = panel.interpolate(out, features, **keys)
+    out = panel.fill_with_mean(out, features, entity=entity, means_attached=True)
+    if label_after_scaling:
+        out = labelled(out)
+    out = out.withColumn("usable", F.max("usable").over(Window.partitionBy(entity)))  # filled days have none
+    each = [
+        F.struct(
+            F.lit(name).alias("definition"), F.col(marks[name]).cast("double").alias("label"),
+            F.array(*[F.lit(features.index(f)) for f in names]).alias("mask"),
+        )
+        for name, (names, _) in definitions.items()
+    ]
+    days = out.select(entity, date, "usable", *features, F.explode(F.array(*each)).alias("_d")).select(
+        entity, date, "_d.definition", "_d.label", F.array_intersect("usable", "_d.mask").alias("usable"), *features
+    )
+    # the mask is one value per entity and definition, so it can be a key
+    group = ["definition", "usable"]
+    pool = sample_pool(days, features, limit=limit, boots=boots, seed=seed, group=group, **keys)
+    samples = draw_samples(pool, min_rows=min_rows, seed=seed, group=group, **keys)
+    extra = {"spearmanr": ["s"], "pearsonr": []}.get(ci_test, ["s", "x"])
+    rows = correlation_rows(samples, features, sigma=sigma, seed=seed, group=group, extra=extra, **keys)
+    graph = ["definition", entity, *GRAPH]
+    ready = spread(rows.withColumn("limit", critical_r(F.col("n"), alpha)), *graph)
     # the matrices are what the whole pipeline cost so far: written once, the search and
     # whatever reads its result start from them
     ready = cut_lineage(ready)
-    return directed(skeleton(ready, features, max_cond=max_cond))
+    if ci_test == "pearsonr":  # needs nothing but the matrix: no level leaves the row
+        found = skeleton(ready, features, max_cond=max_cond)
+    else:
+        found = skeleton_by_test(ready, features, ci_test, keys=graph, alpha=alpha, max_cond=max_cond)
+    return directed(found).withColumn("features", F.array(*[F.lit(f) for f in features]))
+
+
+def graph_rows(
+    df: DataFrame, features: Sequence[str], label: Callable[[DataFrame], DataFrame], *, entity: str, date: str,
+    backfill: str | None = None, **options,
+) -> DataFrame:
+    """``definition_rows`` of one definition."""
+    more = {"backfill": [backfill]} if backfill else {}
+    rows = definition_rows(df, {"": (features, label)}, entity=entity, date=date, **more, **options)
+    return rows.drop("definition", "features")
 
 
 def discover(
     df: DataFrame, definitions: dict[str, tuple[Sequence[str], Callable[[DataFrame], DataFrame]]], **options
 ) -> DataFrame:
     """Graph rows of several stress definitions: (features, label step) by name."""
-    out = None
-    for name, (features, label) in definitions.items():
-        rows = graph_rows(df, features, label, **options).withColumn("definition", F.lit(name))
-        names = F.array(*[F.lit(f) for f in features])
-        rows = rows.withColumn("features", names)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return definition_rows(df, definitions, **options)
 
 
 def definition_edges(graphs: DataFrame, *, entity: str) -> DataFrame:
-    """Edge rows of ``discover``; each definition reads its own feature list."""
+    """Edge rows of ``discover`` with the features' names."""
     rows = unfold(graphs, "arcs", "definition", entity, *GRAPH, "w", "features")
     p = F.size("features")
     return rows.select(

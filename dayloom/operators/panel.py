@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from dayloom.functions import scalars as fn
 
 
-def by_day(entity: str, date: str):
+def by_day(entity: str | list[str], date: str):
     return Window.partitionBy(entity).orderBy(date)
 
 
-def whole(entity: str):
+def whole(entity: str | list[str]):
     return Window.partitionBy(entity)
 
 
@@ -379,7 +379,7 @@ def pad_label(df: DataFrame, label: str, buffer: int, *, entity: str, date: str)
     return _replace(out, {label: F.when(F.col("_mark"), 1.0).otherwise(F.col(label))}).select(*df.columns)
 
 
-def label_runs(df: DataFrame, label: str, *, entity: str, date: str) -> DataFrame:
+def label_runs(df: DataFrame, label: str, *, entity: str | list[str], date: str) -> DataFrame:
     """Number the runs of equal labels in time.
 
     Only labels 0, 1 and 2 form runs; the entity's last row is a run by itself.

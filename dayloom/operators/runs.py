@@ -10,28 +10,29 @@ from dayloom.operators import panel, sampling
 
 
 def ranked_runs(
-    df: DataFrame, label: str, *, boots: int, seed: str, entity: str, date: str
+    df: DataFrame, label: str, *, boots: int, seed: str, entity: str, date: str, group: Sequence[str] = ()
 ) -> DataFrame:
     """Runs with their length ``g`` and a random order ``r`` of their days per bootstrap."""
-    numbered = panel.label_runs(df, label, entity=entity, date=date)
-    sized = numbered.withColumn("g", F.count(F.lit(1)).over(Window.partitionBy(entity, "run")))
+    numbered = panel.label_runs(df, label, entity=[entity, *group], date=date)
+    sized = numbered.withColumn("g", F.count(F.lit(1)).over(Window.partitionBy(entity, *group, "run")))
     drawn = sampling.with_boots(sized, boots)
     order = sampling.hash_order(entity, date, "boot", seed=seed)
-    w = Window.partitionBy(entity, "boot", "run").orderBy(order, date)
+    w = Window.partitionBy(entity, *group, "boot", "run").orderBy(order, date)
     return drawn.withColumn("r", F.row_number().over(w))
 
 
 def sample_runs(
     df: DataFrame, features: Sequence[str], label: str, *, limit: int, boots: int, seed: str,
-    entity: str, date: str, with_days: bool = False,
+    entity: str, date: str, with_days: bool = False, group: Sequence[str] = (),
 ) -> DataFrame:
     """One row for a run of 1, one mean row for a run up to ``limit``, half the days of a longer one.
 
     Rows labelled 0 become ``no_stress``, 1 and 2 ``stress``, others are dropped.
     ``with_days`` also returns every single day as ``day``. Every step is keyed
-    by the entity first, so one shuffle serves them all.
+    by the entity first, so one shuffle serves them all. ``group`` names further keys
+    that tell panels of one entity apart; draws do not depend on them.
     """
-    rows = ranked_runs(df, label, boots=boots, seed=seed, entity=entity, date=date)
+    rows = ranked_runs(df, label, boots=boots, seed=seed, entity=entity, date=date, group=group)
     g, r, y = F.col("g"), F.col("r"), F.col(label)
     cond = F.when(y == 0, "no_stress").when(y.isin(1, 2), "stress")
     kept = y.isin(0, 1, 2) & ((g <= limit) | (r <= F.floor(g / 2)))
@@ -42,7 +43,7 @@ def sample_runs(
         roles.append(role(F.lit("day"), r))
     parts = rows.withColumn("_role", F.explode(F.array_compact(F.array(*roles))))
     return (
-        parts.groupBy(entity, "boot", F.col("_role.cond").alias("cond"), "run", F.col("_role.slot").alias("_slot"))
+        parts.groupBy(entity, *group, "boot", F.col("_role.cond").alias("cond"), "run", F.col("_role.slot").alias("_slot"))
         .agg(F.min(date).alias(date), *[F.avg(c).alias(c) for c in features])
         .drop("run", "_slot")
     )

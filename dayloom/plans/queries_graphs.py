@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dayloom.operators import graph_search as gs, graph_tables as gt
+from dayloom.operators import ci_tests, graph_search as gs, graph_tables as gt
 from dayloom.plans import fixtures as fx, sqlkit as sk
 from dayloom.plans.fixtures import ALL_EDGES, EDGES, FILLED
 from dayloom.plans.registry import query, r6, r6s, tidy
+from dayloom.session import cut_lineage
 
 K = {"entity": "user_id", "date": "date"}
 G = ["user_id", "boot", "cond"]
@@ -310,9 +311,17 @@ def _panel(spark, sf):
     return fx.daily_panel(spark, sf).select("user_id", "date", "lab", "lab3", *FEATS)
 
 
-def search_sql(label: str) -> str:
-    """Samples, correlations and skeleton of one definition in SQL."""
+def search_sql(label: str, ranks: bool = False, mask: list[str] | None = None) -> str:
+    """Samples, correlations (of ranks, if asked) and skeleton of one definition in SQL.
+
+    ``mask`` names the definition's features; the others have no pairs.
+    """
     f = FEATS
+    noisy = ", ".join(f"{sk.noisy(c, i)} AS e{i}" for i, c in enumerate(f))
+    by = "PARTITION BY user_id, boot, cond"
+    ranked = ", ".join(f"CAST(rank() OVER ({by} ORDER BY e{i}) AS DOUBLE) AS e{i}" for i in range(len(f)))
+    flat = f"noisy AS (SELECT * EXCLUDE ({', '.join(f'e{i}' for i in range(len(f)))}), {ranked} FROM plain)" if ranks else "noisy AS (SELECT * FROM plain)"
+    masked = "".join(f" AND {i} NOT IN (i, j)" for i, c in enumerate(f) if mask and c not in mask)
     cols = ", ".join(f)
     key = lambda extra: f"md5(concat_ws('|', CAST(user_id AS VARCHAR), CAST(date AS VARCHAR), CAST(boot AS VARCHAR), {extra}))"
     pairs = [(i, j) for i in range(len(f)) for j in range(i + 1, len(f))]
@@ -335,10 +344,10 @@ def search_sql(label: str) -> str:
   dr AS (SELECT pool.*, nn, row_number() OVER (PARTITION BY user_id, boot, cond ORDER BY {key("cond, 'graph'")}, date) AS r FROM pool JOIN st USING (user_id, boot) WHERE status = 'ok'),
   smp AS (SELECT user_id, boot, date, CASE WHEN cond <> 'day' THEN cond WHEN r <= nn THEN 'a' ELSE 'b' END AS cond, {cols} FROM dr WHERE r <= nn OR (cond = 'day' AND r <= 2 * nn)),
   hs AS (SELECT *, {', '.join(f'''{key(f"cond, '{i}', 'graph'")} AS h{i}''' for i in range((len(f) + 3) // 4))} FROM smp),
-  noisy AS (SELECT *, {', '.join(f"{sk.noisy(c, i)} AS e{i}" for i, c in enumerate(f))} FROM hs),
+  plain AS (SELECT *, {noisy} FROM hs), {flat},
   cr AS MATERIALIZED ({corrs}),
   use AS (SELECT user_id, {', '.join(f'count(DISTINCT {c}) >= 5 AS u{i}' for i, c in enumerate(f))} FROM panel GROUP BY 1),
-  ok AS (SELECT cr.* FROM cr JOIN use USING (user_id) WHERE {' AND '.join(f'(NOT (i = {i} OR j = {i}) OR u{i})' for i in range(len(f)))}),
+  ok AS (SELECT cr.* FROM cr JOIN use USING (user_id) WHERE {' AND '.join(f'(NOT (i = {i} OR j = {i}) OR u{i})' for i in range(len(f)))}{masked}),
   sym AS (SELECT user_id, boot, cond, i AS x, j AS y, n, r FROM ok UNION ALL SELECT user_id, boot, cond, j, i, n, r FROM ok),
   e0 AS MATERIALIZED (SELECT * FROM ok WHERE NOT ({indep('r')})),
   a0 AS (SELECT user_id, boot, cond, i AS x, j AS y FROM e0 UNION ALL SELECT user_id, boot, cond, j, i FROM e0),
@@ -362,6 +371,29 @@ def _(spark, sf):
     return gs.unfold(rows, "edges", "user_id", "boot", "cond")
 
 
+@query("G01_skeleton_by_test", f"WITH {search_sql('lab')} SELECT user_id, boot, cond, i, j FROM e2")
+def _(spark, sf):
+    """The same skeletons from the table of questions, filled by a test by name."""
+    return _by_test(spark, sf, "pearsonr")
+
+
+@query("G01_skeleton_ranks", f"WITH {search_sql('lab', ranks=True)} SELECT user_id, boot, cond, i, j FROM e2")
+def _(spark, sf):
+    rows = gs.graph_rows(_panel(spark, sf), FEATS, LABELS["lab"], ci_test="spearmanr", **K, **OPTIONS)
+    return gs.unfold(rows, "edges", "user_id", "boot", "cond")
+
+
+def _by_test(spark, sf, name):
+    days = gs.prepared_days(_panel(spark, sf), FEATS, LABELS["lab"], **K)
+    pool = gs.sample_pool(days, FEATS, limit=LIMIT, boots=BOOTS, seed="graph", **K)
+    samples = gs.draw_samples(pool, min_rows=MIN_ROWS, seed="graph", **K)
+    rows = gs.correlation_rows(samples, FEATS, sigma=0.001, seed="graph", **K)
+    gate = gs.distinct_gate(_panel(spark, sf), FEATS, 5, entity="user_id")
+    ready = cut_lineage(rows.join(gate, "user_id").withColumn("limit", gs.critical_r(F.col("n"), 0.05)))
+    found = gs.skeleton_by_test(ready, FEATS, name, keys=["user_id", "boot", "cond"], alpha=0.05)
+    return gs.unfold(found, "edges", "user_id", "boot", "cond")
+
+
 @query("G02_partial_correlation", f"""WITH {FILLED}, c AS (SELECT user_id, count(*) AS n, corr(v, k) AS vk, corr(v, n_events) AS vn, corr(k, n_events) AS kn FROM filled WHERE v IS NOT NULL GROUP BY 1),
   p AS (SELECT user_id, n, (vk - vn * kn) / nullif(sqrt((1 - vn * vn) * (1 - kn * kn)), 0) AS r FROM c)
   SELECT user_id, n, {r6s('r')}, {r6(sk.student_p('r * sqrt((n - 2) / (1 - r * r))', '(n - 2)'), 'p_val')} FROM p""")
@@ -370,9 +402,7 @@ def _(spark, sf):
 
     c = fx.daily_panel(spark, sf).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n"), *[fn.correlation(a, b).alias(n) for a, b, n in (("v", "k", "vk"), ("v", "n_events", "vn"), ("k", "n_events", "kn"))])
-    rest = (1 - F.col("vn") * F.col("vn")) * (1 - F.col("kn") * F.col("kn"))
-    r = (F.col("vk") - F.col("vn") * F.col("kn")) / F.nullif(F.sqrt(rest), F.lit(0.0))
-    out = c.select("user_id", "n", r.alias("r"))
+    out = c.select("user_id", "n", ci_tests.partial_correlation(F.col("vk"), F.col("vn"), F.col("kn")).alias("r"))
     return tidy(out.withColumn("p_val", tails.pearson_p_value(F.col("r"), F.col("n"))))
 
 
@@ -413,8 +443,14 @@ def _(spark, sf):
     return tidy(rows.select("user_id", "boot", "cond", "n", cell))
 
 
+DEFINITIONS = {
+    "lab": (FEATS, "lab"), "lab3": (FEATS, "lab3"), "calls": (FEATS[1:], "lab"), "values": (["v", "k", "v_click"], "lab3"),
+}
+
+
 def _discover(spark, sf):
-    return gs.discover(_panel(spark, sf), {n: (FEATS, l) for n, l in LABELS.items()}, **K, **OPTIONS)
+    steps = {n: (feats, LABELS[l]) for n, (feats, l) in DEFINITIONS.items()}
+    return gs.discover(_panel(spark, sf), steps, **K, **OPTIONS)
 
 
 @query("G06_all_entities")
@@ -422,7 +458,8 @@ def _(spark, sf):
     return tidy(gs.definition_edges(_discover(spark, sf), entity="user_id"))
 
 
-@query("G07_all_definitions", f"""WITH a AS (WITH {search_sql('lab')} SELECT 'lab' AS definition, user_id, boot, cond, i, j FROM e2),
-  b AS (WITH {search_sql('lab3')} SELECT 'lab3' AS definition, user_id, boot, cond, i, j FROM e2) SELECT * FROM a UNION ALL SELECT * FROM b""")
+@query("G07_all_definitions", "WITH " + ", ".join(
+    f"{n}_d AS (WITH {search_sql(l, mask=feats)} SELECT '{n}' AS definition, user_id, boot, cond, i, j FROM e2)" for n, (feats, l) in DEFINITIONS.items())
+    + " " + " UNION ALL ".join(f"SELECT * FROM {n}_d" for n in DEFINITIONS))
 def _(spark, sf):
     return gs.unfold(_discover(spark, sf), "edges", "definition", "user_id", "boot", "cond")

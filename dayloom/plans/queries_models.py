@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from dayloom.operators import ccit, classify
 from dayloom.plans import fixtures as fx, sqlkit as sk
-from dayloom.plans.fixtures import FILLED, ONCE
+from dayloom.plans.fixtures import FILLED, ONCE, PANEL
 from dayloom.plans.queries_stats import FDR, results
 from dayloom.plans.registry import query, r6, r6s, tidy
+from dayloom.session import cut_lineage
 
 K = {"entity": "user_id", "date": "date"}
 FEATS = ["v", "k", "v_click"]
@@ -93,9 +94,60 @@ def _(spark, sf):
     return tidy(classify.scores(out, "target", "prediction").select("accuracy"))
 
 
-@query("ST22_classifier_test")
+CI_TESTS = [("v", "v_sum", ()), ("v", "k", ("n_events",)), ("v_click", "v_view", ("n_events", "k"))]
+ROUNDS, TREES, DEPTH = 30, 32, 5
+
+
+def _classifier_sql(t: int, x: str, y: str, z: tuple[str, ...]) -> str:
+    """Splits, swap, forest and p-value of one test, step by step."""
+    cols = [x, y, *z]
+    width, n = min(len(z), ccit.CELL_COLUMNS), f"t{t}"
+    bits = lambda start: f"CAST('0x' || substr(h, {start}, 8) AS BIGINT)"
+    us = [f"u{i}" for i in range(len(cols))]
+    scaled = ", ".join(f"round(1 / (1 + exp(-1.702 * coalesce(({c} - m{i}) / nullif(s{i}, 0), 0))), 9) AS u{i}" for i, c in enumerate(cols))
+    moments = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(cols))
+    fine = f"greatest(0, CAST(floor(log2(n / (3.0 * {ccit.BUCKET})) / {max(width, 1)}) AS INTEGER))" if width else "0"
+    shift = lambda h: f"([{', '.join(map(str, ccit.shifts(ROUNDS)[:, h]))}])[k + 1]"
+    cell = "concat_ws(',', " + ", ".join(f"CAST(CAST(floor(u{2 + h} * 2.0 ** lev + {shift(h)}) AS BIGINT) AS VARCHAR)" for h in range(width)) + ")" if width else "''"
+    apart = " + ".join(f"(a.u{i} - d.u{i}) * (a.u{i} - d.u{i})" for i in range(2, len(cols))) or "0.0"
+    slots = ", ".join(
+        str(i * 2**DEPTH) + "".join(f" + CASE WHEN u{c} > {v} THEN {2**d} ELSE 0 END" for d, (c, v) in enumerate(tree))
+        for i, tree in enumerate(ccit.cuts(len(cols), TREES, DEPTH)))
+    s = f"gap * sqrt(greatest(tested / {ROUNDS}, 1)) / 0.5"
+    tail = f"{sk.chi2_p(f'({s}) ** 2', '1')} / 2"
+    return f"""{n}_d AS (SELECT id, {', '.join(cols)} FROM ci WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cols)}),
+  {n}_m AS (SELECT count(*) AS n, {moments} FROM {n}_d),
+  {n}_u AS (SELECT id, {scaled}, {fine} AS fine FROM {n}_d, {n}_m),
+  {n}_h AS (SELECT *, md5(concat_ws('|', id, CAST(k AS VARCHAR), 'ccit')) AS h FROM {n}_u, (SELECT unnest(range(0, {ROUNDS})) AS k)),
+  {n}_r AS MATERIALIZED (SELECT * EXCLUDE (h), {bits(1)} % 3 AS part, {bits(9)} % 3 = 0 AS test, {bits(17)} AS deal FROM {n}_h),
+  {n}_l AS (SELECT *, unnest(list_distinct([fine, fine // 2, fine // 4, 0])) AS lev FROM {n}_r WHERE part > 0),
+  {n}_c AS (SELECT *, {cell} AS cell FROM {n}_l),
+  {n}_f AS (SELECT k, lev, cell, count(*) AS held FROM {n}_c WHERE part = 2 GROUP BY ALL),
+  {n}_b AS MATERIALIZED (SELECT c.*, deal % CAST(ceil(held / {ccit.BUCKET}.0) AS BIGINT) AS bucket FROM {n}_c c JOIN {n}_f USING (k, lev, cell)),
+  {n}_a AS (SELECT * FROM {n}_b WHERE part = 1 QUALIFY row_number() OVER (PARTITION BY k, id ORDER BY lev DESC) = 1),
+  {n}_y AS (SELECT a.k, a.id, arg_min(d.u1, (round({apart}, 12), xor(a.deal, d.deal), d.id)) AS y
+    FROM {n}_a a JOIN {n}_b d ON d.part = 2 AND a.k = d.k AND a.lev = d.lev AND a.cell = d.cell AND a.bucket = d.bucket GROUP BY 1, 2),
+  {n}_x AS (SELECT k, id, test, 1.0 AS label, {', '.join(us)} FROM {n}_r WHERE part = 0 UNION ALL
+    SELECT k, id, test, 0.0, {', '.join('coalesce(y, u1)' if u == 'u1' else u for u in us)} FROM {n}_r LEFT JOIN {n}_y USING (k, id) WHERE part = 1),
+  {n}_s AS MATERIALIZED (SELECT k, id, test, label, unnest([{slots}]) AS slot FROM {n}_x),
+  {n}_v AS (SELECT k, slot, (sum(label) + 1) / (count(*) + 2) AS v FROM {n}_s WHERE NOT test GROUP BY 1, 2),
+  {n}_p AS (SELECT k, id, label, round(sum(coalesce(v, 0.5)) / {TREES}, 9) >= 0.5 AS named FROM {n}_s LEFT JOIN {n}_v USING (k, slot) WHERE test GROUP BY 1, 2, 3),
+  {n}_g AS (SELECT k, avg(a) - 0.5 AS gap, sum(n) AS tested FROM (SELECT k, label, avg(CASE WHEN named = (label = 1) THEN 1.0 ELSE 0.0 END) AS a, count(*) AS n FROM {n}_p GROUP BY 1, 2) GROUP BY 1),
+  {n} AS (SELECT '{x}' AS x, '{y}' AS y, '{','.join(z)}' AS z, tested, gap, CASE WHEN gap >= 0 THEN {tail} ELSE 1 - {tail} END AS p_val
+    FROM (SELECT CAST(sum(tested) AS BIGINT) AS tested, avg(gap) AS gap FROM {n}_g))"""
+
+
+_CI_SQL = f"""WITH {PANEL}, ci AS (SELECT *, concat_ws('|', CAST(user_id AS VARCHAR), CAST(date AS VARCHAR)) AS id FROM panel),
+  {", ".join(_classifier_sql(i, *t) for i, t in enumerate(CI_TESTS))}
+  {" UNION ALL ".join(f"SELECT x, y, z, tested, {r6('gap', 'gap')}, {r6('p_val', 'p_val')} FROM t{i}" for i in range(len(CI_TESTS)))}"""
+
+
+@query("ST22_classifier_test", _CI_SQL)
 def _(spark, sf):
     p = fx.daily_panel(spark, sf).withColumn("id", F.concat_ws("|", F.col("user_id").cast("string"), F.col("date").cast("string")))
-    tests = [("v", "v_sum", []), ("v", "k", ["n_events"])]
-    rows = [(x, y, ",".join(z), ccit.conditional_independence(p, x, y, z, row_id="id", rounds=2, trees=5)) for x, y, z in tests]
-    return tidy(spark.createDataFrame(rows, "x string, y string, z string, p_val double"))
+    p, out = cut_lineage(p), None
+    for x, y, z in CI_TESTS:
+        r = ccit.classifier_tests(p, x, y, z, row_id="id", rounds=ROUNDS, trees=TREES, depth=DEPTH)
+        r = r.select(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(",".join(z)).alias("z"), "tested", "gap", "p_val")
+        out = r if out is None else out.union(r)
+    return tidy(out)
