@@ -9,7 +9,7 @@ z is cut into cells, finer the more rows a test has, shifted by another offset i
 round; a row asks in the finest cell that holds a donor and takes the nearest of a bucket.
 Buckets hold about ``BUCKET`` donors: fuller cells are dealt by hash, so rows of equal z
 never meet in one task. The classifier is a forest of random splits: a tree sends a row to
-one of ``2 ** depth`` leaves by fixed cuts, so that training is one count by leaf for all
+one of ``2 ** depth`` leaves by fixed cuts of columns, sums and differences, so that training is one count by leaf for all
 rounds, and scoring the mean over a row's leaves.
 """
 
@@ -37,10 +37,18 @@ def shifts(rounds: int) -> np.ndarray:
     return np.random.default_rng(17).uniform(0, 1, (rounds, CELL_COLUMNS)).round(6)
 
 
-def cuts(columns: int, trees: int, depth: int) -> list[list[tuple[int, float]]]:
-    """Per tree its (column, cut) pairs; scaled values lie between 0 and 1."""
-    rng = np.random.default_rng(29)
-    return [[(int(rng.integers(columns)), round(float(rng.uniform(0.15, 0.85)), 6)) for _ in range(depth)] for _ in range(trees)]
+def cuts(columns: int, trees: int, depth: int) -> list[list[tuple[int, int, int, float]]]:
+    """Per tree its cuts (column, sign, other column, value): a scaled column, its difference
+    from another one or their sum, above a value. Scaled columns lie between 0 and 1."""
+    rng, centre, out = np.random.default_rng(29), {0: 0.5, -1: 0.0, 1: 1.0}, []
+    for _ in range(trees):
+        tree = []
+        for _ in range(depth):
+            a, b = rng.permutation(columns)[:2]
+            sign = int(rng.choice([0, -1, -1, 1]))
+            tree.append((int(a), sign, int(b), round(centre[sign] + float(rng.uniform(-0.35, 0.35)), 6)))
+        out.append(tree)
+    return out
 
 
 def _p_value(gap: Column, tested: Column, rounds: int) -> Column:
@@ -59,7 +67,7 @@ def classifier_tests(
     ``gap`` of the balanced accuracy over a coin flip, and ``p_val`` of independence.
 
     Rows with a null among the test's columns take no part; ``row_id`` tells a test's rows
-    apart. A test without rows gives no row; where a round has no donor, a row keeps its y.
+    apart. A test without rows gives no row; a row whose bucket has no donor keeps its y.
     """
     keys, width = list(keys), min(len(z), CELL_COLUMNS)
     cols = [x, y, *z]
@@ -126,8 +134,9 @@ def _swapped(rows: DataFrame, tests: list[str], us: list[str], width: int, round
 def _hits(mixed: DataFrame, tests: list[str], us: list[str], trees: int, depth: int) -> DataFrame:
     """Rows held out of training, with 1 where the forest names their part."""
     size = 2**depth
+    above = lambda a, sign, b, v: (F.col(us[a]) + sign * F.col(us[b]) > v if sign else F.col(us[a]) > v).cast("int")
     slots = [
-        F.lit(t * size) + sum(((F.col(us[c]) > F.lit(v)).cast("int") * 2**d for d, (c, v) in enumerate(tree)), F.lit(0))
+        F.lit(t * size) + sum((above(*cut) * 2**d for d, cut in enumerate(tree)), F.lit(0))
         for t, tree in enumerate(cuts(len(us), trees, depth))
     ]
     coded = mixed.withColumn("_slots", F.array(*slots))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dayloom.operators import ci_tests, graph_search as gs, graph_tables as gt
+from dayloom import vocab
+from dayloom.operators import ci_tests, graph_search as gs, graph_tables as gt, labels
 from dayloom.plans import fixtures as fx, sqlkit as sk
 from dayloom.plans.fixtures import ALL_EDGES, EDGES, FILLED
 from dayloom.plans.registry import query, r6, r6s, tidy
@@ -311,12 +312,13 @@ def _panel(spark, sf):
     return fx.daily_panel(spark, sf).select("user_id", "date", "lab", "lab3", *FEATS)
 
 
-def search_sql(label: str, ranks: bool = False, mask: list[str] | None = None) -> str:
+def search_sql(label: str, ranks: bool = False, mask: list[str] | None = None, before: str = "", src: str = "filled", feats: list[str] | None = None) -> str:
     """Samples, correlations (of ranks, if asked) and skeleton of one definition in SQL.
 
-    ``mask`` names the definition's features; the others have no pairs.
+    ``mask`` names the definition's features; the others have no pairs. The label is an
+    expression over ``src``, which ``before`` may define.
     """
-    f = FEATS
+    f = feats or FEATS
     noisy = ", ".join(f"{sk.noisy(c, i)} AS e{i}" for i, c in enumerate(f))
     by = "PARTITION BY user_id, boot, cond"
     ranked = ", ".join(f"CAST(rank() OVER ({by} ORDER BY e{i}) AS DOUBLE) AS e{i}" for i in range(len(f)))
@@ -330,7 +332,7 @@ def search_sql(label: str, ranks: bool = False, mask: list[str] | None = None) -
         for i, j in pairs)
     part = lambda a, b, c: f"(({a}) - ({b}) * ({c})) / sqrt(greatest((1 - ({b}) * ({b})) * (1 - ({c}) * ({c})), 1e-300))"
     indep = lambda r: f"({sk.student_p(f'({r}) * sqrt((n - 2) / (1 - ({r}) * ({r})))', '(n - 2)', 400)}) >= 0.05"
-    return f"""{FILLED}, lb AS (SELECT *, {label} AS label FROM filled),
+    return f"""{FILLED}, {before}lb AS (SELECT *, {label} AS label FROM {src}),
   {sk.z_score('lb', 'z', f)}, zm AS (SELECT *, {', '.join(f'avg({c}) OVER (PARTITION BY user_id) AS m_{c}' for c in f)} FROM z), {sk.interpolate('zm', 'zi', f)},
   days AS (SELECT user_id, date, label, {', '.join(f'coalesce({c}, m_{c}) AS {c}' for c in f)} FROM zi),
   {sk.runs('days', 'rr', 'label')}, l AS (SELECT *, count(*) OVER (PARTITION BY user_id, run) AS g FROM rr),
@@ -463,3 +465,46 @@ def _(spark, sf):
     + " " + " UNION ALL ".join(f"SELECT * FROM {n}_d" for n in DEFINITIONS))
 def _(spark, sf):
     return gs.unfold(_discover(spark, sf), "edges", "definition", "user_id", "boot", "cond")
+
+
+#: Columns of the panel that play the roles of the named labels and of the features.
+ROLES = {
+    "daily_stressed": "lab", "daily_shifts": "lab", "shift_stress": "lab3", "control_cat": "v_view", "daily_control": "v",
+    "ppe_6": "v_signup", "log_hrv": "k", "efficiency": "n_events", "hr_average": "v_click",
+}
+NAMED = ["total_stress", "daily_control", "ppe_6", "hrv_binary", "any_stress", "shift_stress"]
+ROLE_FEATS = ["daily_control", "efficiency", "log_hrv", "hr_average"]
+
+
+def _named_sql(name: str) -> str:
+    """Label of a definition as (expression, tables before it, table it reads)."""
+    extra = lambda what, e: (f"{what}_t AS (SELECT *, {e} AS {what} FROM filled), ", f"{what}_t")
+    total = extra("total", "coalesce(lab, 0) / 2.0 + coalesce(lab3, 0) / 2.0 + coalesce(v_view, 0) / 3.0")
+    back = extra("back", f"first_value(v_signup IGNORE NULLS) OVER ({sk.W} ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)")
+    hrv = sk.label(sk.percentile("k"), one=0, zero=1)
+    flags = extra("hrv", hrv)
+    return {
+        "total_stress": (sk.label(sk.percentile("total")), *total),
+        "daily_control": (sk.label(sk.percentile("v")), "", "filled"),
+        "ppe_6": (sk.label(sk.percentile("back")), *back),
+        "hrv_binary": (hrv, "", "filled"),
+        "any_stress": ("CASE WHEN lab = 1 OR lab3 = 1 OR hrv = 1 THEN 1 WHEN lab = 0 AND lab3 = 0 AND hrv = 0 THEN 0 END", *flags),
+        "shift_stress": ("lab3", "", "filled"),
+    }[name]
+
+
+def _named(spark, sf):
+    cols = [*dict.fromkeys(ROLES.values())]
+    days = fx.daily_panel(spark, sf).select("user_id", "date", *cols)
+    return gs.discover(days, labels.definitions(NAMED, ROLE_FEATS, ROLES, **K), **K, **OPTIONS)
+
+
+_NAMED_FEATS = list(dict.fromkeys(ROLES[f] for n in NAMED for f in vocab.resolve_features(ROLE_FEATS, n)))
+
+
+@query("G05_named_labels", "WITH " + ", ".join(
+    f"{n}_d AS (WITH {search_sql(e, before=b, src=t, feats=_NAMED_FEATS, mask=[ROLES[f] for f in vocab.resolve_features(ROLE_FEATS, n)])} SELECT '{n}' AS definition, user_id, boot, cond, i, j FROM e2)"
+    for n in NAMED for e, b, t in [_named_sql(n)]) + " " + " UNION ALL ".join(f"SELECT * FROM {n}_d" for n in NAMED))
+def _(spark, sf):
+    """Skeletons of six labels by name: percentiles, a back-filled one, composites and flags."""
+    return gs.unfold(_named(spark, sf), "edges", "definition", "user_id", "boot", "cond")

@@ -111,7 +111,7 @@ def _classifier_sql(t: int, x: str, y: str, z: tuple[str, ...]) -> str:
     cell = "concat_ws(',', " + ", ".join(f"CAST(CAST(floor(u{2 + h} * 2.0 ** lev + {shift(h)}) AS BIGINT) AS VARCHAR)" for h in range(width)) + ")" if width else "''"
     apart = " + ".join(f"(a.u{i} - d.u{i}) * (a.u{i} - d.u{i})" for i in range(2, len(cols))) or "0.0"
     slots = ", ".join(
-        str(i * 2**DEPTH) + "".join(f" + CASE WHEN u{c} > {v} THEN {2**d} ELSE 0 END" for d, (c, v) in enumerate(tree))
+        str(i * 2**DEPTH) + "".join(f" + CASE WHEN u{a}{f' + ({sign}) * u{b}' if sign else ''} > {v} THEN {2**d} ELSE 0 END" for d, (a, sign, b, v) in enumerate(tree))
         for i, tree in enumerate(ccit.cuts(len(cols), TREES, DEPTH)))
     s = f"gap * sqrt(greatest(tested / {ROUNDS}, 1)) / 0.5"
     tail = f"{sk.chi2_p(f'({s}) ** 2', '1')} / 2"

@@ -15,7 +15,7 @@ def cases(spark):
     rng = np.random.default_rng(5)
     rows = []
     for i in range(700):
-        z, e, f = rng.normal(size=3)
+        z, e, f = map(float, rng.normal(size=3))
         rows.append(("apart", i, z + 0.3 * e, z + 0.3 * f, z))
         rows.append(("linked", i, e, e + 0.3 * f, z))
         c = float(rng.integers(3))
@@ -58,7 +58,9 @@ def test_neighbours_come_from_the_bucket(spark, monkeypatch, bucket):
     got = ccit._swapped(df, ["_k"], ["_u0", "_u1", "_u2"], 1, 2).collect()
     assert sorted((r._k, r._id) for r in got) == sorted((r[0], r[1]) for r in rows if r[2] == 1)
     donors = {(r[0], r[6]): r[7] for r in rows if r[2] == 2}
-    gaps = [abs(donors[r._k, r._u1] - r._u2) for r in got]
+    found = [r for r in got if (r._k, r._u1) in donors]  # the others met no donor and keep their y
+    assert len(found) == len(got) if bucket == 1000 else len(found) > 0.9 * len(got)
+    gaps = [abs(donors[r._k, r._u1] - r._u2) for r in found]
     assert np.mean(gaps) < (0.06 if bucket == 4 else 0.01)
     if bucket == 1000:  # a cell is searched whole: the nearest of its donors
         cell = lambda k, u: math.floor(u * 8 + ccit.shifts(2)[k, 0])
