@@ -1,10 +1,13 @@
 """Main text of web pages by site template removal.
 
-Every page is read once into a tree. Parts that HTML itself names as furniture (menus,
-forms, scripts, adverts, comments and so on) go by tag and by class. The remaining element
-subtrees are hashed and counted per host in Spark, over distinct pages; a subtree that
-recurs on many different pages of its host is template and goes too. Prose inside an
-article is never template: copies of one article on a host are still articles.
+Every page is read once into a tree, and the subtrees of all its elements, menus, side
+columns and footers included, are hashed. Spark counts them per host over distinct pages;
+a subtree that recurs on many different pages of its host is template and is deleted.
+Prose inside an article is never template: copies of one article on a host are still
+articles. What is furniture on one page only is left to rules: parts that HTML itself
+names so (menus, forms, scripts, comments and so on) go by tag, class, id and role.
+
+Reading takes time in proportion to the page, however malformed it is.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dayloom.llm.common import saved
+from dayloom.llm.common import batch_rows, saved
+from dayloom.operators.lookup import looked_up
 
 #: A template recurs on this many different pages of a host, whatever its size; on a
 #: small host fewer are enough if they are this share of its different pages.
@@ -57,15 +61,20 @@ KEPT_MARKS = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 
+#: Pages that a Python worker gets at a time.
+BATCH = 1024
 #: A subtree's hash is polynomial in those of its blocks of text.
 BASE, PRIME = 0x1F3D5B79A7C9E5B3, (1 << 61) - 1
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*>", re.DOTALL
-)
+#: Where a tag may end or hide its end in a value, and where its name ends.
+TURN = re.compile("[\"'>]")
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PIECES = re.compile(r"[^a-z]+")
+#: Words that turn a mark in the same name into a statement about the page.
+ABOUT = frozenset("has have no not with without is page layout price".split())
+#: Elements that an end tag of an inline element does not reach over.
+WALLS = frozenset("article main body td th".split())
 
 
 @dataclass
@@ -85,14 +94,24 @@ def _attributes(tag: str) -> dict[str, str]:
     return found
 
 
-def _opened(tag: str, name: str, inside: bool) -> Node:
+def _marks(at: dict[str, str]) -> set[str]:
+    """Words of class and id names, without names that say something about the page."""
+    words: set[str] = set()
+    for name in f"{at.get('class', '')} {at.get('id', '')}".lower().split():
+        pieces = set(PIECES.split(name))
+        if not pieces & ABOUT:
+            words |= pieces
+    return words
+
+
+def _opened(tag: str, name: str, inside: bool, by_class: bool) -> Node:
     """A node, and whether it is furniture or main content. ``inside`` an article, a
     header belongs to the article."""
     node = Node(name, dropped=name in DROPPED or name == "header" and not inside, main=name in ("article", "main"))
     node.wrapper = name == "form"
     if len(tag) > len(name) + 3 and not node.dropped and name not in ("html", "body"):
         at = _attributes(tag)
-        words = set(PIECES.split(f"{at.get('class', '')} {at.get('id', '')}".lower()))
+        words = _marks(at) if by_class else set()
         node.dropped = (
             "hidden" in at or at.get("aria-hidden") == "true" or bool(words & MARKS) and not node.main
             or at.get("role", "").lower() in ROLES
@@ -104,52 +123,142 @@ def _opened(tag: str, name: str, inside: bool) -> Node:
     return node
 
 
-def parse(source: str) -> Node:
+class _Open:
+    """Open elements of a page, with the places of names, walls, containers and furniture,
+    so that no end tag looks through the whole stack."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.at: dict[str, list[int]] = {}
+        self.walls: list[int] = []
+        self.containers: list[int] = []
+        self.furniture: list[int] = []  # dropped for good
+        self.wrappers: list[int] = []  # dropped unless an article stands inside
+
+    def push(self, node: Node) -> None:
+        i = len(self.stack)
+        self.stack.append(node)
+        self.at.setdefault(node.tag, []).append(i)
+        if node.tag in WALLS:
+            self.walls.append(i)
+        if node.tag in CONTAINERS:
+            self.containers.append(i)
+        if node.dropped:
+            (self.wrappers if node.wrapper else self.furniture).append(i)
+
+    def cut(self, i: int) -> None:
+        """Closes the element at place ``i`` and all inside it."""
+        for node in self.stack[i:]:
+            self.at[node.tag].pop()
+        del self.stack[i:]
+        for places in (self.walls, self.containers, self.furniture, self.wrappers):
+            while places and places[-1] >= i:
+                places.pop()
+
+    def last(self, names) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+    def close(self, name: str) -> None:
+        i = self.last((name,))
+        if i and (name in BLOCKS or not self.walls or self.walls[-1] <= i):
+            self.cut(i)
+
+    def make_room(self, name: str) -> None:
+        """Ends the elements that a new one of this name ends."""
+        ended = ENDED_BY_SAME.get(name, frozenset()) | (ENDED_BY_BLOCK if name in BLOCKS else frozenset())
+        i = self.last(ended) if ended else 0
+        if i and (not self.containers or self.containers[-1] <= i):
+            self.cut(i)
+
+    def rescue(self) -> None:
+        """An article stands inside: wrappers around it are no furniture."""
+        if not self.furniture:
+            for i in self.wrappers:
+                self.stack[i].dropped = False
+            self.wrappers.clear()
+
+
+class _Tags:
+    """Ends of tags. A page whose quotes do not pair has them ignored from there on."""
+
+    def __init__(self, source: str):
+        self.source, self.quotes = source, True
+
+    def end(self, start: int) -> int:
+        """Position after the tag that begins at ``start``; -1 if none ends any more."""
+        source, at = self.source, start
+        while self.quotes:
+            m = TURN.search(source, at)
+            if m is None:
+                self.quotes = False
+            elif m[0] == ">":
+                return m.end()
+            else:
+                at = source.find(m[0], m.end()) + 1
+                self.quotes = at > 0
+        return source.find(">", start) + 1 or -1
+
+
+def _lower(source: str) -> str:
+    low = source.lower()
+    return low if len(low) == len(source) else "".join(c.lower() if len(c.lower()) == 1 else c for c in source)
+
+
+def parse(source: str, by_class: bool = True) -> Node:
     """The tree of a page; unclosed elements end where HTML ends them."""
     root = Node("#root")
-    stack, at, low = [root], 0, None
-    while True:
-        m = TOKEN.search(source, at)
-        if m is None:
-            stack[-1].parts.append(html.unescape(source[at:]))
-            return root
-        if m.start() > at:
-            stack[-1].parts.append(html.unescape(source[at : m.start()]))
-        at, tag = m.end(), m[0]
-        if tag[1] in "!?":
+    open_, tags, at, low = _Open(root), _Tags(source), 0, None
+    text: list[str] = []  # pieces up to the next tag
+
+    def flush() -> None:
+        if text:
+            open_.stack[-1].parts.append(html.unescape("".join(text)))
+            text.clear()
+
+    while at < len(source):
+        start = source.find("<", at)
+        if start < 0:
+            text.append(source[at:])
+            break
+        text.append(source[at:start])
+        after = source[start + 1 : start + 3]
+        if after[:1] in ("!", "?") and after:
+            if source.startswith("<!--", start):
+                at = source.find("-->", start + 4) + 3
+                at = len(source) if at < 3 else at
+            else:
+                at = source.find(">", start) + 1 or len(source)
+            flush()
+            continue
+        m = NAME.match(source, start)
+        end = tags.end(m.end()) if m else -1
+        if end < 0:
+            if m:  # no tag ends any more
+                text.append(source[start:])
+                break
+            text.append("<")
+            at = start + 1
             continue
-        name = NAME.match(tag)[1].lower()
-        if tag[1] == "/":
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("article", "main", "body", "td", "th") and name not in BLOCKS:
-                    break
+        flush()
+        at, name, closing = end, m[1].lower(), after[0] == "/"
+        if closing:
+            open_.close(name)
             continue
         if name in RAW:
-            low = low if low is not None else source.lower()
-            end = low.find("</" + name, at)
-            at = len(source) if end < 0 else end
-            if end >= 0:
-                close = source.find(">", end)
-                at = len(source) if close < 0 else close + 1
+            low = low if low is not None else _lower(source)
+            stop = low.find("</" + name, at)
+            at = len(source) if stop < 0 else source.find(">", stop) + 1 or len(source)
             continue
-        ended = ENDED_BY_SAME.get(name, frozenset()) | (ENDED_BY_BLOCK if name in BLOCKS else frozenset())
-        if ended:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ended:
-                    del stack[i:]
-                    break
-                if stack[i].tag in CONTAINERS:
-                    break
-        node = _opened(tag, name, stack[-1].inside)
-        if node.main and not node.dropped and not any(x.dropped and not x.wrapper for x in stack):
-            for x in stack:
-                x.dropped = False
-        stack[-1].parts.append(node)
+        open_.make_room(name)
+        tag = source[start:end]
+        node = _opened(tag, name, open_.stack[-1].inside, by_class)
+        if node.main and not node.dropped:
+            open_.rescue()
+        open_.stack[-1].parts.append(node)
         if name not in VOID and not tag.endswith("/>"):
-            stack.append(node)
+            open_.push(node)
+    flush()
+    return root
 
 
 def _roots(node: Node) -> list[Node]:
@@ -169,59 +278,88 @@ def _roots(node: Node) -> list[Node]:
     return [node]
 
 
-def _blocks(roots: list[Node]) -> tuple[list[str], list[tuple[int, int, int]]]:
-    """Blocks of text in page order, and ``(digest, first, last)`` of every element that
-    may be template: containers anywhere, prose outside articles."""
+def _blocks(page: Node, roots: list[Node]) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]:
+    """Blocks of text in page order, whether each is main text, and ``(digest, first,
+    last)`` of every element that may be template: furniture, containers anywhere, prose
+    outside articles."""
     blocks: list[str] = []
+    kept: list[bool] = []
     spans: list[tuple[int, int, int]] = []
-    line: list[str] = []
-    sums, powers = [0], [1]  # hashes of the first blocks, so that any run's hash is at hand
-
-    def end() -> None:
-        text = " ".join("".join(line).split())
-        line.clear()
+    lines: list[list[str]] = [[]]  # one more inside each piece of furniture
+    chosen = {id(r) for r in roots}
+    # hashes of the first blocks, of all and of main ones, so that any run's hash is at hand
+    sums: dict[bool, list[int]] = {False: [0], True: [0]}
+    powers = [1]
+
+    def end(main: bool) -> None:
+        text = " ".join("".join(lines[-1]).split())
+        lines[-1].clear()
         if text:
             blocks.append(text)
-            sums.append((sums[-1] * BASE + xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))) % PRIME)
+            kept.append(main)
+            code = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))
             powers.append(powers[-1] * BASE % PRIME)
+            for s in (sums[False], sums[True])[: 1 + main]:
+                s.append((s[-1] * BASE + code) % PRIME)
+
+    def place() -> tuple[int, int]:
+        return len(blocks), len(sums[True]) - 1
 
-    def digest(tag: str, first: int) -> int:
-        run = (sums[-1] - sums[first] * powers[len(blocks) - first]) % PRIME
-        return (run + xxhash.xxh3_64_intdigest(tag) + len(blocks) - first) % PRIME
+    def digest(tag: str, first: tuple[int, int], main: bool) -> int:
+        """Of an element inside main text only its main blocks count."""
+        s, a, b = sums[main], first[main], place()[main]
+        return ((s[b] - s[a] * powers[b - a]) % PRIME + xxhash.xxh3_64_intdigest(tag) + b - a) % PRIME
 
     # an explicit stack: pages may be nested deeper than Python's
-    open_: list = [(r, False, r.main) for r in reversed(roots)]
-    started: list[int] = []
+    open_: list = [(page, False, False, False)]
+    started: list[tuple[int, int]] = []
     while open_:
-        x, closing, article = open_.pop()
+        x, closing, main, article = open_.pop()
         if isinstance(x, str):
-            line.append(x)
-        elif closing:
-            if x.tag in BLOCKS:
-                end()
+            lines[-1].append(x)
+            continue
+        block = x.tag in BLOCKS or x.dropped or id(x) in chosen
+        if closing:
+            if block:
+                end(main)
                 first = started.pop()
-                if len(blocks) > first and not x.main and x.tag not in ("#root", "html", "body"):
+                if place()[main] > first[main] and not x.main and x.tag not in ("#root", "html", "body"):
                     if not (article and x.tag in PROSE):
-                        spans.append((digest(x.tag, first), first, len(blocks)))
-        elif not x.dropped:
-            if x.tag == "br":
-                line.append("\n")
-                continue
-            if x.tag in BLOCKS or x.tag == "#root":
-                end()
-            if x.tag in BLOCKS:
-                started.append(len(blocks))
-            open_.append((x, True, article))
-            open_.extend((y, False, article or x.main) for y in reversed(x.parts))
-    end()
-    return blocks, spans
-
-
-def read(source: str | None) -> tuple[list[str], list[tuple[int, int, int]]]:
-    """Blocks and removable spans of one page."""
+                        spans.append((digest(x.tag, first, main), first[0], len(blocks)))
+            if x.dropped:
+                lines.pop()
+            continue
+        if x.tag == "br":
+            lines[-1].append("\n")
+            continue
+        outer, inner = main, (main or id(x) in chosen) and not x.dropped
+        if x.dropped:
+            lines.append([])  # its text does not break the line around it
+        elif block:
+            end(outer)
+        if block:
+            started.append(place())
+        within = (article or x.main) and not x.dropped
+        open_.append((x, True, inner, article and not x.dropped))
+        open_.extend((y, False, inner, within) for y in reversed(x.parts))
+    end(id(page) in chosen)
+    return blocks, kept, spans
+
+
+def read(source: str | None) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]:
+    """Blocks of one page, which of them are main text, and removable spans.
+
+    If the words of classes and ids leave no main text, the page does not mean them so:
+    it is read by tags and roles alone.
+    """
     if not source:
-        return [], []
-    return _blocks(_roots(parse(source)))
+        return [], [], []
+    page = parse(source)
+    found = _blocks(page, _roots(page))
+    if not any(found[1]):
+        page = parse(source, by_class=False)
+        found = _blocks(page, _roots(page))
+    return found
 
 
 def host(url: Column) -> Column:
@@ -248,30 +386,25 @@ def extract(
     def parsed(batches):
         for b in batches:
             out = [_read_row(s) for s in b.pop("_source")]
-            yield b.assign(
-                _blocks=[x[0] for x in out], _digests=[x[1] for x in out], _firsts=[x[2] for x in out],
-                _lasts=[x[3] for x in out],
-            )
+            yield b.assign(**{c: [x[i] for x in out] for i, c in enumerate(READ)})
 
-    def read_pages() -> DataFrame:
-        return rows.mapInPandas(
+    # pages are read once; counting and deleting start from what was read
+    with batch_rows(pages.sparkSession, BATCH):
+        read_pages = saved(rows.mapInPandas(
             parsed,
-            f"_key {kinds[key]}, _url {kinds[url]}, _row long, _host string, _blocks array<string>, "
-            "_digests array<long>, _firsts array<int>, _lasts array<int>",
-        )
-
-    # the null digest, which every page has, counts the different pages of a host
-    seen = rows.mapInPandas(
-        lambda batches: _subtrees(batches), "_host string, _digest long, _row long, _page long"
-    )
-    counted = seen.groupBy("_host", "_digest", "_page").agg(F.lit(1)).groupBy("_host", "_digest").agg(F.count("*").alias("_n"))
-    counted = saved(counted.filter((F.col("_n") >= least_pages) | F.col("_digest").isNull()), "subtree-counts")
-    sites = counted.filter(F.col("_digest").isNull()).select("_host", F.col("_n").alias("_pages"))
-    template = counted.filter(F.col("_digest").isNotNull()).join(sites, "_host").filter(
+            f"_key {kinds[key]}, _url {kinds[url]}, _row long, _host string, _blocks array<string>, _main array<boolean>, "
+            "_digests array<long>, _firsts array<int>, _lasts array<int>, _page long",
+        ), "pages")
+    page = read_pages.select("_host", "_page", F.array_distinct("_digests").alias("_digests"))
+    sites = page.select("_host", "_page").distinct().groupBy("_host").agg(F.count("*").alias("_pages"))
+    seen = page.select("_host", "_page", F.explode("_digests").alias("_digest")).distinct()
+    counted = seen.groupBy("_host", "_digest").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least_pages)
+    template = looked_up(counted, "_host", sites, "_digest").filter(
         (F.col("_n") >= many_pages) | (F.col("_n") >= least_share * F.col("_pages"))
     )
     marked = saved(
-        seen.filter(F.col("_digest").isNotNull()).select("_host", "_digest", "_row").distinct().join(template.select("_host", "_digest"), ["_host", "_digest"])
+        read_pages.select("_host", "_row", F.explode("_digests").alias("_digest")).distinct()
+        .join(template.select("_host", "_digest"), ["_host", "_digest"])
         .groupBy("_row").agg(F.collect_set("_digest").alias("_template")),
         "templates",
     )
@@ -279,42 +412,33 @@ def extract(
     def cleaned(batches):
         for b in batches:
             texts = [
-                " ".join(_without(blocks, digests, firsts, lasts, template))
-                for blocks, digests, firsts, lasts, template in zip(
-                    b["_blocks"], b["_digests"], b["_firsts"], b["_lasts"], b["_template"]
-                )
+                " ".join(_without(*row))
+                for row in zip(*(b[c] for c in ("_blocks", "_main", "_digests", "_firsts", "_lasts", "_template")))
             ]
             yield pd.DataFrame({
                 key: b["_key"].to_numpy(), url: b["_url"].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts],
             })
 
-    return read_pages().join(marked, "_row", "left").mapInPandas(
+    return read_pages.join(marked, "_row", "left").mapInPandas(
         cleaned, f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string, n_chars long"
     )
 
 
-def _read_row(source: str | None) -> tuple[list, list, list, list]:
-    blocks, spans = read(source)
-    return blocks, [s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans]
+#: What is read of a page; ``_page`` is one for pages whose main text is the same.
+READ = ["_blocks", "_main", "_digests", "_firsts", "_lasts", "_page"]
 
 
-def _subtrees(batches):
-    """Removable subtrees of every page and a null; ``_page`` tells apart pages that show something else."""
-    for b in batches:
-        out = []
-        for h, row, source in zip(b["_host"], b["_row"], b["_source"]):
-            blocks, spans = read(source)
-            page = xxhash.xxh3_64_intdigest("\n".join(blocks).encode("utf-8", "replace")) >> 1
-            out += [(h, d, row, page) for d in {None, *(s[0] for s in spans)}]
-        found = pd.DataFrame(out, columns=["_host", "_digest", "_row", "_page"])
-        yield found.assign(_digest=pd.array([x[1] for x in out], dtype="Int64"))
+def _read_row(source: str | None) -> tuple[list, list, list, list, list, int]:
+    blocks, kept, spans = read(source)
+    shown = "\n".join([t for t, main in zip(blocks, kept) if main])
+    page = xxhash.xxh3_64_intdigest(shown.encode("utf-8", "replace")) >> 1
+    return blocks, kept, [s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans], page
 
 
-def _without(blocks, digests, firsts, lasts, template) -> list[str]:
-    if template is None or not len(template):
-        return list(blocks)
-    gone, template = set(), set(template)
+def _without(blocks, kept, digests, firsts, lasts, template) -> list[str]:
+    """Main text without the spans that are template."""
+    gone, template = set(), set(template) if template is not None else ()
     for d, first, last in zip(digests, firsts, lasts):
         if d in template:
             gone.update(range(first, last))
-    return [t for i, t in enumerate(blocks) if i not in gone]
+    return [t for i, (t, main) in enumerate(zip(blocks, kept)) if main and i not in gone]
