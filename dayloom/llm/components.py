@@ -1,25 +1,11 @@
-"""Connected components, and lookups that a hot key cannot slow down."""
+"""Connected components."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from dayloom.llm.common import saved
-
-#: Parts into which the rows of one key are dealt in a lookup.
-SALTS = 256
-
-
-def looked_up(rows: DataFrame, key: str, found: DataFrame, deal: str, how: str = "inner") -> DataFrame:
-    """``rows`` with the columns that ``found`` (unique in ``key``) has for their ``key``.
-
-    The rows of a key are dealt by ``deal`` into parts, and each part asks once: the rows
-    of a hot key never meet in one task, and ``found`` is copied only to parts that ask.
-    """
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(deal, F.lit(7)), F.lit(SALTS)))
-    told = dealt.select("_salt", key).distinct().join(found, key)
-    return dealt.join(told, ["_salt", key], how).drop("_salt")
-
+from dayloom.operators.lookup import looked_up
 
 def components(links: DataFrame) -> DataFrame:
     """``(cid, label)``: smallest id reachable, for every id that has a link ``(a, b)``.

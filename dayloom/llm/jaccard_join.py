@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from dayloom.llm.common import batch_rows, partitions, saved, word_hashes
+from dayloom.llm.components import components
+from dayloom.operators.lookup import looked_up
 
 #: Elements in more sets than this count as shared; so many of them are told to all tasks.
 SHARED, MOST_SHARED = 64, 1 << 20
@@ -290,26 +292,6 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percen
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(exact, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``(cid, label)``: smallest id reachable, for every id that has a link.
-
-    Labels take the least among neighbours, then the label of their label, until none
-    changes; every round is a written table, and nothing but a count meets the driver.
-    """
-    both = saved(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = saved(both.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("b"), F.col("cid")).alias("label")), "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["cid"]).groupBy(F.col("a").alias("cid")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "cid").select("cid", F.least("label", "near").alias("now"), "label")
-        hop = step.select(F.col("cid").alias("now"), F.col("now").alias("far"))
-        new = saved(
-            step.join(hop, "now").select("cid", F.least("now", "far").alias("label"), F.col("label").alias("old")), "labels"
-        )
-        labels = new.select("cid", "label")
-        if new.filter("label < old").isEmpty():
-            return labels
-
-
 def _between(
     members: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int
 ) -> DataFrame:
@@ -331,7 +313,8 @@ def _between(
         F.count("*").alias("_all"), F.count(F.when(F.col("label") != F.col("_main"), 1)).alias("_rest")
     )
     sets = _sets(laid.select(F.col("a").alias("cid")), docs, classes, n).withColumnRenamed("cid", "a")
-    rows = laid.join(totals, "_main").join(classes.select(F.col("cid").alias("a"), "n", "sig"), "a").join(sets, "a")
+    # one component may hold most sets: its members are told the totals apart
+    rows = looked_up(laid, "_main", totals, "a").join(classes.select(F.col("cid").alias("a"), "n", "sig"), "a").join(sets, "a")
     stretch = lambda total: F.ceil(F.col(total) / STRETCH).cast("int")
     deal = lambda total, seed: F.pmod(F.xxhash64("a", F.lit(seed)), stretch(total)).cast("int")
     every = lambda total: F.explode(F.sequence(F.lit(0), stretch(total) - 1))
@@ -398,7 +381,8 @@ def join(
 
     Rows with empty sets (null, empty or blank texts) are alone in their component, by
     key. Repeated rows and copies share a component; rows with a null key are alone with
-    a null component and lend no link. An empty table gives no rows.
+    a null component and lend no link. An empty table gives no rows. Keys are whole
+    numbers; other columns are not read.
     """
     with batch_rows(docs.sparkSession, BATCH):
         return _joined(docs, key, text, n, percent)
@@ -431,16 +415,16 @@ def _joined(docs: DataFrame, key: str, text: str, n: int, percent: int) -> tuple
     if not rest.isEmpty():
         links = links.union(rest)
         labels = components(links)
-    named = labels.join(classes, "cid").groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = saved(labels.join(named, "label").select("cid", "component_id"), "components")
-    rows = (
-        base.select("_key", "_row", "n", "cid")
-        .join(classes.select("cid", "rep"), "cid", "left").join(named, "cid", "left")
-        .select(
-            F.col("_key").alias(key), F.col("n").alias("n_shingles"),
-            F.when(F.col("n") == 0, F.col("_key")).when(F.col("_key").isNotNull(), F.coalesce("component_id", "rep")).alias("component_id"),
-            "_row",
-        )
+    linked = labels.join(classes.select("cid", "rep"), "cid")
+    least = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = looked_up(linked, "label", least, "cid").select("cid", "component_id")
+    named = classes.select("cid", "rep").join(named, "cid", "left")
+    named = saved(named.select("cid", F.coalesce("component_id", "rep").alias("component_id")), "components")
+    # copies of one text are one class: its rows look it up in parts
+    rows = looked_up(base.select("_key", "_row", "n", "cid"), "cid", named, "_key", "left").select(
+        F.col("_key").alias(key), F.col("n").alias("n_shingles"),
+        F.when(F.col("n") == 0, F.col("_key")).when(F.col("_key").isNotNull(), F.col("component_id")).alias("component_id"),
+        "_row",
     )
     return rows, links
 
@@ -455,7 +439,12 @@ def representatives(
     """
     rows, _ = join(docs, key, text, n, percent)
     stay = rows.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_key"), "_row").distinct()
-    named = docs.withColumn("_key", F.col(key).cast("long")).withColumn("_row", F.xxhash64(text))
-    once = F.row_number().over(Window.partitionBy("_key", "_row").orderBy(*[c for c in docs.columns if c != text]))
-    one = named.join(stay, ["_key", "_row"], "left_semi").withColumn("_once", once).filter("_once = 1")
-    return one.select(*docs.columns).union(docs.filter(F.col(key).isNull()))
+    # the table's columns travel in a struct, so that none can clash with a helper
+    packed = docs.select(
+        F.struct(*docs.columns).alias("_doc"), F.col(key).cast("long").alias("_key"), F.xxhash64(text).alias("_row")
+    )
+    order = [F.col("_doc").getField(c) for c in docs.columns if c != text]
+    once = F.row_number().over(Window.partitionBy("_key", "_row").orderBy(*order))
+    one = packed.join(stay, ["_key", "_row"], "left_semi").withColumn("_once", once).filter("_once = 1")
+    unkeyed = packed.filter(F.col("_key").isNull())
+    return one.select("_doc").union(unkeyed.select("_doc")).select("_doc.*")

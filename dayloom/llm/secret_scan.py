@@ -3,10 +3,12 @@
 Everything runs as DataFrame expressions and Spark ML, without Python on executors.
 Candidates are long unbroken runs of key characters, and values of any printable signs that
 are assigned to a credential name or stand as the password of an address. The pieces of text between them give
-each candidate's neighbours. Labelled findings (assignments to credential names and keys
-of published formats against all other runs) train a forest on length, character
-transitions, dictionary coverage, path and neighbouring words; it then judges every
-candidate, whatever its format.
+each candidate's neighbours. Findings are labelled by their setting (assignments to
+credential names, passwords of addresses) and by published key formats. The forest never
+sees that setting: it learns from length, character transitions, dictionary coverage, path
+and the other neighbouring words, the credential names and the signs of an assignment left
+out. So it judges a value by what it is: words that are assigned to a credential name are
+removed as false positives, and a key that stands alone is still found.
 """
 
 from __future__ import annotations
@@ -45,16 +47,22 @@ FORMATS = (
     r"|^(?:sk|rk|pk)_(?:live|test)_[0-9A-Za-z]{16,}$|^AIza[0-9A-Za-z_-]{35}$|^glpat-[0-9A-Za-z_-]{20}$"
 )
 DUMMY = r"(?i)example|dummy|sample|placeholder|change_?me|redacted|x{6,}|0{8,}|1234567890|abcdefgh"
+#: What makes the label and is kept from the forest: the name before an assigned value and
+#: the part of an address before its password.
+SETTING = r"[\w.-]*[\"' ]{0,3}(?:[:=]|=>|\s)[\"' ]{0,3}$|\S+://\S*$"
 CREDENTIAL_WORD = r"(?i)\b(?:token|passw(?:or)?d|pwd|secret|key|auth|credentials?|bearer|login)\b"
 TEST_PATH = r"(?i)test|example|sample|mock|fixture|docs?/"
 #: Bounds of the training sample by label, and of the dictionary: a word of it is in so
 #: many texts at least.
 SECRETS, OTHERS, WORD_TEXTS = 4000, 12000, 3
 TREES, DEPTH, SEED = 30, 6, 7
-FEATURES = [
+#: Slots that neighbouring words are hashed into.
+WORD_SLOTS = 24
+VALUE_FEATURES = [
     "n", "transitions", "transition_rate", "digits", "uppers", "lowers", "others", "distinct_share", "hex", "vowels",
-    "covered", "longest_run", "assigned", "quoted", "credential_word", "in_address", "dummy", "digit_neighbour", "test_path",
+    "covered", "longest_run", "dummy", "digit_neighbour", "test_path",
 ]
+FEATURES = [*VALUE_FEATURES, *(f"word{i}" for i in range(WORD_SLOTS))]
 
 
 def candidates(
@@ -125,17 +133,25 @@ def measured(found: DataFrame, words: DataFrame, key: str = "doc_id") -> DataFra
         .withColumn("vowels", _count(F.lower(value), "aeiou") / (_count(value, "A-Za-z") + 1))
         .withColumn("covered", F.coalesce(F.col("_covered"), F.lit(0)) / n)
         .withColumn("longest_run", F.array_max(F.transform(runs, lambda r: F.length(r))).cast("double"))
-        .withColumn("assigned", flag(F.col("before").rlike("[:=][\"' ]{0,2}$")))
-        .withColumn("quoted", flag(F.col("before").rlike("[\"'`]$")))
-        .withColumn("credential_word", flag(F.col("before").rlike(CREDENTIAL_WORD)))
         .withColumn("in_address", flag(F.col("before").rlike("://[^\\s/:@\"']*:$") & F.col("after").startswith("@")))
         .withColumn("dummy", flag(value.rlike(DUMMY)))
         .withColumn("digit_neighbour", flag(F.col("before").rlike("[0-9+()]\\s*$") | F.col("after").rlike("^\\s*[0-9+()]")))
         .withColumn("test_path", flag(F.col("path").rlike(TEST_PATH)))
-        .drop("_covered")
+        .withColumn("_near", neighbours())
+        .withColumns({f"word{i}": flag(F.array_contains("_near", i)) for i in range(WORD_SLOTS)})
+        .drop("_covered", "_near")
     )
 
 
+def neighbours() -> Column:
+    """Slots of the words around a candidate, cut words at the window's edge and all words
+    of the label's setting left out."""
+    before = F.regexp_replace(F.regexp_replace("before", r"^\S*", ""), SETTING, " ")
+    words = F.split(F.lower(F.concat_ws(" ", before, F.regexp_replace("after", r"\S*$", ""))), r"[^\p{L}]+")
+    words = F.filter(words, lambda w: F.length(w).between(2, 24) & ~w.rlike(CREDENTIAL_WORD))
+    return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(WORD_SLOTS)).cast("int")))
+
+
 def labelled(findings: DataFrame) -> DataFrame:
     """``findings`` with ``label``: 1 for values of published key formats, passwords of
     addresses, and values with a digit (short ones with a letter too) that are assigned to a
@@ -171,8 +187,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "
     Texts that are null or empty have no rows; repeated rows have theirs repeated. If the
     findings hold only one label, that label is the verdict for all.
     """
-    found = saved(measured(candidates(docs, key, text, path), dictionary(docs, text), key), "candidates")
-    found = labelled(found)
+    found = saved(candidates(docs, key, text, path), "candidates")
+    found = labelled(saved(measured(found, dictionary(docs, text), key), "findings"))
     model = train(found)
     if model is None:
         judged = found.withColumn("chance", F.col("label"))
@@ -189,23 +205,31 @@ def redact(
 ) -> DataFrame:
     """``docs`` with every confirmed secret replaced by ``mark``; same rows and columns.
 
-    Only texts with secrets change, and so does their ``length`` column if there is one. Their values are gathered per text (a handful of runs
-    that the text itself holds) and replaced between its other pieces.
+    Only texts with secrets change, and so does their ``length`` column if there is one.
+    Their values are gathered per text (a handful of runs that the text itself holds) and
+    replaced between its other pieces. Null and empty texts and null keys stay as they
+    are, repeated rows are masked each, an empty table stays empty, and further columns
+    may have any name.
     """
     verdict = scan(docs, key, text, path).filter("secret")
     values = verdict.groupBy(F.col("row").alias("_row")).agg(F.collect_set("value").alias("_secrets"))
-    found = F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0))
-    pieces = F.split(F.col(text), CANDIDATE, -1)
+    found = F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0))
+    pieces = F.split("_text", CANDIDATE, -1)
     shown = F.transform(found, lambda v: F.when(F.array_contains("_secrets", v), F.lit(mark)).otherwise(v))
     joined = F.array_join(F.flatten(F.transform(
         F.arrays_zip(pieces.alias("p"), F.concat(shown, F.array(F.lit(""))).alias("v")),
         lambda z: F.array(z["p"], z["v"]),
     )), "")
-    # texts without candidates stay where they are: only the others meet the verdicts
-    some = F.coalesce(F.col(text).rlike(CANDIDATE), F.lit(False))
-    masked = docs.filter(some).withColumn("_row", F.xxhash64(text)).join(values, "_row", "left")
-    masked = masked.withColumn(text, F.when(F.col("_secrets").isNull(), F.col(text)).otherwise(joined))
-    if length in docs.columns:
-        counted = F.length(text).cast(dict(docs.dtypes)[length])
-        masked = masked.withColumn(length, F.when(F.col("_secrets").isNull(), F.col(length)).otherwise(counted))
-    return masked.select(*docs.columns).union(docs.filter(~some))
+    # only texts with secrets meet their values; the table's columns travel in a struct, so
+    # that none can clash with a helper
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_text"), F.xxhash64(text).alias("_row"))
+    some = F.coalesce(F.col("_text").rlike(CANDIDATE), F.lit(False))
+    masked = packed.filter(some).join(values, "_row", "left").withColumn("_masked", F.when(F.col("_secrets").isNotNull(), joined))
+    counted = F.length("_masked").cast(dict(docs.dtypes).get(length, "int"))
+    changed = {text: F.col("_masked"), length: counted}
+    own = lambda c: F.col("_doc").getField(c)
+    masked = masked.select(*[
+        F.when(F.col("_masked").isNotNull(), changed[c]).otherwise(own(c)).alias(c) if c in changed else own(c).alias(c)
+        for c in docs.columns
+    ])
+    return masked.union(packed.filter(~some).select("_doc.*"))

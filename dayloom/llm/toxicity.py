@@ -147,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Fits the model on a bounded sample of ``labels`` joined with ``docs``.
 
     The sample holds at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` keys, first by md5, and
-    about ``CHARACTERS`` characters. Its size is fixed, so its keys are broadcast to the
+    about ``CHARACTERS`` characters. A text of more than a hundredth of that is not learned
+    from (it is scored like any other), so that none takes the place of all others. Its size is fixed, so its keys are broadcast to the
     texts; only features that lean to the toxic side come to the driver. Clean rows are weighted back to their share
     of all labels. Null keys and labels are left out; a key with several labels is
     toxic if one says so; without both labels the scores are one constant.
@@ -167,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     drawn = spark.createDataFrame([tuple(r) for p in parts for r in p], known.schema)
     found = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(
         F.broadcast(drawn), "_key"
-    )
+    ).filter(F.length("_text") <= CHARACTERS // 100)
 
     def drawn_features(batches):
         for b in batches:

@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from dayloom.llm.common import batch_rows, saved
-from dayloom.llm.components import components, looked_up
+from dayloom.llm.components import components
+from dayloom.operators.lookup import looked_up
 
 #: Stretches of bits that have trees of their own.
 PARTS = 4

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 from dayloom.llm import components, divergence, impact_lists, vantage
+from dayloom.operators import lookup
 
 
 # ---- SimHash and vantage-point trees
@@ -139,7 +140,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
 
 
 def test_components_of_chains_and_hubs(spark, monkeypatch):
-    monkeypatch.setattr(components, "SALTS", 4)
+    monkeypatch.setattr(lookup, "SALTS", 4)
     chain = [(i, i + 1) for i in range(100, 130)] + [(500, i) for i in range(501, 560)] + [(7, 7), (9, 8), (8, 9), (9, 8)]
     got = {r.cid: r.label for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 131)}, **{i: 500 for i in range(500, 560)}, 8: 8, 9: 8}
