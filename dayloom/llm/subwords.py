@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Parts remembered by one worker; longer parts are not kept.
+#: Parts remembered by one worker, in two generations; longer parts are not kept.
 REMEMBERED, LONGEST = 1 << 18, 200
 #: The file's splitting pattern within the first 256 characters, after lower-casing.
 PARTS = re.compile(
@@ -43,18 +43,25 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        #: Parts met lately and before; a part that is met again moves to the first.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+    def _ids(self, parts: set[str]) -> dict[str, bytes]:
         """Ids of all parts of a group of texts."""
-        known = self.known
-        new = [p for p in parts if p not in known]
-        found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        got = {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(new, found)}
-        if len(known) + len(got) > REMEMBERED:
-            got |= {p: known[p] for p in parts if p in known}
-            known.clear()
-        known.update((p, i) for p, i in got.items() if len(p) <= LONGEST)
+        young, old = self.young, self.old
+        got = {p: young[p] for p in parts if p in young}
+        if len(got) < len(parts):
+            again = {p: old[p] for p in parts - got.keys() if p in old}
+            new = [p for p in parts if p not in got and p not in again]
+            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            learned = {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(new, found)}
+            got |= again
+            got |= learned
+            young.update(again)
+            young.update((p, i) for p, i in learned.items() if len(p) <= LONGEST)
+            if 2 * len(young) > REMEMBERED:
+                self.young, self.old = {}, young
         return got
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
@@ -70,10 +77,9 @@ class WordTokenizer:
         yield from self._group(group)
 
     def _group(self, group: list[list[str]]) -> Iterator[bytes]:
-        got = self._learn(set().union(*group)) if group else {}
-        known = self.known
+        ids = self._ids(set().union(*group)).__getitem__ if group else None
         for parts in group:
-            yield b"".join([known[p] if p in known else got[p] for p in parts])
+            yield b"".join(map(ids, parts))
 
 
 _OPEN: dict[str, WordTokenizer] = {}
