@@ -16,6 +16,7 @@ import html
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
@@ -63,6 +64,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 
 #: Pages that a Python worker gets at a time.
 BATCH = 1024
+#: Templates up to which they are told to all tasks; more are joined to the pages.
+TOLD = 1 << 20
 #: A subtree's hash is polynomial in those of its blocks of text.
 BASE, PRIME = 0x1F3D5B79A7C9E5B3, (1 << 61) - 1
 
@@ -385,7 +388,7 @@ def extract(
 
     def parsed(batches):
         for b in batches:
-            out = [_read_row(s) for s in b.pop("_source")]
+            out = [_read_row(h, s) for h, s in zip(b["_host"], b.pop("_source"))]
             yield b.assign(**{c: [x[i] for x in out] for i, c in enumerate(READ)})
 
     # pages are read once; counting and deleting start from what was read
@@ -402,37 +405,50 @@ def extract(
     template = looked_up(counted, "_host", sites, "_digest").filter(
         (F.col("_n") >= many_pages) | (F.col("_n") >= least_share * F.col("_pages"))
     )
-    marked = saved(
-        read_pages.select("_host", "_row", F.explode("_digests").alias("_digest")).distinct()
-        .join(template.select("_host", "_digest"), ["_host", "_digest"])
-        .groupBy("_row").agg(F.collect_set("_digest").alias("_template")),
-        "templates",
-    )
+    template = saved(template.select("_host", "_digest"), "templates")
 
-    def cleaned(batches):
+    def cleaned(batches, told: np.ndarray | None = None):
         for b in batches:
+            marks = b["_template"] if told is None else _told(b["_digests"], told)
             texts = [
-                " ".join(_without(*row))
-                for row in zip(*(b[c] for c in ("_blocks", "_main", "_digests", "_firsts", "_lasts", "_template")))
+                " ".join(_without(*row)) for row in zip(*(b[c] for c in ("_blocks", "_main", "_digests", "_firsts", "_lasts")), marks)
             ]
             yield pd.DataFrame({
                 key: b["_key"].to_numpy(), url: b["_url"].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts],
             })
 
-    return read_pages.join(marked, "_row", "left").mapInPandas(
-        cleaned, f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string, n_chars long"
-    )
+    result = f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string, n_chars long"
+    if template.count() <= TOLD:
+        told = np.sort(template.select("_digest").toPandas()["_digest"].to_numpy(np.int64))
+        return read_pages.mapInPandas(lambda batches: cleaned(batches, told), result)
+    marked = (
+        read_pages.select("_host", "_row", F.explode("_digests").alias("_digest")).distinct()
+        .join(template, ["_host", "_digest"]).groupBy("_row").agg(F.collect_set("_digest").alias("_template"))
+    )
+    return read_pages.join(saved(marked, "marked"), "_row", "left").mapInPandas(cleaned, result)
+
+
+def _told(digests: pd.Series, told: np.ndarray) -> list[list[int]]:
+    """Of every page's digests those that are templates; ``told`` is sorted."""
+    every = np.concatenate([np.empty(0, np.int64), *digests]).astype(np.int64)
+    at = np.searchsorted(told, every)
+    known = at < len(told)
+    known[known] = told[at[known]] == every[known]
+    ends = np.cumsum([len(d) for d in digests])
+    return [part[hit].tolist() for part, hit in zip(np.split(every, ends[:-1]), np.split(known, ends[:-1]))]
 
 
 #: What is read of a page; ``_page`` is one for pages whose main text is the same.
 READ = ["_blocks", "_main", "_digests", "_firsts", "_lasts", "_page"]
 
 
-def _read_row(source: str | None) -> tuple[list, list, list, list, list, int]:
+def _read_row(site: str, source: str | None) -> tuple[list, list, list, list, list, int]:
+    """A digest names its site too, so that equal subtrees of two hosts differ."""
     blocks, kept, spans = read(source)
+    seed = xxhash.xxh3_64_intdigest(site.encode("utf-8", "replace"))
     shown = "\n".join([t for t, main in zip(blocks, kept) if main])
     page = xxhash.xxh3_64_intdigest(shown.encode("utf-8", "replace")) >> 1
-    return blocks, kept, [s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans], page
+    return blocks, kept, [(s[0] + seed) % PRIME for s in spans], [s[1] for s in spans], [s[2] for s in spans], page
 
 
 def _without(blocks, kept, digests, firsts, lasts, template) -> list[str]:

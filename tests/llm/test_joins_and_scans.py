@@ -213,7 +213,9 @@ def plain_templates(pages, many=10, least=3, share=0.2):
     return out
 
 
-def test_templates_equal_counting_with_sets(spark):
+@pytest.mark.parametrize("told", [1 << 20, 0])
+def test_templates_equal_counting_with_sets(spark, monkeypatch, told):
+    monkeypatch.setattr(html_main, "TOLD", told)
     rng = random.Random(11)
     words = lambda n: " ".join(rng.choice("ab cd ef gh ij kl mn".split()) for _ in range(n))
     boxes = [f"<div><p>{words(4)}</p><ul><li>{words(1)}</li></ul></div>" for _ in range(8)]
