@@ -120,29 +120,29 @@ def _ks_equal(h: int, n: int) -> float:
 def _ks_paths(d: float, m: int, n: int) -> float:
     """Unequal sizes: walks the anti-diagonals i + j, each one vector over the band.
 
-    ``inside[i]`` is the chance that a random path is at (i, step - i) and has
-    not left the band; a step draws from what is left of either sample.
+    ``inside[i]`` is the chance that a random path is at (low + i, step - low - i) and
+    has not left the band; a step draws from what is left of either sample. The result
+    is the sum of what each step puts beyond the band: only positive terms, so a small
+    tail keeps its digits where 1 - inside would end at 1e-16.
     """
     lcm = m * n // math.gcd(m, n)
     limit = round(d * lcm)
     if limit == 0:
         return 1.0
     a, b = lcm // m, lcm // n
-    inside, low = np.ones(1), 0  # i from low on
+    inside, low, left = np.ones(1), 0, 0.0
     for step in range(1, m + n + 1):
+        i = np.arange(low, low + len(inside) + 1)
+        old = np.concatenate(([0.0], inside, [0.0]))
+        reach = (old[:-1] * (m - i + 1) + old[1:] * (n - step + i + 1)) / (m + n - step + 1)
         # |i a - (step - i) b| < limit, 0 <= i <= m, 0 <= step - i <= n
-        lo = max(0, step - n, (step * b - limit) // (a + b) + 1)
-        hi = min(m, step, -((-step * b - limit) // (a + b)) - 1)
+        lo = max(low, step - n, (step * b - limit) // (a + b) + 1)
+        hi = min(low + len(inside), m, -((-step * b - limit) // (a + b)) - 1)
         if lo > hi:
             return 1.0
-        i = np.arange(lo, hi + 1)
-        old = np.zeros(hi - lo + 2)  # places lo - 1 .. hi of the diagonal before
-        from_, upto = max(low, lo - 1), min(low + len(inside) - 1, hi)
-        if from_ <= upto:
-            old[from_ - lo + 1 : upto - lo + 2] = inside[from_ - low : upto - low + 1]
-        inside = (old[:-1] * (m - i + 1) + old[1:] * (n - step + i + 1)) / (m + n - step + 1)
-        low = lo
-    return float(min(1.0, max(0.0, 1 - inside[-1])))
+        left += float(reach[: lo - low].sum() + reach[hi - low + 1 :].sum())
+        inside, low = reach[lo - low : hi - low + 1], lo
+    return min(1.0, left)
 
 
 @F.pandas_udf(DoubleType())
@@ -163,18 +163,19 @@ def _chi2_p(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(out).astype("Float64").where(pd.Series(ok), pd.NA)
 
 
-@F.pandas_udf(DoubleType())
-def _ks_p(d: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
-    seen: dict[tuple, float] = {}  # many groups share the same statistic and sizes
+def _ks_p(method: str):
+    """KS tails; a batch computes every different (statistic, sizes) once."""
 
-    def one(key):
-        if any(pd.isna(v) for v in key) or min(key[1:]) < 1:
-            return None
-        if key not in seen:
-            seen[key] = ks_two_sided(float(key[0]), int(key[1]), int(key[2]))
-        return seen[key]
+    @F.pandas_udf(DoubleType())
+    def p(d: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
+        asked = pd.DataFrame({"d": d, "m": m, "n": n})
+        known = asked[asked.notna().all(axis=1) & (asked[["m", "n"]] >= 1).all(axis=1)]
+        different = known.drop_duplicates()
+        tails = [ks_two_sided(float(x), int(y), int(z), method) for x, y, z in different.to_numpy()]
+        named = known.merge(different.assign(p=tails), on=["d", "m", "n"], how="left").set_axis(known.index)
+        return named["p"].reindex(asked.index).astype("Float64")
 
-    return pd.Series([one(k) for k in zip(d, m, n)], dtype="Float64")
+    return p
 
 
 def t_p_value(t: Column, df: Column) -> Column:
@@ -185,8 +186,9 @@ def chi2_p_value(x: Column, dof: Column) -> Column:
     return _chi2_p(x.cast("double"), dof.cast("double"))
 
 
-def ks_p_value(d: Column, m: Column, n: Column) -> Column:
-    return _ks_p(d.cast("double"), m.cast("long"), n.cast("long"))
+def ks_p_value(d: Column, m: Column, n: Column, method: str = "exact") -> Column:
+    """Two-sided KS tail; ``method`` is ``exact`` or ``series``."""
+    return _ks_p(method)(d.cast("double"), m.cast("long"), n.cast("long"))
 
 
 def pearson_p_value(r: Column, n: Column) -> Column:

@@ -46,13 +46,14 @@ def correct(df: DataFrame, p: str, keys: Sequence[str]) -> DataFrame:
 
 def significance(
     df: DataFrame, measures: Sequence[str], *, entity: str, label: str,
-    within: Sequence[str] = (), method: str = "KS", gate: str | None = None,
+    within: Sequence[str] = (), method: str = "KS", gate: str | None = None, tail: str = "exact",
 ) -> DataFrame:
     """Stress against reference samples per entity and measure, corrected per measure.
 
     ``within`` adds key columns such as the stress definition, so all definitions
     run as one job. ``gate`` names the measure that must vary for an entity to be
-    tested. Direction is Loss for a stress mean at or above 0, else Gain.
+    tested. ``tail`` is the KS test's way to its p. Direction is Loss for a stress mean
+    at or above 0, else Gain.
     """
     within = list(within)
     keys = [*within, entity, "measure"]
@@ -63,7 +64,7 @@ def significance(
     finite = long.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     sides = finite.withColumn("_side", F.when(F.col(label) == "stress", "x").otherwise("y"))
     if method == "KS":  # a group is one entity's bootstraps
-        tested = twosample.ks_test(sides, "_x", "_side", keys, small_groups=True)
+        tested = twosample.ks_test(sides, "_x", "_side", keys, method=tail, small_groups=True)
     else:
         tested = twosample.t_test(sides, "_x", "_side", keys)
     mean = F.col("mean_x")

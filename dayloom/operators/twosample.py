@@ -217,9 +217,12 @@ def ks_statistic(
     return joined.groupBy(*keys, "nx", "ny", "mean_x").agg(F.max(gap).alias("d"))
 
 
-def ks_test(df: DataFrame, value: str, sample: str, keys: Sequence[str], **sizes) -> DataFrame:
+def ks_test(
+    df: DataFrame, value: str, sample: str, keys: Sequence[str], *, method: str = "exact", **sizes
+) -> DataFrame:
+    """KS statistic with its two-sided p; ``method`` as in ``tails.ks_two_sided``."""
     out = ks_statistic(df, value, sample, keys, **sizes)
-    return out.withColumn("p_val", tails.ks_p_value(F.col("d"), F.col("nx"), F.col("ny")))
+    return out.withColumn("p_val", tails.ks_p_value(F.col("d"), F.col("nx"), F.col("ny"), method))
 
 
 def correlation_test(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:

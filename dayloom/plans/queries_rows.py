@@ -105,12 +105,16 @@ def _(spark, sf):
     return tidy(out.select("user_id", *vocab.ONCE_SCORES))
 
 
-@query("S08_feed_ingest_day", """SELECT event_id, user_id, value, CAST(CAST(ts AS DATE) AS VARCHAR) AS date FROM events
-  UNION ALL SELECT o_orderkey, o_custkey, o_totalprice, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) FROM orders""")
+@query("S08_feed_ingest_day", f"""SELECT event_id, user_id, {r6('value', 'value')}, CAST(CAST(ts AS DATE) AS VARCHAR) AS date FROM events
+  UNION ALL SELECT o_orderkey, o_custkey, {r6('o_totalprice')}, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) FROM orders""")
 def _(spark, sf):
-    a = readers.read_panel(spark, f"{sf}/events.parquet", "ts", ["event_id", "user_id", "value"])
-    b = readers.read_panel(spark, f"{sf}/orders.parquet", "o_orderdate", ["o_orderkey", "o_custkey", "o_totalprice"])
-    return a.union(b).withColumn("date", F.col("date").cast("string"))
+    feeds = {"events": (f"{sf}/events.parquet", "ts"), "orders": (f"{sf}/orders.parquet", "o_orderdate")}
+    out = scratch_table(spark, "feeds")
+    writers.ingest_feeds(spark, feeds, out, period="month")
+    done = writers.ingest_feeds(spark, feeds, out, period="month")  # a second run changes nothing
+    a = readers.read_table(spark, done["events"], ["event_id", "user_id", "value", "date"])
+    b = readers.read_table(spark, done["orders"], ["o_orderkey", "o_custkey", "o_totalprice", "date"])
+    return tidy(a.union(b))
 
 
 # ------------------------------------------------------------ row functions
@@ -265,7 +269,8 @@ def _(spark, sf):
 
 SPLIT = """, base AS (SELECT user_id, date, v AS rmssd, k FROM panel WHERE lab = 1),
   p1 AS (SELECT user_id, date, v_click FROM panel WHERE v_click IS NOT NULL),
-  p2 AS (SELECT user_id, date, v_view, lab3 FROM panel WHERE lab3 > 0) """
+  p2 AS (SELECT user_id, date, v_view, lab3 FROM panel WHERE lab3 > 0),
+  p3 AS (SELECT user_id, date, k AS item FROM panel WHERE v_view IS NOT NULL) """
 
 
 def _split(spark, sf):
@@ -278,38 +283,56 @@ def _split(spark, sf):
     )
 
 
-@query("J01_left_chain", f"WITH {PANEL}, {ONCE} {SPLIT} SELECT b.user_id, CAST(b.date AS VARCHAR) AS date, rmssd, k, c_acctbal, c_mktsegment, v_click, v_view, lab3 "
+def _survey(spark, sf):
+    """Stand-in survey: the i-th item of every score is k + i."""
+    items = [(F.col("k") + i).alias(c) for s in vocab.ITEM_SCORES for i, c in enumerate(vocab.items(s), 1)]
+    return fx.daily_panel(spark, sf).where("v_view is not null").select("user_id", "date", *items)
+
+
+def _without_items(df):
+    return tidy(df.drop(*[c for s in vocab.ITEM_SCORES for c in vocab.items(s)]))
+
+
+LOG = "CASE WHEN rmssd = 0 THEN CAST('-inf' AS DOUBLE) WHEN rmssd > 0 THEN round(ln(rmssd) + 1e-9, 6) + 0.0 END AS log_hrv, rmssd - rmssd AS zeroes"
+
+
+def _scored(merged: str) -> str:
+    """SQL twin of ``study_scores`` over a merged table that carries ``item``."""
+    sums = ", ".join(r6(" + ".join(f"(item + {i})" for i in range(1, n + 1)), s) for s, (_p, n, _w) in vocab.ITEM_SCORES.items())
+    return f"""SELECT * EXCLUDE (item) REPLACE (CAST(date AS VARCHAR) AS date), {LOG}, {sums},
+    CASE WHEN user_id IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY md5(CAST(user_id AS VARCHAR)) NULLS LAST, user_id) - 1 END AS p_id FROM {merged}"""
+
+
+@query("J01_left_chain", f"WITH {PANEL}, {ONCE} {SPLIT}, led AS (SELECT b.user_id, b.date, rmssd, k, c_acctbal, c_mktsegment, v_click, v_view, lab3, item "
        "FROM base b LEFT JOIN once_dim o ON b.user_id = o.user_id LEFT JOIN p1 ON b.user_id = p1.user_id AND b.date = p1.date "
-       "LEFT JOIN p2 ON b.user_id = p2.user_id AND b.date = p2.date")
+       "LEFT JOIN p2 ON b.user_id = p2.user_id AND b.date = p2.date LEFT JOIN p3 ON b.user_id = p3.user_id AND b.date = p3.date) " + _scored("led"))
 def _(spark, sf):
     base, p1, p2, once = _split(spark, sf)
-    return tidy(merge.merge_panels(base, once, [p1, p2], entity="user_id", date="date", how="left"))
+    return _without_items(merge.merge_watch_led(base, once, p1, [p2, _survey(spark, sf)], entity="user_id"))
+
+
+def _full_join(left: str, right: str, out: str) -> str:
+    return f"""{out} AS (SELECT coalesce(l.user_id, r.user_id) AS user_id, coalesce(l.date, r.date) AS date, l.* EXCLUDE (user_id, date), r.* EXCLUDE (user_id, date)
+    FROM {left} l FULL JOIN {right} r ON l.user_id IS NOT DISTINCT FROM r.user_id AND l.date IS NOT DISTINCT FROM r.date)"""
 
 
 FULL = """, led AS (SELECT coalesce(b.user_id, o.user_id) AS user_id, b.date, b.rmssd, b.k, o.c_acctbal, o.c_mktsegment
-    FROM base b FULL JOIN once_dim o ON b.user_id = o.user_id),
-  f1 AS (SELECT coalesce(l.user_id, p1.user_id) AS user_id, coalesce(l.date, p1.date) AS date, l.* EXCLUDE (user_id, date), p1.v_click
-    FROM led l FULL JOIN p1 ON l.user_id IS NOT DISTINCT FROM p1.user_id AND l.date IS NOT DISTINCT FROM p1.date)
-"""
+    FROM base b FULL JOIN once_dim o ON b.user_id = o.user_id), """ + _full_join("led", "p1", "f1")
 
 
-@query("J02_full_chain", f"""WITH {PANEL}, {ONCE} {SPLIT} {FULL}
-  SELECT coalesce(f1.user_id, p2.user_id) AS user_id, CAST(coalesce(f1.date, p2.date) AS VARCHAR) AS date,
-    f1.* EXCLUDE (user_id, date), p2.v_view, p2.lab3
-  FROM f1 FULL JOIN p2 ON f1.user_id IS NOT DISTINCT FROM p2.user_id AND f1.date IS NOT DISTINCT FROM p2.date""")
+@query("J02_full_chain", f"WITH {PANEL}, {ONCE} {SPLIT} {FULL}, {_full_join('f1', 'p2', 'f2')}, {_full_join('f2', 'p3', 'f3')} {_scored('f3')}")
 def _(spark, sf):
     base, p1, p2, once = _split(spark, sf)
-    return tidy(merge.merge_panels(base, once, [p1, p2], entity="user_id", date="date", how="full"))
+    return _without_items(merge.merge_everything(base, once, [p1, p2, _survey(spark, sf)], entity="user_id"))
 
 
-@query("J03_full_chain_one_left_out", f"WITH {PANEL}, {ONCE} {SPLIT} {FULL} SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM f1")
+@query("J03_full_chain_one_left_out", f"WITH {PANEL}, {ONCE} {SPLIT} {FULL}, {_full_join('f1', 'p3', 'f3')} {_scored('f3')}")
 def _(spark, sf):
     base, p1, _p2, once = _split(spark, sf)
-    return tidy(merge.merge_panels(base, once, [p1], entity="user_id", date="date", how="full"))
+    return _without_items(merge.merge_everything(base, once, [p1, _survey(spark, sf)], entity="user_id"))
 
 
-@query("J04_sleep_daily", f"""WITH {PANEL} {SPLIT} SELECT b.user_id, CAST(b.date AS VARCHAR) AS date, rmssd, k, v_click,
-    CASE WHEN rmssd = 0 THEN CAST('-inf' AS DOUBLE) WHEN rmssd > 0 THEN round(ln(rmssd) + 1e-9, 6) + 0.0 END AS log_hrv, rmssd - rmssd AS zeroes
+@query("J04_sleep_daily", f"""WITH {PANEL} {SPLIT} SELECT b.user_id, CAST(b.date AS VARCHAR) AS date, rmssd, k, v_click, {LOG}
   FROM base b LEFT JOIN p1 ON b.user_id = p1.user_id AND b.date = p1.date""")
 def _(spark, sf):
     base, p1, _p2, _o = _split(spark, sf)

@@ -109,11 +109,24 @@ def _(spark, sf):
     return tidy(twosample.ks_test(_halves(spark, sf), "v", "side", ["user_id", "boot"]).drop("mean_x"))
 
 
-@query("ST06_ks_unequal_sizes")
+KS_TAIL = f"""{KS}, g AS (SELECT user_id, CAST(nx AS BIGINT) AS nx, CAST(ny AS BIGINT) AS ny, CAST(max(abs(sx * ny - sy * nx)) AS BIGINT) AS h FROM f
+    WHERE nx > 0 AND ny > 0 GROUP BY ALL),
+  x AS (SELECT user_id, avg(value) AS mean_x FROM events WHERE event_type = 'click' GROUP BY 1), {sk.ks_lattice('g', 'w')}"""
+
+
+@query("ST06_ks_unequal_sizes", f"""WITH RECURSIVE {KS_TAIL} SELECT user_id, nx, ny, {r6s('mean_x')}, {r6('h / (nx * ny)', 'd')}, {r6s('p_val')}
+  FROM g JOIN w USING (nx, ny, h) JOIN x USING (user_id)""")
 def _(spark, sf):
     return tidy(twosample.ks_test(_clicks(spark, sf), "value", "side", ["user_id"]))
 
 
+@query("ST06_ks_series", f"""WITH RECURSIVE {KS_TAIL}, z AS (SELECT *, h / (nx * ny) * sqrt(nx * ny / (nx + ny)) AS z FROM g)
+  SELECT user_id, nx, ny, {r6s('mean_x')}, {r6('h / (nx * ny)', 'd')}, {r6('CASE WHEN z < 0.2 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * z * z)))) END', 'p_val')}
+  FROM z JOIN x USING (user_id)""")
+def _(spark, sf):
+    return tidy(twosample.ks_test(_clicks(spark, sf), "value", "side", ["user_id"], method="series"))
+
+
 @query("ST07_pearson", f"WITH {PANEL}, c AS (SELECT user_id, count(*) AS n, CASE WHEN isnan(corr(v, k)) THEN NULL ELSE corr(v, k) END AS r FROM panel WHERE v IS NOT NULL AND k IS NOT NULL GROUP BY 1) "
        f"SELECT user_id, n, {r6s('r')}, {r6(sk.student_p('r * sqrt((n - 2) / (1 - r * r))', '(n - 2)'), 'p_val')} FROM c")
 def _(spark, sf):
@@ -219,7 +232,18 @@ def _(spark, sf):
     return tidy(out)
 
 
-@query("ST11_significance_ks")
+#: The samples with KS tests in place of t tests.
+KS_SAMPLES = SAMPLES[: SAMPLES.index("  m AS (")] + f"""  kc AS (SELECT definition, user_id, measure, x, count(*) FILTER (WHERE label = 'stress') AS cx, count(*) FILTER (WHERE label <> 'stress') AS cy FROM l WHERE x IS NOT NULL GROUP BY ALL),
+  kf AS (SELECT definition, user_id, measure, sum(cx) OVER w AS sx, sum(cy) OVER w AS sy, sum(cx) OVER u AS nx, sum(cy) OVER u AS ny, sum(x * cx) OVER u AS tx FROM kc
+    WINDOW w AS (PARTITION BY definition, user_id, measure ORDER BY x), u AS (PARTITION BY definition, user_id, measure)),
+  kg AS (SELECT definition, user_id, measure, CAST(nx AS BIGINT) AS nx, CAST(ny AS BIGINT) AS ny, max(tx) / nx AS mx, CAST(max(abs(sx * ny - sy * nx)) AS BIGINT) AS h FROM kf
+    WHERE nx > 0 AND ny > 0 GROUP BY definition, user_id, measure, nx, ny),
+  {sk.ks_lattice('kg', 'kw')},
+  pn AS (SELECT definition, user_id, measure, p_val, CASE WHEN mx >= 0 THEN 'Loss' ELSE 'Gain' END AS direction FROM kg JOIN kw USING (nx, ny, h)),
+  {correct_sql('pn', 'res', 'definition, measure')}"""
+
+
+@query("ST11_significance_ks", f"WITH RECURSIVE {KS_SAMPLES} SELECT {IDS}, direction, {r6s('p_val', 'p_value_bc', 'p_value_fdr')}, reject_bc, reject_fdr FROM res")
 def _(spark, sf):
     out = inference.significance(_samples(spark, sf), ["m_v", "m_k", "m_click"], entity="user_id", label="label",
                                  within=["definition"], method="KS", gate="m_v")

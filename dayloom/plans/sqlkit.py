@@ -86,6 +86,24 @@ def student_p(t: str, nu: str, steps: int = 2000) -> str:
     return f"({f(f'atan2(sqrt({nu}), abs({t}))')}) / ({f('1.5707963267948966')})"
 
 
+def ks_lattice(src: str, out: str) -> str:
+    """Chance that a random lattice path from (0, 0) to (nx, ny) leaves the band, as ``p_val``.
+
+    One row per different (nx, ny, h) of ``src``; ``s`` is a diagonal of chances to be
+    still inside |i ny - j nx| < h, walked by recursion.
+    """
+    i, j = "i", "(step + 1 - i)"
+    come = f"(CASE WHEN {i} > 0 THEN s[{i}] * (nx - {i} + 1) ELSE 0 END + s[{i} + 1] * (ny - step + {i}))"
+    return (
+        f"{out}_w AS (SELECT DISTINCT nx, ny, h, CAST(0 AS BIGINT) AS step, "
+        f"list_transform(range(0, nx + 1), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS s FROM {src} "
+        f"UNION ALL SELECT nx, ny, h, step + 1, list_transform(range(0, nx + 1), lambda i: "
+        f"CASE WHEN {i} <= step + 1 AND {j} <= ny AND abs({i} * ny - {j} * nx) < h THEN {come} / (nx + ny - step) ELSE 0.0::DOUBLE END) "
+        f"FROM {out}_w WHERE step < nx + ny),\n"
+        f"{out} AS (SELECT nx, ny, h, greatest(0, 1 - s[nx + 1]) AS p_val FROM {out}_w WHERE step = nx + ny)"
+    )
+
+
 def chi2_p(x: str, dof: str, steps: int = 4000, top: float = 40.0) -> str:
     """Upper chi-square tail: ratio of two Simpson integrals of u^(k-1) exp(-u^2/2)."""
     u = lambda lo: f"(({lo}) + ({top} - ({lo})) * i / {steps})"

@@ -21,17 +21,28 @@ def write_panel(df: DataFrame, path: str, *, entity: str, date: str = "date") ->
 
 
 def ingest_feeds(
-    spark: SparkSession, feeds: dict[str, tuple[str, str]], out_dir: str
+    spark: SparkSession, feeds: dict[str, tuple[str, str]], out_dir: str, *, period: str = "day"
 ) -> dict[str, str]:
-    """Rewrite every device feed with a ``date`` column.
+    """Rewrite every device feed with a ``date`` column, as a table partitioned by ``period``.
 
-    ``feeds`` maps a name to (input path, column the day is taken from). The
-    rewrite is a narrow scan-to-write job: no shuffle.
+    ``feeds`` maps a name to (input path, column the day is taken from). A run replaces
+    the periods (``day``, ``month`` or ``year``) that it brings and leaves all others, so
+    it may be repeated, and a feed may come in parts as long as a period is whole. Rows
+    without a day keep a null date. The rebalance gives a period few files and still
+    splits one that is too large for one task.
     """
     written = {}
     for name, (path, time_col) in feeds.items():
         written[name] = f"{out_dir}/{name}"
-        read_panel(spark, path, time_col).write.mode("overwrite").parquet(written[name])
+        (
+            read_panel(spark, path, time_col)
+            .withColumn(period, F.to_date(F.date_trunc(period, F.col("date"))))
+            .hint("rebalance", period)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(period)
+            .parquet(written[name])
+        )
     return written
 
 

@@ -34,10 +34,27 @@ def test_panel_roundtrip_and_feeds(spark, tmp_path):
     done = writers.ingest_feeds(spark, {"ebt": (str(tmp_path / "raw"), "start_time")}, str(tmp_path / "out"))
     back = readers.read_table(spark, done["ebt"])
     assert {r["date"] for r in back.collect()} == {dt.date(2024, 1, 1), dt.date(2024, 1, 2)}
-    writers.write_panel(back, str(tmp_path / "panel"), entity="participant_id")
+    writers.write_panel(back.drop("day"), str(tmp_path / "panel"), entity="participant_id")
     assert readers.read_table(spark, str(tmp_path / "panel"), ["x"]).count() == 2
 
 
+@pytest.mark.parametrize("period", ["day", "month"])
+def test_ingest_replaces_only_the_periods_it_brings(spark, tmp_path, period):
+    out, cols = str(tmp_path / "out"), "participant_id string, start_time string, x double"
+    whole = [("p", "2024-01-01 09:00:00", 1.0), ("p", "2024-02-02 09:00:00", 2.0), ("p", None, 3.0)]
+    late = [("p", "2024-02-02 10:00:00", 4.0), ("q", "2024-02-02 11:00:00", 5.0)]
+    for name, rows in (("whole", whole), ("late", late)):
+        spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / name))
+    read = lambda: sorted(r["x"] for r in readers.read_table(spark, f"{out}/ring").collect())
+    for _ in range(2):
+        writers.ingest_feeds(spark, {"ring": (str(tmp_path / "whole"), "start_time")}, out, period=period)
+        assert read() == [1.0, 2.0, 3.0]
+    writers.ingest_feeds(spark, {"ring": (str(tmp_path / "late"), "start_time")}, out, period=period)
+    assert read() == [1.0, 3.0, 4.0, 5.0]
+    undated = readers.read_table(spark, f"{out}/ring").where("date is null").collect()
+    assert [r["x"] for r in undated] == [3.0]
+
+
 def test_result_store_replaces_only_its_own_run(spark, tmp_path):
     path = str(tmp_path / "edges")
     df = spark.createDataFrame([("p", 1.0)], "e string, w double")

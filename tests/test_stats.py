@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -36,6 +37,34 @@ def test_ks_tail_by_full_enumeration(m, n):
             assert tails.ks_two_sided(d, m, n) == pytest.approx(ks_by_enumeration(d, m, n), abs=1e-12)
 
 
+def ks_by_fractions(d, m, n):
+    """Share of the lattice paths that leave the band, counted in whole numbers."""
+    inside = {(0, 0): 1}
+    for i in range(m + 1):
+        for j in range(n + 1):
+            if (i, j) != (0, 0):
+                stays = abs(Fraction(i, m) - Fraction(j, n)) < d
+                inside[i, j] = inside.get((i - 1, j), 0) + inside.get((i, j - 1), 0) if stays else 0
+    return float(1 - Fraction(inside[m, n], math.comb(m + n, m)))
+
+
+@pytest.mark.parametrize("m,n", [(60, 50), (50, 60), (41, 80), (1, 90)])
+def test_small_ks_tails_keep_their_digits(m, n):
+    lcm = math.lcm(m, n)
+    for share in (0.2, 0.5, 0.8, 0.95, 1.0):
+        d = Fraction(round(share * lcm / (lcm // max(m, n))) * (lcm // max(m, n)), lcm)
+        assert tails.ks_two_sided(float(d), m, n) == pytest.approx(ks_by_fractions(d, m, n), rel=1e-11)
+
+
+def test_ks_p_value_takes_its_method(spark):
+    rows = [(0.5, 10, 12), (0.5, 10, 12), (None, 10, 12), (0.5, 0, 12), (0.75, 8, 8)]
+    df = spark.createDataFrame(rows, "d double, m long, n long").coalesce(1)
+    for method in ("exact", "series"):
+        got = [r["p"] for r in df.select(tails.ks_p_value(F.col("d"), F.col("m"), F.col("n"), method).alias("p")).collect()]
+        want = [None if d is None or m < 1 else tails.ks_two_sided(d, m, n, method) for d, m, n in rows]
+        assert got == [None if w is None else pytest.approx(w) for w in want]
+
+
 def _integral(f, a, b, n=20000):
     x = np.linspace(a, b, n + 1)
     w = np.where(np.arange(n + 1) % 2 == 1, 4, 2.0)
