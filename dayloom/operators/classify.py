@@ -3,30 +3,50 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dayloom.functions import scalars as fn
 from dayloom.operators import merge, panel, sampling
+from dayloom.session import cut_lineage
 
 METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc"]
 
 
-def build_dataset(
-    df: DataFrame, features: Sequence[str], target: Callable[[DataFrame], Column], *,
+def build_targets(
+    df: DataFrame, features: Sequence[str], targets: dict[str, Callable[[DataFrame], Column]], *,
     entity: str, date: str, train_share: float = 0.8,
 ) -> DataFrame:
-    """Prepared features, target read from unscaled values, early days for training."""
+    """One prepared panel for all targets, stacked by ``target_name``.
+
+    Features are prepared once; targets are read from unscaled values, ride along as one
+    array and are exploded last, so no target costs a scan or a shuffle of its own. Early
+    days of an entity and target are for training.
+    """
     out = panel.fill_days(df, entity=entity, date=date)
-    out = out.withColumn("target", target(out).cast("double"))
+    named = [
+        F.struct(F.lit(name).alias("target_name"), target(out).cast("double").alias("target"))
+        for name, target in targets.items()
+    ]
+    out = out.withColumn("_targets", F.array(*named))
     out = panel.z_score(out, features, entity=entity)
     out = panel.entity_means(out, features, entity=entity)
     out = panel.interpolate(out, features, entity=entity, date=date)
     out = panel.fill_with_mean(out, features, entity=entity, means_attached=True)
-    known = out.where(F.col("target").isNotNull()).select(entity, date, *features, "target")
-    return sampling.time_split(known, train_share, entity=entity, date=date)
+    stacked = out.select(entity, date, *features, F.inline("_targets")).where("target is not null")
+    return sampling.time_split(stacked, train_share, entity=entity, date=date, within=["target_name"])
+
+
+def build_dataset(
+    df: DataFrame, features: Sequence[str], target: Callable[[DataFrame], Column], **panel_options
+) -> DataFrame:
+    """Prepared features, target read from unscaled values, early days for training."""
+    return build_targets(df, features, {"target": target}, **panel_options).drop("target_name")
 
 
 def fit_predict(
@@ -80,14 +100,18 @@ def predict_targets(
     df: DataFrame, features: Sequence[str], targets: dict[str, Callable[[DataFrame], Column]], *,
     entity: str, date: str, **model,
 ) -> DataFrame:
-    """One model per target, scored per entity, stacked."""
-    out = None
-    for name, target in targets.items():
-        data = build_dataset(df, features, target, entity=entity, date=date)
-        part = scores(fit_predict(data, features, **model), "target", "prediction", [entity])
-        part = part.withColumn("target", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """One model per target, scored per entity; the stacked panel is built once for all.
+
+    Boosting is a long row of short jobs, so the targets' models are fitted side by side.
+    """
+    data = cut_lineage(build_targets(df, features, targets, entity=entity, date=date))
+    fit = inheritable_thread_target(df.sparkSession)(
+        lambda name: fit_predict(data.where(F.col("target_name") == name), features, **model)
+    )
+    with ThreadPoolExecutor(len(targets)) as pool:
+        tested = list(pool.map(fit, targets))
+    scored = scores(reduce(DataFrame.unionByName, tested), "target", "prediction", [entity, "target_name"])
+    return scored.withColumnRenamed("target_name", "target")
 
 
 def trait_dataset(

@@ -50,9 +50,10 @@ def random_entities(
     return df.join(picked, entity, "left_semi")
 
 
-def time_split(df: DataFrame, share: float, *, entity: str, date: str) -> DataFrame:
+def time_split(df: DataFrame, share: float, *, entity: str, date: str, within: Sequence[str] = ()) -> DataFrame:
     """First share of each entity's rows for training, the rest for testing."""
-    w, u = Window.partitionBy(entity).orderBy(date), Window.partitionBy(entity)
+    u = Window.partitionBy(entity, *within)
+    w = u.orderBy(date)
     early = F.row_number().over(w) <= F.floor(F.count(F.lit(1)).over(u) * F.lit(share))
     return df.withColumn("part", F.when(early, "train").otherwise("test"))
 

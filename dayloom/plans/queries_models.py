@@ -16,11 +16,13 @@ FEATS = ["v", "k", "v_click"]
 TARGETS = {
     "stressed": lambda d: F.col("lab"),
     "shifts": lambda d: F.when(F.col("lab3") > 0, 1).when(F.col("lab3") == 0, 0),
+    "busy": lambda d: (F.col("n_events") >= 3).cast("int"),
 }
+TARGETS_SQL = {"stressed": "lab", "shifts": "CASE WHEN lab3 > 0 THEN 1 WHEN lab3 = 0 THEN 0 END", "busy": "CAST(n_events >= 3 AS INTEGER)"}
 
 
 def _panel(spark, sf):
-    return fx.daily_panel(spark, sf).select("user_id", "date", "lab", "lab3", *FEATS)
+    return fx.daily_panel(spark, sf).select("user_id", "date", "lab", "lab3", "n_events", *FEATS)
 
 
 @query("M01_dataset", f"""WITH {FILLED}, lb AS (SELECT *, CAST(CASE WHEN lab3 > 0 THEN 1 WHEN lab3 = 0 THEN 0 END AS DOUBLE) AS target FROM filled),
@@ -35,7 +37,7 @@ def _(spark, sf):
 @query("M02_boosted_trees")
 def _(spark, sf):
     data = classify.build_dataset(_panel(spark, sf), FEATS, TARGETS["shifts"], **K)
-    out = classify.fit_predict(data, FEATS, trees=5, depth=3)
+    out = classify.fit_predict(data, FEATS)
     return tidy(out.select("user_id", "date", "target", "prediction"))
 
 
@@ -68,9 +70,18 @@ def _(spark, sf):
     return tidy(classify.metric_table(s, ["source"]))
 
 
+@query("M05_dataset", f"""WITH {FILLED}, {sk.z_score('filled', 'z', FEATS)}, zm AS (SELECT *, {', '.join(f'avg({c}) OVER (PARTITION BY user_id) AS m_{c}' for c in FEATS)} FROM z), {sk.interpolate('zm', 'zi', FEATS)},
+  d AS ({' UNION ALL '.join(f"SELECT user_id, date, '{name}' AS target_name, CAST({sql} AS DOUBLE) AS target, {', '.join(f'coalesce({c}, m_{c}) AS {c}' for c in FEATS)} FROM zi" for name, sql in TARGETS_SQL.items())})
+  SELECT user_id, CAST(date AS VARCHAR) AS date, target_name, {r6s(*FEATS)}, target,
+    CASE WHEN row_number() OVER (PARTITION BY user_id, target_name ORDER BY date) <= floor(0.8 * count(*) OVER (PARTITION BY user_id, target_name)) THEN 'train' ELSE 'test' END AS part
+  FROM d WHERE target IS NOT NULL""")
+def _(spark, sf):
+    return tidy(classify.build_targets(_panel(spark, sf), FEATS, TARGETS, **K))
+
+
 @query("M05_targets")
 def _(spark, sf):
-    s = classify.predict_targets(_panel(spark, sf), FEATS, TARGETS, **K, trees=3, depth=3)
+    s = classify.predict_targets(_panel(spark, sf), FEATS, TARGETS, **K)
     return tidy(classify.metric_table(s, ["user_id", "target"]))
 
 
@@ -90,7 +101,7 @@ def _traits(spark, sf):
 
 @query("M06_trait_prediction")
 def _(spark, sf):
-    out = classify.fit_predict(_traits(spark, sf), ["c_acctbal", "region"], trees=3, depth=3)
+    out = classify.fit_predict(_traits(spark, sf), ["c_acctbal", "region"])
     return tidy(classify.scores(out, "target", "prediction").select("accuracy"))
 
 
