@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from dayloom.functions import scalars as fn, tails
 from dayloom.operators import ordered
+from dayloom.operators.lookup import looked_up
 
 
 def _by(df: DataFrame, keys: Sequence[str]):
@@ -99,65 +100,73 @@ def mmd_poly(
 
 
 def mmd_rbf(
-    df: DataFrame, vector: str, sample: str, row_id: str, keys: Sequence[str] = (),
-    gamma: float = 1.0, tile_rows: int = 512,
+    df: DataFrame, vector: str, sample: str, keys: Sequence[str] = (), gamma: float = 1.0, block_rows: int = 8192
 ) -> DataFrame:
     """Gaussian-kernel discrepancy, diagonals included.
 
-    The statistic is defined over all pairs, so its work is quadratic in the
-    group. Rows are hashed into tiles of bounded size; every pair of tiles is
-    its own small task that returns three sums. No pair of rows is ever a row,
-    and a large group spreads over as many tasks as it has tile pairs.
+    The statistic is defined over all pairs, so its work is quadratic in the different
+    vectors of a group. Equal vectors of a sample become one with a weight. The rest is
+    hashed into blocks of some ``block_rows``, what a task may hold; every pair of blocks
+    is one group of rows that returns three sums. A vector is sent once for every block,
+    which is the square root of twice the number of these groups, and no pair of vectors
+    is ever a row. Rows with a null vector or another sample take no part; a group that
+    lacks a sample has a null result.
     """
     keys = list(keys)
-    sizes = _by(df, keys).agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("_tiles"))
-    sized = df.join(sizes, keys) if keys else df.crossJoin(F.broadcast(sizes))  # one row without keys
-    tiled = sized.withColumn("_t", F.pmod(F.xxhash64(row_id), F.col("_tiles")).cast("int"))
-    tiles = tiled.groupBy(*keys, "_tiles", "_t").agg(
-        F.collect_list(F.when(F.col(sample) == "x", F.col(vector))).alias("_x"),
-        F.collect_list(F.when(F.col(sample) == "y", F.col(vector))).alias("_y"),
+    known = df.where(F.col(vector).isNotNull() & F.col(sample).isin("x", "y"))
+    cast = F.transform(vector, lambda v: v.cast("double"))
+    alike = known.select(*keys, F.col(sample).alias("_s"), cast.alias("_v")).groupBy(*keys, "_s", "_v").agg(
+        F.count(F.lit(1)).alias("_w")
     )
-    other = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
-    placed = tiles.withColumn("_o", other).withColumns(
-        {"_lo": F.least("_t", "_o"), "_hi": F.greatest("_t", "_o")}
-    )
-    tile = F.struct("_x", "_y")
-    pairs = placed.groupBy(*keys, "_lo", "_hi").agg(
-        F.any_value(F.when(F.col("_t") == F.col("_lo"), tile), True).alias("_a"),
-        F.any_value(F.when(F.col("_t") == F.col("_hi"), tile), True).alias("_b"),
+    many = F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks")
+    if keys:
+        one = F.struct(*keys).alias("_key")  # a struct of nulls is not null: groups without a key stay
+        sized = looked_up(alike.withColumn("_key", one), "_key", alike.groupBy(one).agg(many), "_v").drop("_key")
+    else:
+        sized = alike.crossJoin(F.broadcast(alike.agg(many)))  # one row
+    block = F.pmod(F.xxhash64("_v", "_s"), F.col("_blocks")).cast("int")
+    sent = sized.withColumn("_b", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    sent = sent.select(
+        *keys, F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi"), "_b", "_s", "_v", "_w"
     )
 
-    def kernel_sum(a, b) -> float:
-        if len(a) == 0 or len(b) == 0:
-            return 0.0
-        a, b = np.stack(a).astype(float), np.stack(b).astype(float)
-        d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-        return float(np.exp(-gamma * np.maximum(d2, 0)).sum())
-
-    @F.pandas_udf("xx double, yy double, xy double")
-    def sums(lo: pd.Series, hi: pd.Series, ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.DataFrame:
-        out = []
-        for i, j, x1, y1, x2, y2 in zip(lo, hi, ax, ay, bx, by):
-            if i == j:
-                out.append((kernel_sum(x1, x1), kernel_sum(y1, y1), kernel_sum(x1, y1)))
-            else:
-                out.append((2 * kernel_sum(x1, x2), 2 * kernel_sum(y1, y2), kernel_sum(x1, y2) + kernel_sum(x2, y1)))
-        return pd.DataFrame(out, columns=["xx", "yy", "xy"])
-
-    part = pairs.select(
-        *keys,
-        F.col("_lo"), F.col("_hi"),
-        sums("_lo", "_hi", "_a._x", "_a._y", "_b._x", "_b._y").alias("_s"),
-        F.size("_a._x").alias("_nx"), F.size("_a._y").alias("_ny"),
-    )
-    own = F.col("_lo") == F.col("_hi")
-    total = _by(part, keys).agg(
-        F.sum("_s.xx").alias("xx"), F.sum("_s.yy").alias("yy"), F.sum("_s.xy").alias("xy"),
-        F.sum(F.when(own, F.col("_nx"))).cast("double").alias("nx"),
-        F.sum(F.when(own, F.col("_ny"))).cast("double").alias("ny"),
-    )
+    def kernel_sum(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], step: int = 1024) -> float:
+        (av, aw), (bv, bw) = a, b
+        total = 0.0
+        for i in range(0, len(aw), step):
+            for j in range(0, len(bw), step):
+                x, y = av[i:i + step], bv[j:j + step]
+                d2 = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
+                total += float(aw[i:i + step] @ np.exp(-gamma * np.maximum(d2, 0)) @ bw[j:j + step])
+        return total
+
+    names = ["_xx", "_yy", "_xy", "_nx", "_ny"]
+
+    def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = key[-2:]
+
+        def side(block: int, s: str) -> tuple[np.ndarray, np.ndarray]:
+            rows = pdf[(pdf["_b"] == block) & (pdf["_s"] == s)]
+            if not len(rows):
+                return np.zeros((0, 1)), np.zeros(0)
+            return np.stack(rows["_v"].to_numpy()).astype(float), rows["_w"].to_numpy().astype(float)
+
+        def pair(a, b) -> float:
+            return kernel_sum(a, b) if len(a[1]) and len(b[1]) else 0.0
+
+        x, y = side(lo, "x"), side(lo, "y")
+        if lo == hi:
+            got = (pair(x, x), pair(y, y), pair(x, y), x[1].sum(), y[1].sum())
+        else:
+            x2, y2 = side(hi, "x"), side(hi, "y")
+            got = (2 * pair(x, x2), 2 * pair(y, y2), pair(x, y2) + pair(x2, y), 0.0, 0.0)
+        return pd.DataFrame([(*key[:-2], *got)], columns=[*keys, *names])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema if f.name in keys]
+    part = sent.groupBy(*keys, "_lo", "_hi").applyInPandas(sums, ", ".join([*kinds, *[f"{c} double" for c in names]]))
+    total = _by(part, keys).agg(*[F.sum(c).alias(c) for c in names])
     mean = lambda total_, a, b: F.col(total_) / F.nullif(F.col(a) * F.col(b), F.lit(0.0))
-    mmd = mean("xx", "nx", "nx") + mean("yy", "ny", "ny") - 2 * mean("xy", "nx", "ny")
+    mmd = mean("_xx", "_nx", "_nx") + mean("_yy", "_ny", "_ny") - 2 * mean("_xy", "_nx", "_ny")
     return total.select(*keys, mmd.alias("mmd"))
 
 

@@ -36,7 +36,7 @@ def _pairs_sql(kernel: str) -> str:
 
 @query("ST02_mmd_rbf", _pairs_sql("exp(-1 * list_distance(a.v, b.v) * list_distance(a.v, b.v))"))
 def _(spark, sf):
-    return tidy(twosample.mmd_rbf(_vectors(spark, sf), "embedding", "side", "vec_id", tile_rows=64))
+    return tidy(twosample.mmd_rbf(_vectors(spark, sf), "embedding", "side"))
 
 
 @query("ST03_mmd_poly", _pairs_sql("(2 * list_dot_product(a.v, b.v) + 1) ** 2"))

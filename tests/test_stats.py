@@ -154,7 +154,7 @@ def test_kernel_discrepancies(spark):
         return k(x, x).mean() + k(y, y).mean() - 2 * k(x, y).mean()
 
     rbf = lambda a, b: np.exp(-0.3 * ((a[:, None] - b[None]) ** 2).sum(-1))
-    got = twosample.mmd_rbf(df, "v", "s", "id", gamma=0.3, tile_rows=16).first()["mmd"]
+    got = twosample.mmd_rbf(df, "v", "s", gamma=0.3, block_rows=16).first()["mmd"]
     assert got == pytest.approx(brute(rbf), abs=1e-10)
     for degree in (1, 2, 3):
         poly = lambda a, b: (0.5 * a @ b.T + 2) ** degree
@@ -163,11 +163,26 @@ def test_kernel_discrepancies(spark):
     assert twosample.mmd_linear(df, "v", "s").first()["mmd"] == pytest.approx(((x.mean(0) - y.mean(0)) ** 2).sum())
 
 
+def test_gaussian_kernel_with_copies_and_gaps(spark):
+    x, y, df = _vectors(spark, n=60)
+    copies = [(1000 + i, "x", [float(v) for v in x[0]]) for i in range(500)]
+    odd = [(2000, "x", None), (2001, "z", [0.0] * 5), (2002, None, [0.0] * 5)]
+    more = df.unionByName(spark.createDataFrame(copies + odd, df.schema))
+    big = np.concatenate([x, np.repeat(x[:1], 500, 0)])
+    rbf = lambda a, b: np.exp(-((a[:, None] - b[None]) ** 2).sum(-1))
+    want = rbf(big, big).mean() + rbf(y, y).mean() - 2 * rbf(big, y).mean()
+    assert twosample.mmd_rbf(more, "v", "s", block_rows=8).first()["mmd"] == pytest.approx(want, abs=1e-10)
+    keyed = more.withColumn("g", F.lit(None).cast("long")).unionByName(df.where("s = 'x'").withColumn("g", F.lit(1).cast("long")))
+    got = {r["g"]: r["mmd"] for r in twosample.mmd_rbf(keyed, "v", "s", ["g"], block_rows=8).collect()}
+    assert got == {None: pytest.approx(want, abs=1e-10), 1: None}
+    assert twosample.mmd_rbf(df.limit(0), "v", "s").first()["mmd"] is None
+
+
 def test_kernels_by_group(spark):
     x, y, df = _vectors(spark)
     two = df.withColumn("g", F.lit("a")).unionByName(df.withColumn("g", F.lit("b")))
-    whole = twosample.mmd_rbf(df, "v", "s", "id", tile_rows=32).first()["mmd"]
-    for r in twosample.mmd_rbf(two, "v", "s", "id", ["g"], tile_rows=32).collect():
+    whole = twosample.mmd_rbf(df, "v", "s", block_rows=32).first()["mmd"]
+    for r in twosample.mmd_rbf(two, "v", "s", ["g"], block_rows=32).collect():
         assert r["mmd"] == pytest.approx(whole)
     whole = twosample.mmd_poly(df, "v", "s").first()["mmd"]
     for r in twosample.mmd_poly(two, "v", "s", ["g"]).collect():
