@@ -212,16 +212,31 @@ def paired_edges(edges: DataFrame, graphs: DataFrame, keys: Sequence[str]) -> Da
     first of a pair is the base. Both graphs of a pair must exist; empty graphs
     come in through ``graphs`` as rows without an edge.
     """
-    cond = F.col("cond")
-    tag = {
-        "label": F.when(cond.isin("stress", "no_stress"), "stress").otherwise("reference"),
-        "base": cond.isin("no_stress", "b"),
-    }
     ident = [*keys, "boot"]
     shown = graphs.select(*ident, "cond").distinct().withColumns(
         {"src": F.lit(None).cast("string"), "dst": F.lit(None).cast("string"), "weight": F.lit(None).cast("double")}
     )
-    rows = edges.select(*ident, "cond", "src", "dst", "weight").unionByName(shown).withColumns(tag)
+    return _sides(edges.select(*ident, "cond", "src", "dst", "weight").unionByName(shown), ident)
+
+
+def paired_graphs(graphs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``paired_edges`` of a table with one row per graph and its ``edges`` in an array.
+
+    The row that says a graph exists comes from the same array, so the table is read once.
+    """
+    kind = graphs.schema["edges"].dataType.simpleString()
+    marked = F.concat(F.array(F.lit(None)).cast(kind), F.coalesce("edges", F.array().cast(kind)))
+    ident = [*keys, "boot"]
+    return _sides(graphs.select(*ident, "cond", F.inline(marked)), ident)
+
+
+def _sides(rows: DataFrame, ident: list[str]) -> DataFrame:
+    """Edges, and a row without an edge for every graph, by pair of graphs and undirected edge."""
+    cond = F.col("cond")
+    rows = rows.withColumns({
+        "label": F.when(cond.isin("stress", "no_stress"), "stress").otherwise("reference"),
+        "base": cond.isin("no_stress", "b"),
+    })
     # one shuffle by graph pair serves both this grouping and the comparison after it
     rows = rows.repartition(*ident, "label")
     side = lambda base, c: F.max(F.when(F.col("base") == base, F.col(c)))
@@ -306,19 +321,27 @@ def unique_edges(compare: DataFrame, *, entity: str) -> DataFrame:
     return _changed(compare, entity).select("lo", "hi").distinct()
 
 
-def edge_summary(compare: DataFrame, entities: DataFrame, *, entity: str, boots: int = 100) -> DataFrame:
+def edge_summary(compare: DataFrame, entities: DataFrame, *, entity: str, boots: int | None = None) -> DataFrame:
     """Per entity and edge: share of bootstraps with the edge on one side only; zeros kept.
 
-    The spine is entities times edges; there are at most as many edges as
-    feature pairs, so the edge side is small whatever the data.
+    All edges that differ anywhere are one row with an array, at most as long as there are
+    pairs of features, so every entity gets them without a join of tables. ``boots`` is
+    counted from the comparison where it is not given.
     """
-    changed = _changed(compare, entity)
-    counts = changed.groupBy(entity, "lo", "hi").agg(
-        (F.count_if(F.col("kind") == "added") / F.lit(boots)).alias("percent_added"),
-        (F.count_if(F.col("kind") == "removed") / F.lit(boots)).alias("percent_removed"),
+    counts = _changed(compare, entity).groupBy(entity, "lo", "hi").agg(
+        F.count_if(F.col("kind") == "added").alias("_a"), F.count_if(F.col("kind") == "removed").alias("_r")
     )
-    spine = entities.select(entity).crossJoin(F.broadcast(unique_edges(compare, entity=entity)))
-    return spine.join(counts, [entity, "lo", "hi"], "left").na.fill(0.0, ["percent_added", "percent_removed"])
+    known = counts.agg(F.collect_set(F.struct("lo", "hi")).alias("_edges")).crossJoin(_boots(compare, boots))  # two single rows
+    spine = entities.select(entity).crossJoin(F.broadcast(known)).select(entity, "_boots", F.inline("_edges"))
+    share = lambda c: F.coalesce(F.col(c) / F.col("_boots"), F.lit(0.0))
+    return spine.join(counts, [entity, "lo", "hi"], "left").select(
+        entity, "lo", "hi", share("_a").alias("percent_added"), share("_r").alias("percent_removed")
+    )
+
+
+def _boots(compare: DataFrame, boots: int | None) -> DataFrame:
+    """One row: the given or the counted number of bootstraps."""
+    return compare.agg((F.lit(boots) if boots else F.count_distinct("boot")).cast("long").alias("_boots"))
 
 
 def frequent_edges(summary: DataFrame, cutoff: float, at_least: int = 10) -> DataFrame:
@@ -330,8 +353,11 @@ def frequent_edges(summary: DataFrame, cutoff: float, at_least: int = 10) -> Dat
     return counts.where((F.col("n_added") >= at_least) | (F.col("n_removed") >= at_least))
 
 
-def weight_change(compare: DataFrame, *, entity: str, boots: int = 100) -> DataFrame:
-    """Weight change of edges shared in every stress pair, tested against the reference pairs."""
+def weight_change(compare: DataFrame, *, entity: str, boots: int | None = None) -> DataFrame:
+    """Weight change of edges shared in every stress pair, tested against the reference pairs.
+
+    ``boots``, the number of stress pairs an edge must be in, is counted where it is not given.
+    """
     long = compare.select(entity, "label", F.explode("weight_diffs").alias("_e", "_w")).select(
         entity, F.least("_e.src", "_e.dst").alias("lo"), F.greatest("_e.src", "_e.dst").alias("hi"), "_w",
         F.when(F.col("label") == "stress", "x").otherwise("y").alias("_side"),
@@ -339,6 +365,6 @@ def weight_change(compare: DataFrame, *, entity: str, boots: int = 100) -> DataF
     keys = [entity, "lo", "hi"]
     seen = long.groupBy(*keys).agg(
         F.count_if(F.col("_side") == "x").alias("_s"), F.count_if(F.col("_side") == "y").alias("_r")
-    ).where((F.col("_s") == boots) & (F.col("_r") > 0))
+    ).crossJoin(F.broadcast(_boots(compare, boots))).where((F.col("_s") == F.col("_boots")) & (F.col("_r") > 0))  # one row
     tested = twosample.t_test(long.join(seen, keys, "left_semi"), "_w", "_side", keys, pooled=True)
     return tested.select(*keys, F.col("mean_x").alias("mean"), "p_val")

@@ -20,6 +20,13 @@ NODES = TYPES
 # stand-in themes: one node sits in two themes, as in the study
 THEMES = {"phys": ["click", "view", "purchase"], "sleep": ["signup"], "mental": ["error", "purchase"]}
 
+# the same for the panel's own columns, under the study's names of themes
+STUDY_FEATURES = ["v", "n_events", "k", "v_click", "v_view", "v_error", "v_purchase", "v_signup"]
+STUDY_THEMES = {
+    "oura": ["v", "v_click", "v_view", "v_error"], "survey": ["n_events", "k", "v_purchase", "v_signup"],
+    "phys": ["v", "n_events", "v_click"], "sleep": ["k", "v_view", "v_click"], "mental": ["v_error", "v_purchase", "v_signup", "n_events"],
+}
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")

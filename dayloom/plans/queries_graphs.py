@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dayloom import vocab
-from dayloom.operators import ci_tests, graph_search as gs, graph_tables as gt, labels
+from dayloom.operators import ci_tests, graph_search as gs, graph_tables as gt, labels, study
 from dayloom.plans import fixtures as fx, sqlkit as sk
 from dayloom.plans.fixtures import ALL_EDGES, EDGES, FILLED
 from dayloom.plans.registry import query, r6, r6s, tidy
-from dayloom.session import cut_lineage
+from dayloom.session import cut_lineage, scratch_table
+from dayloom.sources import writers
 
 K = {"entity": "user_id", "date": "date"}
 G = ["user_id", "boot", "cond"]
@@ -266,10 +267,15 @@ SUMMARY = f"""{UNIQ}, who AS (SELECT user_id FROM have WHERE label = 'stress' GR
     FROM who w CROSS JOIN (SELECT DISTINCT lo, hi FROM chg) u)"""
 
 
+def _stored(spark, sf):
+    """The comparison in the result store, written once and read as often as it is named."""
+    path = scratch_table(spark, "comparison")
+    writers.write_results(_compare(spark, sf), path, {"graphs": "steps"}, ["label"])
+    return writers.read_results(spark, path, graphs="steps")
+
+
 def _summary(spark, sf):
-    c = _compare(spark, sf)
-    who = c.where("label = 'stress'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    return gt.edge_summary(c, who, entity="user_id", boots=fx.bootstraps(spark, sf))
+    return study.summarised(_stored(spark, sf), entity="user_id")
 
 
 @query("C08_edge_shares", f"WITH {SUMMARY} SELECT user_id, lo, hi, {r6s('percent_added', 'percent_removed')} FROM summ")
@@ -297,7 +303,7 @@ WCHANGE = f"""{PAIRED}, d AS (SELECT user_id, label, least(bsrc, bdst) AS lo, gr
 
 @query("ST14_weight_change", f"WITH {WCHANGE} SELECT user_id, lo, hi, {r6('mx', 'mean')}, {r6(sk.student_p('t', 'df'), 'p_val')} FROM tt")
 def _(spark, sf):
-    return tidy(gt.weight_change(_compare(spark, sf), entity="user_id", boots=fx.bootstraps(spark, sf)))
+    return tidy(gt.weight_change(_stored(spark, sf), entity="user_id"))
 
 
 # ---------------------------------------------------------------- graph search
@@ -312,7 +318,10 @@ def _panel(spark, sf):
     return fx.daily_panel(spark, sf).select("user_id", "date", "lab", "lab3", *FEATS)
 
 
-def search_sql(label: str, ranks: bool = False, mask: list[str] | None = None, before: str = "", src: str = "filled", feats: list[str] | None = None) -> str:
+def search_sql(
+    label: str, ranks: bool = False, mask: list[str] | None = None, before: str = "", src: str = "filled",
+    feats: list[str] | None = None, boots: int = BOOTS, min_rows: int = MIN_ROWS,
+) -> str:
     """Samples, correlations (of ranks, if asked) and skeleton of one definition in SQL.
 
     ``mask`` names the definition's features; the others have no pairs. The label is an
@@ -336,13 +345,13 @@ def search_sql(label: str, ranks: bool = False, mask: list[str] | None = None, b
   {sk.z_score('lb', 'z', f)}, zm AS (SELECT *, {', '.join(f'avg({c}) OVER (PARTITION BY user_id) AS m_{c}' for c in f)} FROM z), {sk.interpolate('zm', 'zi', f)},
   days AS (SELECT user_id, date, label, {', '.join(f'coalesce({c}, m_{c}) AS {c}' for c in f)} FROM zi),
   {sk.runs('days', 'rr', 'label')}, l AS (SELECT *, count(*) OVER (PARTITION BY user_id, run) AS g FROM rr),
-  bt AS (SELECT l.*, boot FROM l CROSS JOIN (SELECT CAST(unnest(generate_series(0, {BOOTS - 1})) AS INTEGER) AS boot)),
+  bt AS (SELECT l.*, boot FROM l CROSS JOIN (SELECT CAST(unnest(generate_series(0, {boots - 1})) AS INTEGER) AS boot)),
   rk AS (SELECT *, row_number() OVER (PARTITION BY user_id, boot, run ORDER BY {key("'graph'")}, date) AS r FROM bt),
   pool AS (SELECT user_id, boot, 'day' AS cond, date, {cols} FROM rk UNION ALL
     SELECT user_id, boot, cond, min(date), {', '.join(f'avg({c})' for c in f)} FROM (SELECT *, CASE WHEN label = 0 THEN 'no_stress' ELSE 'stress' END AS cond,
       CASE WHEN g BETWEEN 2 AND {LIMIT} THEN 0 ELSE r END AS slot FROM rk WHERE label IN (0, 1, 2) AND (g <= {LIMIT} OR r <= g // 2)) GROUP BY user_id, boot, cond, run, slot),
   ct AS (SELECT user_id, boot, count(*) FILTER (WHERE cond = 'stress') AS n_stress, count(*) FILTER (WHERE cond = 'no_stress') AS n_calm, count(*) FILTER (WHERE cond = 'day') AS n_days FROM pool GROUP BY 1, 2),
-  st AS (SELECT *, least(n_stress, n_calm) AS nn, CASE WHEN least(n_stress, n_calm) < {MIN_ROWS} OR n_days < {MIN_ROWS} THEN 'too few rows' WHEN n_days < 2 * least(n_stress, n_calm) THEN 'no room for two samples' ELSE 'ok' END AS status FROM ct),
+  st AS (SELECT *, least(n_stress, n_calm) AS nn, CASE WHEN least(n_stress, n_calm) < {min_rows} OR n_days < {min_rows} THEN 'too few rows' WHEN n_days < 2 * least(n_stress, n_calm) THEN 'no room for two samples' ELSE 'ok' END AS status FROM ct),
   dr AS (SELECT pool.*, nn, row_number() OVER (PARTITION BY user_id, boot, cond ORDER BY {key("cond, 'graph'")}, date) AS r FROM pool JOIN st USING (user_id, boot) WHERE status = 'ok'),
   smp AS (SELECT user_id, boot, date, CASE WHEN cond <> 'day' THEN cond WHEN r <= nn THEN 'a' ELSE 'b' END AS cond, {cols} FROM dr WHERE r <= nn OR (cond = 'day' AND r <= 2 * nn)),
   hs AS (SELECT *, {', '.join(f'''{key(f"cond, '{i}', 'graph'")} AS h{i}''' for i in range((len(f) + 3) // 4))} FROM smp),
@@ -467,6 +476,85 @@ def _(spark, sf):
     return gs.unfold(_discover(spark, sf), "edges", "definition", "user_id", "boot", "cond")
 
 
+# ------------------------------------------------- search, comparison, tests as one chain
+
+#: The study's job: eight features, the configured 100 bootstraps and 10 rows a sample.
+STUDY = {"boots": 100, "limit": LIMIT, "min_rows": 10}
+STUDY_LABELS = ["lab", "lab3"]
+
+
+def _study_flag(a: str, b: str) -> str:
+    at = lambda theme: ", ".join(str(fx.STUDY_FEATURES.index(f)) for f in fx.STUDY_THEMES[theme])
+    return f"((i IN ({at(a)}) AND j IN ({at(b)})) OR (i IN ({at(b)}) AND j IN ({at(a)})))"
+
+
+def _study_search(label: str) -> str:
+    search = search_sql(label, feats=fx.STUDY_FEATURES, boots=STUDY["boots"], min_rows=STUDY["min_rows"])
+    return f"""{label}_g AS (WITH {search} SELECT '{label}' AS definition, s.user_id, s.boot, s.cond, e2.i, e2.j FROM (SELECT DISTINCT user_id, boot, cond FROM smp) s
+    LEFT JOIN e2 ON e2.user_id = s.user_id AND e2.boot = s.boot AND e2.cond = s.cond)"""
+
+
+DID = "definition, user_id, boot, label"
+#: Undirected, so no edge's direction is needed: ``pr`` has the pairs of graphs' edges, ``hv`` the pairs.
+STUDY_SQL = f"""{', '.join(_study_search(label) for label in STUDY_LABELS)},
+  tg AS MATERIALIZED (SELECT *, CASE WHEN cond IN ('stress', 'no_stress') THEN 'stress' ELSE 'reference' END AS label, cond IN ('no_stress', 'b') AS base
+    FROM ({' UNION ALL '.join(f'SELECT * FROM {label}_g' for label in STUDY_LABELS)})),
+  hv AS (SELECT {DID} FROM tg GROUP BY ALL HAVING bool_or(base) AND bool_or(NOT base)),
+  pr AS (SELECT {DID}, i, j, bool_or(base) AS inb, bool_or(NOT base) AS ino FROM tg SEMI JOIN hv USING ({DID}) WHERE i IS NOT NULL GROUP BY ALL),
+  cmp AS (SELECT {DID}, coalesce(count(*) FILTER (WHERE inb AND ino) / nullif(count(i), 0), 0) AS int_union,
+    count(*) FILTER (WHERE inb AND NOT ino) AS n_added, count(*) FILTER (WHERE ino AND NOT inb) AS n_removed,
+    {', '.join(f"count(*) FILTER (WHERE inb AND {_study_flag(a, b)}) - count(*) FILTER (WHERE ino AND {_study_flag(a, b)}) AS {k}" for k, (a, b) in vocab.THEME_PAIRS.items())}
+    FROM hv LEFT JOIN pr USING ({DID}) GROUP BY ALL)"""
+
+
+def _study(spark, sf):
+    """Search, stored graphs, stored comparison of both definitions; the run's name is its parameters."""
+    path, run = scratch_table(spark, "study"), {k: STUDY[k] for k in ("boots", "min_rows")}
+    days = fx.daily_panel(spark, sf).select("user_id", "date", *STUDY_LABELS, *fx.STUDY_FEATURES)
+    found = gs.discover(days, {n: (fx.STUDY_FEATURES, LABELS[n]) for n in STUDY_LABELS}, **K, **STUDY)
+    study.store_graphs(found, path, run, entity="user_id")
+    study.store_comparison(spark, path, run, entity="user_id", n_nodes=len(fx.STUDY_FEATURES), themes=fx.STUDY_THEMES)
+    return path, run
+
+
+@query("C07_study_comparison", f"WITH {STUDY_SQL} SELECT {DID}, {r6s('int_union')}, n_added, n_removed, {', '.join(vocab.THEME_PAIRS)} FROM cmp")
+def _(spark, sf):
+    path, run = _study(spark, sf)
+    c = study.stored_comparison(spark, path, **run)
+    return tidy(c.select(
+        "definition", "user_id", "boot", "label", "int_union", F.size("only_in_base").cast("long").alias("n_added"),
+        F.size("only_in_other").cast("long").alias("n_removed"), *vocab.THEME_PAIRS))
+
+
+@query("C09_study_summary", f"""WITH {STUDY_SQL}, nm AS (SELECT {fx.STUDY_FEATURES} AS f),
+  chg AS (SELECT user_id, least(f[i + 1], f[j + 1]) AS lo, greatest(f[i + 1], f[j + 1]) AS hi, inb AS added FROM pr CROSS JOIN nm WHERE label = 'stress' AND definition = 'lab3' AND inb <> ino),
+  nb AS (SELECT count(DISTINCT boot) AS n FROM hv WHERE definition = 'lab3'),
+  who AS (SELECT user_id FROM hv WHERE label = 'stress' AND definition = 'lab3' GROUP BY 1 HAVING count(*) >= 2),
+  ct AS (SELECT user_id, lo, hi, count(*) FILTER (WHERE added) AS a, count(*) FILTER (WHERE NOT added) AS r FROM chg GROUP BY ALL)
+  SELECT user_id, lo, hi, {r6('coalesce(a, 0) / n', 'percent_added')}, {r6('coalesce(r, 0) / n', 'percent_removed')}
+  FROM who CROSS JOIN (SELECT DISTINCT lo, hi FROM chg) CROSS JOIN nb LEFT JOIN ct USING (user_id, lo, hi)""")
+def _(spark, sf):
+    path, run = _study(spark, sf)
+    return tidy(study.summarised(study.stored_comparison(spark, path, **run, definition="lab3"), entity="user_id"))
+
+
+#: ``difference`` needs the edges' directions, which the SQL search does not have.
+UNDIRECTED = [m for m in vocab.SCALAR_MEASURES if m != "difference"]
+
+
+@query("ST11_study_measures", f"""WITH {STUDY_SQL},
+  ml AS (UNPIVOT (SELECT definition, user_id, label, {', '.join(f'CAST({m} AS DOUBLE) AS {m}' for m in UNDIRECTED)} FROM cmp) ON {', '.join(UNDIRECTED)} INTO NAME measure VALUE x),
+  mm AS (SELECT definition, user_id, measure, avg(x) FILTER (WHERE label = 'stress') AS mx, avg(x) FILTER (WHERE label <> 'stress') AS my,
+    var_samp(x) FILTER (WHERE label = 'stress') AS vx, var_samp(x) FILTER (WHERE label <> 'stress') AS vy,
+    count(*) FILTER (WHERE label = 'stress') AS nx, count(*) FILTER (WHERE label <> 'stress') AS ny FROM ml GROUP BY ALL),
+  tt AS (SELECT *, (mx - my) / nullif(sqrt(vx / nx + vy / ny), 0) AS t, (vx / nx + vy / ny) ** 2 / nullif((vx / nx) ** 2 / nullif(nx - 1, 0) + (vy / ny) ** 2 / nullif(ny - 1, 0), 0) AS df FROM mm)
+  SELECT definition, user_id, measure, {r6(sk.student_p('t', 'df', 2000), 'p_val')}, CASE WHEN mx >= 0 THEN 'Loss' ELSE 'Gain' END AS direction FROM tt WHERE t IS NOT NULL""")
+def _(spark, sf):
+    path, run = _study(spark, sf)
+    tests = study.measure_tests(study.stored_comparison(spark, path, **run), UNDIRECTED, entity="user_id", method="t")
+    return tidy(tests.select("definition", "user_id", "measure", "p_val", "direction"))
+
+
 #: Columns of the panel that play the roles of the named labels and of the features.
 ROLES = {
     "daily_stressed": "lab", "daily_shifts": "lab", "shift_stress": "lab3", "control_cat": "v_view", "daily_control": "v",
