@@ -1,7 +1,8 @@
 """Canonical digest lookup of licence texts and notices.
 
 Text is brought to one canonical form: lower case, punctuation and white space as single
-spaces, copyright lines dropped, equivalent spellings replaced. The digest of a whole
+spaces, copyright lines and the numbers of list items dropped, equivalent spellings
+replaced. The digest of a whole
 text is hash-joined to the digests of known licences; the digests of its lines are
 intersected with the known ones. The known table is fixed (a few hundred rows) and
 broadcast; a text never leaves its partition.
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from dayloom.llm.licence_texts import TEXTS, TITLES, notices
+from dayloom.llm.licence_texts import notices, texts
 
 #: Equivalent spellings, replaced in this order.
 SPELLINGS = (
@@ -27,6 +28,8 @@ COPYRIGHT = (
     r"(^|\n)[ \t*#/;-]*(?:copyright[ \t]*(?:\(c\)|©|:|<|[0-9])|\(c\)[ \t]*[0-9]|©)[^\n]*"
     r"(?:\n[ \t*#/;-]*all rights reserved\.?[ \t]*)?"
 )
+#: The number or letter in front of a list item; bullets are punctuation anyway.
+ITEM = r"(^|\n)[ \t*#/;-]*\(?(?:[0-9]{1,2}|[a-z])[.)][ \t]+"
 #: What becomes a space; letters beyond ASCII stay, and so do line ends for now.
 SIGNS = r"[^0-9a-z\n\x{80}-\x{10ffff}]+"
 
@@ -39,7 +42,9 @@ def _spelled(c: Column) -> Column:
 
 def _lines_kept(text: Column) -> Column:
     text = F.translate(F.coalesce(text, F.lit("")), UPPER + MARKS, LOWER + PLAIN)
-    return F.regexp_replace(F.regexp_replace(text, COPYRIGHT, "\n"), SIGNS, " ")
+    for dropped in (COPYRIGHT, ITEM):
+        text = F.regexp_replace(text, dropped, "\n")
+    return F.regexp_replace(text, SIGNS, " ")
 
 
 def canonical(text: Column) -> Column:
@@ -53,8 +58,7 @@ def canonical_lines(text: Column) -> Column:
 
 def known(spark: SparkSession) -> DataFrame:
     """``(digest, licence)`` of all known texts, with and without title, and of all notices."""
-    rows = [(x, t) for x, t in TEXTS.items()] + [(x, f"{TITLES[x]}\n\n{t}") for x, t in TEXTS.items()]
-    df = spark.createDataFrame(rows + notices(), "licence string, text string")
+    df = spark.createDataFrame(texts() + notices(), "licence string, text string")
     return df.groupBy(F.md5(canonical(F.col("text"))).alias("digest")).agg(F.min("licence").alias("licence"))
 
 
@@ -94,13 +98,15 @@ def _sql_spelled(c: str) -> str:
 
 def oracle(table: str = "documents") -> str:
     """DuckDB SQL for ``scan``."""
-    rows = [*TEXTS.items(), *((x, f"{TITLES[x]}\n\n{t}") for x, t in TEXTS.items()), *notices()]
+    rows = [*texts(), *notices()]
     values = ", ".join(f"({_sql_text(x)}, {_sql_text(t)})" for x, t in rows)
     end = "chr(10)"
 
     def kept(c: str) -> str:
         low = f"translate(coalesce({c}, ''), {_sql_text(UPPER + MARKS)}, {_sql_text(LOWER + PLAIN)})"
-        return f"regexp_replace(regexp_replace({low}, {_sql_text(COPYRIGHT)}, {end}, 'g'), {_sql_text(SIGNS)}, ' ', 'g')"
+        for dropped in (COPYRIGHT, ITEM):
+            low = f"regexp_replace({low}, {_sql_text(dropped)}, {end}, 'g')"
+        return f"regexp_replace({low}, {_sql_text(SIGNS)}, ' ', 'g')"
 
     def whole(c: str) -> str:
         return _sql_spelled(f"trim(regexp_replace({kept(c)}, '[ \\n]+', ' ', 'g'), ' ')")

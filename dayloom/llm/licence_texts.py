@@ -61,6 +61,76 @@ required.
 3. This notice may not be removed or altered from any source distribution.
 """
 
+_BSD_CLEAR = """
+NO EXPRESS OR IMPLIED LICENSES TO ANY PARTY'S PATENT RIGHTS ARE GRANTED BY THIS LICENSE.
+"""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software
+is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and
+the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works
+of the Software, unless such copies or derivative works are solely in the form of machine-executable object code
+generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE
+COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT,
+TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or
+as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of
+all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+_UNLICENSE_MORE = """
+For more information, please refer to <https://unlicense.org>
+"""
+_POSTGRESQL = """Permission to use, copy, modify, and distribute this software and its documentation for any purpose,
+without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this
+paragraph and the following two paragraphs appear in all copies.
+
+IN NO EVENT SHALL THE UNIVERSITY OF CALIFORNIA BE LIABLE TO ANY PARTY FOR DIRECT, INDIRECT, SPECIAL, INCIDENTAL, OR
+CONSEQUENTIAL DAMAGES, INCLUDING LOST PROFITS, ARISING OUT OF THE USE OF THIS SOFTWARE AND ITS DOCUMENTATION, EVEN IF THE
+UNIVERSITY OF CALIFORNIA HAS BEEN ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+
+THE UNIVERSITY OF CALIFORNIA SPECIFICALLY DISCLAIMS ANY WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES
+OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE. THE SOFTWARE PROVIDED HEREUNDER IS ON AN "AS IS" BASIS, AND THE
+UNIVERSITY OF CALIFORNIA HAS NO OBLIGATIONS TO PROVIDE MAINTENANCE, SUPPORT, UPDATES, ENHANCEMENTS, OR MODIFICATIONS.
+"""
+_CURL = """Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT OF THIRD PARTY RIGHTS. IN NO EVENT
+SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+
+Except as contained in this notice, the name of a copyright holder shall not be used in advertising or otherwise to
+promote the sale, use or other dealings in this Software without prior written authorization of the copyright holder.
+"""
+_FSFAP = """Copying and distribution of this file, with or without modification, are permitted in any medium without
+royalty provided the copyright notice and this notice are preserved. This file is offered as-is, without any warranty.
+"""
+_BLESSING = """The author disclaims copyright to this source code. In place of a legal notice, here is a blessing:
+
+May you do good and not evil.
+May you find forgiveness for yourself and forgive others.
+May you share freely, never taking more than you give.
+"""
+
 #: Whole licence texts by SPDX id, without title and copyright line.
 TEXTS = {
     "MIT": _MIT.format(conditions=_MIT_CONDITIONS),
@@ -71,18 +141,48 @@ TEXTS = {
     "0BSD": _ISC.format(conditions="."),
     "BSD-2-Clause": _BSD.format(third=""),
     "BSD-3-Clause": _BSD.format(third=_BSD_THIRD),
+    "BSD-3-Clause-Clear": _BSD.format(third=_BSD_THIRD + _BSD_CLEAR).replace(
+        "are permitted provided", "are permitted (subject to the limitations in the disclaimer below) provided"
+    ),
     "Zlib": _ZLIB,
+    "BSL-1.0": _BOOST,
+    "Unlicense": _UNLICENSE + _UNLICENSE_MORE,
+    "PostgreSQL": _POSTGRESQL,
+    "curl": _CURL,
+    "FSFAP": _FSFAP,
+    "blessing": _BLESSING,
 }
+#: Other wordings that are in use for the same licences.
+WORDINGS = [
+    ("ISC", TEXTS["ISC"].replace("modify, and/or distribute", "modify, and distribute")),
+    ("0BSD", TEXTS["0BSD"].replace("modify, and/or distribute", "modify, and distribute")),
+    ("BSD-3-Clause", TEXTS["BSD-3-Clause"].replace("the name of the copyright holder nor", "the name of the copyright holders nor")),
+    ("Unlicense", _UNLICENSE),
+]
+#: Titles that a text may stand under; the first one is the usual one.
 TITLES = {
-    "MIT": "MIT License", "MIT-0": "MIT No Attribution", "ISC": "ISC License", "0BSD": "BSD Zero Clause License",
-    "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License",
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "MIT-0": ["MIT No Attribution"],
+    "ISC": ["ISC License", "The ISC License"], "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License"],
+    "BSD-3-Clause-Clear": ["The Clear BSD License", "BSD 3-Clause Clear License"], "Zlib": ["zlib License", "The zlib/libpng License"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License 1.0"],
+    "Unlicense": ["The Unlicense"], "PostgreSQL": ["PostgreSQL License", "The PostgreSQL License"],
+    "curl": ["COPYRIGHT AND PERMISSION NOTICE", "curl License"], "FSFAP": ["FSF All Permissive License"], "blessing": ["SQLite Blessing"],
 }
 
 
+def texts() -> list[tuple[str, str]]:
+    """(id, text) of every known wording, bare and under each title, and on one line, where
+    the numbers of list items cannot be told from words."""
+    bare = [*TEXTS.items(), *WORDINGS]
+    titled = bare + [(x, f"{title}\n\n{t}") for x, t in bare for title in TITLES[x]]
+    return titled + [(x, " ".join(t.split())) for x, t in titled]
+
+
 def names() -> dict[str, list[str]]:
     """Ways to name each licence in a notice."""
-    out = {x: [t, x] for x, t in TITLES.items()}
-    out["MIT"] += ["MIT"]
+    out = {x: [*ways, x] for x, ways in TITLES.items()}
     out["Apache-2.0"] = ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0"]
     out["MPL-2.0"] = ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL-2.0"]
     for short, title, versions in (

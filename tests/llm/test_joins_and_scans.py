@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -105,6 +106,41 @@ def test_licence_forms(spark):
     assert licence_scan.scan(df.limit(0)).count() == 0
 
 
+def _commented(text):
+    return "".join(f"# {line}\n" for line in text.split("\n"))
+
+
+def _bulleted(text):
+    return text.replace("\n1. ", "\n * ").replace("\n2. ", "\n(b) ").replace("\n3. ", "\n  iii) ".replace("iii", "3"))
+
+
+def test_whole_licences_in_many_forms_and_in_sql(spark):
+    forms = [str, str.upper, lambda t: " ".join(t.split()), lambda t: t.replace("\n", "\r\n"), _commented, _bulleted]
+    wanted, rows = {}, []
+    for spdx, text in [*licence_texts.TEXTS.items(), *licence_texts.WORDINGS]:
+        for title in ["", *licence_texts.TITLES[spdx]]:
+            for form in forms:
+                wanted[len(rows)] = spdx
+                rows.append((len(rows), form((f"{title}\n\n" if title else "") + text)))
+    cut = [t[: len(t) // 2] for _, t in rows[:6]] + [t.replace("software", "hardware").replace("SOFTWARE", "HARDWARE") for _, t in rows[:6]]
+    rows += [(len(rows) + i, t) for i, t in enumerate(cut)]
+    rows += [(-1, None), (-2, ""), (-3, "1."), (-4, "a) b) c)\n2. \n"), (-5, "x" * 300_000 + "\n1. y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licence_scan.scan(df).collect()
+    assert len(wanted) > 200 and {r.doc_id: r.licence for r in got if r.licence} == wanted
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    twin = con.execute(licence_scan.oracle()).fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(twin, key=str)
+
+
+def test_no_two_licences_share_a_text():
+    seen = {}
+    for spdx, text in licence_texts.texts():
+        assert seen.setdefault(" ".join(text.split()), spdx) == spdx
+    assert len(set(seen.values())) == 14
+
+
 def keys(text):
     run = re.compile(secret_scan.RUN)
     return [(m.start(), m[0], text[: m.start()][-48:], text[m.end() :][:48]) for m in run.finditer(text)]
