@@ -258,3 +258,32 @@ def test_bootstraps_of_a_longer_history(spark, tmp_path):
     assert shares and all(0 <= r.percent_added <= 1 and 0 <= r.percent_removed <= 1 for r in shares)
     kept = {(r.user_id, r.lo, r.hi) for r in catalogue.QUERIES["ST14_weight_change"](spark, str(tmp_path)).collect()}
     assert {(u, "click", "view") for u in (1, 2)} <= kept
+
+
+def test_short_panels_end_before_the_bootstraps(make_panel):
+    """Panels that no draw can use are not repeated per bootstrap, and no sample changes."""
+    labels = {
+        "many": [0, 1] * 12,  # runs of one day
+        "runs": [0] * 7 + [1] * 3 + [0] * 2 + [2] * 9 + [None] * 3 + [0] * 8 + [1] * 6,  # 3 + 1 + 4 and 1 + 4 + 2 rows or so
+        "short": [0, 1] * 3,
+        "calm": [0] * 40 + [1],
+    }
+    rows = [(e, d, y, float(d * d % 7)) for e, ys in labels.items() for d, y in enumerate(ys)]
+    days = make_panel(rows, "label int, x double")
+    options = {"limit": 3, "boots": 4, "seed": "s", **K}
+    whole, gated = (gs.sample_pool(days, ["x"], at_least=n, **options) for n in (0, 6))
+    drawn = [sorted(map(tuple, gs.draw_samples(p, min_rows=6, seed="s", **K).select("e", "date", "boot", "cond", "x").collect())) for p in (whole, gated)]
+    assert drawn[0] == drawn[1] and {r[0] for r in drawn[0]} == {"many", "runs"}
+    assert {r[0] for r in gated.select("e").distinct().collect()} == {"many", "runs"}
+
+
+def test_correlations_of_many_samples_at_once():
+    """Samples of any lengths, among them constant and unknown columns, as one by one."""
+    rng = np.random.default_rng(3)
+    samples = [rng.normal(size=(n, 3)) for n in (10, 12, 10, 11)]
+    samples[2][:, 1] = 4.0
+    samples[3][0, 0] = np.nan
+    got = gs.correlations([x.ravel() for x in samples], 3)
+    for x, c in zip(samples, got):
+        with np.errstate(all="ignore"):
+            assert np.allclose(c.reshape(3, 3), np.corrcoef(x, rowvar=False), equal_nan=True)
