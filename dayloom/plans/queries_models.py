@@ -36,7 +36,7 @@ def _(spark, sf):
 
 @query("M02_boosted_trees")
 def _(spark, sf):
-    data = classify.build_dataset(_panel(spark, sf), FEATS, TARGETS["shifts"], **K)
+    data = cut_lineage(classify.build_dataset(_panel(spark, sf), FEATS, TARGETS["shifts"], **K))
     out = classify.fit_predict(data, FEATS)
     return tidy(out.select("user_id", "date", "target", "prediction"))
 

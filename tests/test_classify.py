@@ -47,3 +47,27 @@ def test_models_side_by_side_equal_models_alone(panel):
         alone = classify.scores(classify.fit_predict(data, ["x", "y"], trees=2, depth=2), "target", "prediction", ["e"])
         ours = got.where(F.col("target") == name).select(alone.columns)
         assert sorted(map(str, ours.collect())) == sorted(map(str, alone.collect()))
+
+
+def test_trees_pass_over_bins_not_over_rows(spark, monkeypatch):
+    """Equal rows are one weighted row, and the model is the one of all rows."""
+    rows = [
+        ("a", i, None if i % 11 == 0 else float(i * 7 % 9), float(i * i % 13), float((i * 7 % 9 > 3) ^ (i * i % 13 > 8)), "test" if i % 5 == 0 else "train")
+        for i in range(1500)
+    ]
+    data = spark.createDataFrame(rows, "e string, i int, x double, y double, target double, part string")
+    seen, fit = [], classify.GBTClassifier.fit
+
+    def spied(self, df, *more):
+        seen.append(df.count())
+        return fit(self, df, *more)
+
+    monkeypatch.setattr(classify.GBTClassifier, "fit", spied)
+    plain, binned = [], []
+    for out, bound in ((plain, 10_000), (binned, 100)):
+        monkeypatch.setattr(classify, "PLAIN", bound)
+        got = classify.fit_predict(data, ["x", "y"], trees=3, depth=3)
+        assert {*data.columns, "prediction"} == set(got.columns)
+        out += sorted(got.select("i", "target", "prediction").collect())
+    assert plain == binned and len(plain) == 300
+    assert seen[0] == 1200 and seen[1] <= 10 * 13 * 2
