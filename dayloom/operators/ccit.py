@@ -10,26 +10,30 @@ round; a row asks in the finest cell that holds a donor and takes the nearest of
 Buckets hold about ``BUCKET`` donors: fuller cells are dealt by hash, so rows of equal z
 never meet in one task. The classifier is a forest of random splits: a tree sends a row to
 one of ``2 ** depth`` leaves by fixed cuts of columns, sums and differences, so that training is one count by leaf for all
-rounds, and scoring the mean over a row's leaves.
+rounds, and scoring the mean over a row's leaves. Rounds of a large table come in turns of
+about ``TOGETHER`` rows; what a turn wrote is removed before the next, only sums are kept.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from dayloom.functions import scalars as fn
 from dayloom.operators import sampling
 from dayloom.operators.lookup import looked_up
-from dayloom.session import cut_lineage
+from dayloom.session import cut_lineage, passing_shuffles, passing_table
 
 #: Donors in a bucket, about; columns of z that make cells (distances take all).
 BUCKET, CELL_COLUMNS = 32, 3
+#: Rows of all rounds that are on disk together; with more, rounds come in turns.
+TOGETHER = 1 << 23
 
 
 def shifts(rounds: int) -> np.ndarray:
@@ -75,6 +79,7 @@ def classifier_tests(
         *keys, F.col(row_id).cast("string").alias("_id"), *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)]
     ).dropna(subset=["_id", *[f"_c{i}" for i in range(len(cols))]])
     data = cut_lineage(data)  # read for its moments and for the rounds
+    held = data.count()
     moments = data.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         *[f(f"_c{i}").alias(f"_{n}{i}") for i in range(len(cols)) for n, f in (("m", F.avg), ("s", F.stddev_pop))],
@@ -88,17 +93,32 @@ def classifier_tests(
     us = [f"_u{i}" for i in range(len(cols))]
     level = F.greatest(F.lit(0), F.floor(F.log2(F.col("_n") / (3.0 * BUCKET)) / max(width, 1)).cast("int"))
     digest = sampling.hash_key("_id", "_k", seed=seed)
-    rows = (
-        data.select(*keys, "_id", *[scaled(i) for i in range(len(cols))], (level if width else F.lit(0)).alias("_fine"))
-        .withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-        .withColumns({"_part": fn.md5_bits(digest) % 3, "_test": fn.md5_bits(digest, 9) % 3 == 0, "_deal": fn.md5_bits(digest, 17)})
-    )
+    data = data.select(*keys, "_id", *[scaled(i) for i in range(len(cols))], (level if width else F.lit(0)).alias("_fine"))
     tests = [*keys, "_k"]
-    real = rows.where("_part = 0").select(*tests, "_id", "_test", F.lit(1.0).alias("_label"), *us)
-    fake = _swapped(rows, tests, us, width, rounds).withColumn("_label", F.lit(0.0))
-    mixed = cut_lineage(real.unionByName(fake.select(*real.columns)))
-    hits = _hits(mixed, tests, us, trees, depth)
-    sides = hits.groupBy(*tests, "_label").agg(F.avg("_hit").alias("_a"), F.count(F.lit(1)).alias("_n"))
+
+    def mixed(some: range) -> DataFrame:
+        """Real and swapped rows of some rounds."""
+        rows = data.withColumn("_k", F.explode(F.sequence(F.lit(some.start), F.lit(some.stop - 1)))).withColumns(
+            {"_part": fn.md5_bits(digest) % 3, "_test": fn.md5_bits(digest, 9) % 3 == 0, "_deal": fn.md5_bits(digest, 17)}
+        )
+        real = rows.where("_part = 0").select(*tests, "_id", "_test", F.lit(1.0).alias("_label"), *us)
+        fake = _swapped(rows, tests, us, width, rounds).withColumn("_label", F.lit(0.0))
+        return real.unionByName(fake.select(*real.columns))
+
+    def told(rows: DataFrame) -> DataFrame:
+        hits = _hits(rows, tests, us, trees, depth)
+        return hits.groupBy(*tests, "_label").agg(F.avg("_hit").alias("_a"), F.count(F.lit(1)).alias("_n"))
+
+    turn = max(1, TOGETHER // max(held, 1))
+    if turn >= rounds:
+        sides = told(cut_lineage(mixed(range(rounds))))
+    else:
+        with passing_shuffles(df.sparkSession):
+            turns = []
+            for first in range(0, rounds, turn):
+                with passing_table(mixed(range(first, min(first + turn, rounds))), "ccit") as rows:
+                    turns.append(cut_lineage(told(rows)))
+            sides = reduce(DataFrame.unionByName, turns)
     gaps = sides.groupBy(*tests).agg((F.avg("_a") - 0.5).alias("_gap"), F.sum("_n").alias("_n"))
     out = gaps.groupBy(*keys).agg(F.sum("_n").alias("tested"), F.avg("_gap").alias("gap")).where("tested is not null")
     return out.withColumn("p_val", _p_value(F.col("gap"), F.col("tested"), rounds))
@@ -133,19 +153,29 @@ def _swapped(rows: DataFrame, tests: list[str], us: list[str], width: int, round
 
 def _hits(mixed: DataFrame, tests: list[str], us: list[str], trees: int, depth: int) -> DataFrame:
     """Rows held out of training, with 1 where the forest names their part."""
-    size = 2**depth
-    above = lambda a, sign, b, v: (F.col(us[a]) + sign * F.col(us[b]) > v if sign else F.col(us[a]) > v).cast("int")
-    slots = [
-        F.lit(t * size) + sum((above(*cut) * 2**d for d, cut in enumerate(tree)), F.lit(0))
-        for t, tree in enumerate(cuts(len(us), trees, depth))
-    ]
-    coded = mixed.withColumn("_slots", F.array(*slots))
-    train = coded.where(~F.col("_test")).select(*tests, F.explode("_slots").alias("_slot"), "_label")
+    size, forest_cuts = 2**depth, cuts(len(us), trees, depth)
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def leaves_of(*columns: pd.Series) -> pd.Series:
+        """A row's leaf in every tree; an unknown number is above every value."""
+        u = [c.to_numpy(float) for c in columns]
+        out = np.empty((len(u[0]), trees), np.int32)
+        for t, tree in enumerate(forest_cuts):
+            out[:, t] = t * size
+            for d, (a, sign, b, v) in enumerate(tree):
+                out[:, t] += ~((u[a] + sign * u[b] if sign else u[a]) <= v) * np.int32(2**d)
+        return pd.Series(list(out))
+
+    # rows are chosen first, and a function called unsteady is not called again by filters on its result
+    coded = lambda rows: rows.withColumn("_slots", leaves_of.asNondeterministic()(*us))
+    train = coded(mixed.where(~F.col("_test"))).select(*tests, F.explode("_slots").alias("_slot"), "_label")
     leaves = train.groupBy(*tests, "_slot").agg(((F.sum("_label") + 1) / (F.count(F.lit(1)) + 2)).alias("_v"))
     known = leaves.groupBy(*tests).agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_v"))).alias("_known"))
     every = F.transform(F.sequence(F.lit(0), F.lit(trees * size - 1)), lambda s: F.coalesce(F.try_element_at("_known", s), F.lit(0.5)))
     forest = known.select(*tests, every.alias("_leaf"))  # trees x leaves numbers a test and round
-    told = looked_up(coded.where("_test"), tests, forest, "_id")
+    asked = coded(mixed.where("_test")).drop(*us)
+    # one test's forest has as many numbers as rounds, trees and leaves; forests of many tests meet their rows by key
+    told = asked.join(F.broadcast(forest), tests) if tests == ["_k"] else looked_up(asked, tests, forest, "_id")
     score = F.aggregate("_slots", F.lit(0.0), lambda a, s: a + F.element_at("_leaf", s + 1)) / trees
     return told.withColumn("_hit", ((F.round(score, 9) >= 0.5).cast("double") == F.col("_label")).cast("double"))
 

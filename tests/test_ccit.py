@@ -1,11 +1,13 @@
 """Classifier tests with rounds and tests as keys."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from dayloom import session
 from dayloom.operators import ccit
 
 
@@ -70,3 +72,20 @@ def test_neighbours_come_from_the_bucket(spark, monkeypatch, bucket):
                 assert abs(donors[r._k, r._u1] - r._u2) == pytest.approx(min(here))
         alike = [r._u1 for r in got if r._u2 == 0.2 and r._k == 0]
         assert len(set(alike)) > len(alike) / 3  # rows of one z do not all take the same donor
+
+
+def test_rounds_in_turns_equal_rounds_at_once(spark, monkeypatch):
+    """A turn's rows are removed before the next, and the sums are the same."""
+    rows = [(str(i), float(i * 7 % 31), float(i * i % 17), float(i % 5)) for i in range(240)]
+    df = spark.createDataFrame(rows, "id string, x double, y double, z double")
+    kept, tables, got = session.passing_table, [], []
+    monkeypatch.setattr(ccit, "passing_table", lambda d, n: tables.append(n) or kept(d, n))
+    for bound in (1 << 23, 240 * 4):
+        monkeypatch.setattr(ccit, "TOGETHER", bound)
+        r = ccit.classifier_tests(df, "x", "y", ["z"], row_id="id", rounds=10, trees=8, depth=3).first()
+        got.append((r["tested"], round(r["gap"], 9), round(r["p_val"], 9)))
+    assert got[0] == got[1] and len(tables) == 3
+    with kept(df, "gone") as table:
+        path = table.inputFiles()[0].removeprefix("file:")
+        assert Path(path).exists() and table.count() == 240
+    assert not Path(path).exists()
