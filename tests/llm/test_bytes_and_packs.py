@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from dayloom.llm import byte_pairs, packing
+from dayloom.llm import byte_pairs, packing, subwords
 from dayloom.llm.queries import BYTE_BPE, WORD_BPE
 from dayloom.llm.subwords import WordTokenizer
 
@@ -62,6 +62,34 @@ def test_words_one_by_one_equal_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == want.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
+def test_merges_side_by_side_equal_the_library(path):
+    rng, want = random.Random(7), Tokenizer.from_file(path)
+    words = {"a", "aaaaaaa", "banana", "the", "ß", "übergröße", "tion" * 50}
+    words |= {"".join(rng.choice("aeinorst" if i % 2 else "abcdefghijklmnopqrstuvwxyzäéß") for _ in range(rng.randint(1, 30))) for i in range(3000)}
+    words = sorted(words)
+    got = subwords.Merges(path).encode([w.encode() for w in words])
+    for w, ids, e in zip(words, got, want.encode_batch(words, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == e.ids, w
+    assert subwords.Merges(path).encode([]) == []
+
+
+def test_parts_of_letters_do_not_go_to_the_library():
+    words = WordTokenizer(WORD_BPE)
+    real, asked = words.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, parts, **options):
+            asked.extend(parts)
+            return real.encode_batch_fast(parts, **options)
+
+    words.tokenizer = Counting()
+    text = "Invented haanthing, über 12 reoush's " + "x" * 300
+    ids = next(words.encode([text]))
+    assert np.frombuffer(ids, "<u4").tolist() == real.encode(text, add_special_tokens=False).ids
+    assert sorted(asked) == ["'s", ",", "1", "2", "x" * 300]
+
+
 @pytest.mark.parametrize("limit", [7, 64])
 def test_places_fill_and_fit(limit):
     rng = random.Random(limit)
