@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dayloom.llm import attention_model as lm, language_model, toxicity
+from dayloom.llm import attention_model as lm, language_model, subwords, toxicity
 from dayloom.llm.queries import BYTE_BPE
 
 
@@ -144,6 +144,27 @@ def test_scores_against_counts_by_hand(spark, monkeypatch):
     assert len(none) == 3 and all(r.n_known == 0 and r.base_score == 0 for r in none)
 
 
+def test_words_of_letters_do_not_go_to_the_library():
+    ids = language_model._Ids(BYTE_BPE)
+    tokenizer = subwords.word_tokenizer(BYTE_BPE)
+    real, asked = tokenizer.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, parts, **options):
+            asked.extend(parts)
+            return real.encode_batch_fast(parts, **options)
+
+    text = "invented haanthing, über É's l'été x9 <|endoftext|> reoush!! " + "x" * 300
+    tokenizer.tokenizer = Counting()
+    try:
+        got = ids.of([language_model.words(text)])[0]
+    finally:
+        tokenizer.tokenizer = real
+    want = real.encode(" " + text.replace("I", "i"), add_special_tokens=False).ids
+    assert got.tolist() == [*want, language_model.END]
+    assert sorted(asked) == sorted([",", " É's", " l'été", " x9", " <|endoftext|>", "!!", " " + "x" * 300])
+
+
 def test_every_training_row_trains_the_model(spark, monkeypatch):
     texts = [f"the {w} of" for w in ("tion", "and", "Ering", "x9") for _ in range(10)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
