@@ -202,3 +202,51 @@ def test_one_pass_goes_on_from_call_to_call():
     steps = state["step"]
     lm.train(first, vocab, inputs, targets, scored, state=state)
     assert state["step"] == 2 * steps > 0
+
+
+def test_only_scored_positions_are_scored():
+    vocab, w, seqs = small_model()
+    inputs, targets, scored, _ = lm.windows(seqs, 0)
+    every = lm.log_chances(w, vocab, inputs, targets)
+    some = lm.log_chances(w, vocab, inputs, targets, scored)
+    assert np.allclose(some, np.where(scored, every, 0), atol=1e-5)
+    none = lm.log_chances(w, vocab, inputs, targets, np.zeros_like(scored))
+    assert none.shape == targets.shape and not none.any()
+    assert not any(g.any() for g in lm.gradients(w, vocab, inputs, targets, np.zeros_like(scored)).values())
+
+
+def test_large_weights_stay_finite():
+    vocab, w, seqs = small_model()
+    inputs, targets, scored, _ = lm.windows(seqs, 0)
+    w = {n: x * 40 for n, x in w.items()}
+    got = lm.log_chances(w, vocab, inputs, targets)
+    precise = lm.log_chances({n: x.astype(np.float64) for n, x in w.items()}, vocab, inputs, targets)
+    assert np.isfinite(got).all() and got.min() < -100
+    assert np.allclose(got, precise, rtol=1e-2, atol=1)
+    assert all(np.isfinite(g).all() for g in lm.gradients(w, vocab, inputs, targets, scored).values())
+
+
+def test_subwords_are_looked_up_once(spark):
+    texts = ["the tion of", "", "Ering x9, \u00e9t\u00e9", "the tion of"]
+    rows = [(i, b"%d" % i, i != 1, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "_row long, _digest binary, _train boolean, _text string").repartition(3)
+    encoded = language_model._encoded(df, BYTE_BPE)
+    want = language_model.sequences([language_model.words(t) for t in texts], BYTE_BPE)
+    got = {r._row: r for r in encoded.collect()}
+    assert [np.frombuffer(got[i]._ids, "<u2").tolist() for i in range(4)] == [x.tolist() for x in want]
+    assert [got[i]._train for i in range(4)] == [True, False, True, True]
+    counts = np.bincount(np.concatenate(want), minlength=language_model.END + 1)
+    assert np.array_equal(language_model._subwords(encoded), counts)
+    # later passes read the ids alone
+    ids = encoded.select("_ids")
+    assert np.array_equal(
+        language_model._neighbours(ids, "no such file", counts), language_model._neighbours(df, BYTE_BPE, counts)
+    )
+    vocab = lm.vocabulary(counts, want)
+    w = lm.fresh(counts, vocab)
+    after = language_model._averaged(ids.coalesce(1), "no such file", w, vocab)
+    assert any(not np.array_equal(after[n], w[n]) for n in w)
+    scores = {r._row: r.score for r in language_model._scores(encoded, "no such file", w, vocab).collect()}
+    inputs, targets, scored, owner = lm.windows(want, language_model.END)
+    chance = np.where(scored, lm.log_chances(w, vocab, inputs, targets), 0).sum(axis=1)
+    assert np.allclose([scores[i] for i in range(4)], np.bincount(owner, weights=chance) / np.log(10), rtol=1e-5)
