@@ -11,7 +11,8 @@ Buckets hold about ``BUCKET`` donors: fuller cells are dealt by hash, so rows of
 never meet in one task. The classifier is a forest of random splits: a tree sends a row to
 one of ``2 ** depth`` leaves by fixed cuts of columns, sums and differences, so that training is one count by leaf for all
 rounds, and scoring the mean over a row's leaves. Rounds of a large table come in turns of
-about ``TOGETHER`` rows; what a turn wrote is removed before the next, only sums are kept.
+about ``TOGETHER`` rows; what a turn wrote is removed before the next, only sums are kept. A table
+that is one test does the same in arrays (``neighbours``); tests by key meet in joins.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
+from dayloom import session
 from dayloom.functions import scalars as fn
-from dayloom.operators import sampling
+from dayloom.operators import neighbours, sampling
 from dayloom.operators.lookup import looked_up
 from dayloom.session import cut_lineage, passing_shuffles, passing_table
 
@@ -95,6 +97,10 @@ def classifier_tests(
     digest = sampling.hash_key("_id", "_k", seed=seed)
     data = data.select(*keys, "_id", *[scaled(i) for i in range(len(cols))], (level if width else F.lit(0)).alias("_fine"))
     tests = [*keys, "_k"]
+    turn = max(1, TOGETHER // max(held, 1))
+    if not keys:
+        sides = _one_test(data, us, width, held, turn, rounds=rounds, trees=trees, depth=depth, seed=seed)
+        return _results(sides, keys, rounds)
 
     def mixed(some: range) -> DataFrame:
         """Real and swapped rows of some rounds."""
@@ -109,7 +115,6 @@ def classifier_tests(
         hits = _hits(rows, tests, us, trees, depth)
         return hits.groupBy(*tests, "_label").agg(F.avg("_hit").alias("_a"), F.count(F.lit(1)).alias("_n"))
 
-    turn = max(1, TOGETHER // max(held, 1))
     if turn >= rounds:
         sides = told(cut_lineage(mixed(range(rounds))))
     else:
@@ -119,11 +124,38 @@ def classifier_tests(
                 with passing_table(mixed(range(first, min(first + turn, rounds))), "ccit") as rows:
                     turns.append(cut_lineage(told(rows)))
             sides = reduce(DataFrame.unionByName, turns)
-    gaps = sides.groupBy(*tests).agg((F.avg("_a") - 0.5).alias("_gap"), F.sum("_n").alias("_n"))
+    return _results(sides, keys, rounds)
+
+
+def _results(sides: DataFrame, keys: list[str], rounds: int) -> DataFrame:
+    gaps = sides.groupBy(*keys, "_k").agg((F.avg("_a") - 0.5).alias("_gap"), F.sum("_n").alias("_n"))
     out = gaps.groupBy(*keys).agg(F.sum("_n").alias("tested"), F.avg("_gap").alias("gap")).where("tested is not null")
     return out.withColumn("p_val", _p_value(F.col("gap"), F.col("tested"), rounds))
 
 
+def _one_test(
+    data: DataFrame, us: list[str], width: int, held: int, turn: int, *, rounds: int, trees: int, depth: int, seed: str
+) -> DataFrame:
+    """Per round and label the share of rows whose part the forest names, and their number."""
+    if not held:
+        return data.sparkSession.createDataFrame([], "_k int, _label double, _a double, _n long")
+    forest, turns = cuts(len(us), trees, depth), []
+    with passing_shuffles(data.sparkSession), session.passing_table(data, "ccit-rows") as rows:
+        fine = rows.first()["_fine"]
+        levels = list(dict.fromkeys([fine, fine // 2, fine // 4, 0]))
+        for first in range(0, rounds, turn):
+            some = range(first, min(first + turn, rounds))
+            cells = neighbours.Cells(some, levels, shifts(rounds)[:, :width])
+            found = neighbours.met(rows, us, cells, forest, held=held, bucket=BUCKET, seed=seed)
+            told = lambda x: cut_lineage(neighbours.told(x, some, trees, 2**depth))
+            if turn >= rounds:
+                turns.append(told(cut_lineage(found)))
+            else:
+                with passing_table(found, "ccit") as kept:
+                    turns.append(told(kept))
+    return reduce(DataFrame.unionByName, turns)
+
+
 def _swapped(rows: DataFrame, tests: list[str], us: list[str], width: int, rounds: int) -> DataFrame:
     """The second part of every round, each row with the y of its neighbour in the third."""
     offset = shifts(rounds)

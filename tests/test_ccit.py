@@ -1,5 +1,6 @@
 """Classifier tests with rounds and tests as keys."""
 
+import hashlib
 import math
 from pathlib import Path
 
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from dayloom import session
-from dayloom.operators import ccit
+from dayloom.functions import digests
+from dayloom.operators import ccit, neighbours
 
 
 @pytest.fixture(scope="module")
@@ -89,3 +91,52 @@ def test_rounds_in_turns_equal_rounds_at_once(spark, monkeypatch):
         path = table.inputFiles()[0].removeprefix("file:")
         assert Path(path).exists() and table.count() == 240
     assert not Path(path).exists()
+
+
+@pytest.mark.parametrize("width", [0, 1, 2, 4])
+def test_one_table_in_arrays_equals_tests_by_key(spark, monkeypatch, width):
+    """Same rows tested and same gap as by joins, with cells that hold no donor, rows that come
+    twice and numbers without bound; what is shuffled are blocks of rows."""
+    monkeypatch.setattr(ccit, "BUCKET", 3)
+    rng = np.random.default_rng(width)
+    rows = []
+    for i in range(900):
+        z = [float(rng.choice([0.0, rng.normal(), 50.0 + i])) for _ in range(4)]
+        rows.append((f"r{i}é" if i % 9 else "long" * 20 + str(i), float(rng.normal()), z[0] + float(rng.normal()), *z))
+    rows += rows[:40] + [("wide", math.inf, 1.0, 1.0, math.inf, 0.0, 0.0), ("none", None, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id string, x double, y double, a double, b double, c double, d double").withColumn("one", F.lit(1))
+    z, options, dealt, kept = ["a", "b", "c", "d"][:width], {"row_id": "id", "rounds": 3, "trees": 9, "depth": 3}, [], neighbours._placed
+    by_key = ccit.classifier_tests(df, "x", "y", z, keys=["one"], **options).first()
+    monkeypatch.setattr(neighbours, "_placed", lambda *a: dealt.append(kept(*a)) or dealt[-1])
+    whole = ccit.classifier_tests(df, "x", "y", z, **options).first()
+    assert (whole.tested, round(whole.gap, 9), round(whole.p_val, 9)) == (by_key.tested, round(by_key.gap, 9), round(by_key.p_val, 9))
+    assert len(dealt) == 1 and set(dealt[0].columns) == {"_task", "_rows"}
+
+
+def test_only_cells_that_may_be_asked_are_reached():
+    cells = neighbours.Cells(range(2, 4), [5, 2, 0], ccit.shifts(5)[:, :2])
+    rng = np.random.default_rng(4)
+    gives, asks = [list(np.round(rng.random((2, n)) ** 3, 9)) for n in (60, 400)]
+    full, asked = (np.zeros(cells.size * 2, np.int64) for _ in range(2))
+    for k in cells.some:
+        for i in range(3):
+            np.add.at(full, cells.of(gives, k, i), 1)
+        np.add.at(asked, cells.of(asks, k, 0), 1)
+    reached = cells.reached(full, asked)
+    for k in cells.some:
+        left = np.arange(400)
+        for i in range(3):
+            at = cells.of([x[left] for x in asks], k, i)
+            assert reached[at].all()
+            left = left[full[at] == 0]
+        assert not len(left)
+    finest = np.concatenate([np.arange(cells.starts[1]) + r * cells.size for r in range(2)])
+    assert reached[finest].all() and not reached.all()
+    assert cells.reached(full, np.zeros_like(asked)).sum() == len(finest)
+
+
+def test_md5_of_many_keys():
+    keys = [b"", b"x" * 39, b"x" * 40, b"y" * 55, b"y" * 56, b"z" * 200, *[b"%d|2024-01-01" % i for i in range(300)]]
+    for got, ending in ((digests.md5_words(keys), b""), (digests.Prefixes(keys).words(b"|12|ccit"), b"|12|ccit")):
+        assert got.T.astype(">u4").tobytes() == b"".join(hashlib.md5(k + ending).digest() for k in keys)
+    assert digests.md5_words([]).shape == (4, 0)
