@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -85,3 +86,45 @@ class Prefixes:
 def md5_words(keys: list[bytes]) -> np.ndarray:
     """Four 32-bit words of the md5 of every key, as rows."""
     return Prefixes(keys, 0).words(b"")
+
+
+@lru_cache(64)
+def _laid(keys: tuple[bytes, ...], at: int, ended: bool) -> np.ndarray:
+    """16 rows of words with every key from byte ``at`` on, and with what follows a key if it ends there.
+    One panel's endings are the next one's."""
+    block = np.zeros((len(keys), 64), np.uint8)
+    for row, key in zip(block, keys):
+        if at + len(key) <= SHORT:
+            text = key + b"\x80" if ended else key
+            row[at : at + len(text)] = np.frombuffer(text, np.uint8)
+            if ended:
+                row[56:60] = np.frombuffer(((at + len(key)) * 8).to_bytes(4, "little"), np.uint8)
+    return np.ascontiguousarray(block.view("<u4").T)
+
+
+def paired_words(firsts: list[bytes], endings: list[bytes], p: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Four words of the md5 of ``firsts[p] + endings[e]`` for every pair of places, as rows."""
+    out = np.empty((4, len(p)), np.uint32)
+    lengths, more = (np.fromiter(map(len, x), np.int64, len(x)) for x in (firsts, endings))
+    begun, last = _laid(tuple(firsts), 0, ended=False), tuple(endings)
+    for size in np.unique(lengths).tolist():
+        ends = _laid(last, size, ended=True)
+        mine = lengths[p] == size
+        at = np.flatnonzero(mine & (more[e] + size <= SHORT))
+        for start in range(0, len(at), TOGETHER):
+            some = at[start : start + TOGETHER]
+            out[:, some] = _blocks(begun[:, p[some]] | ends[:, e[some]])
+        for i in np.flatnonzero(mine & (more[e] + size > SHORT)).tolist():
+            digest = hashlib.md5(firsts[p[i]] + endings[e[i]], usedforsecurity=False).digest()
+            out[:, i] = np.frombuffer(digest, ">u4")
+    return out
+
+
+def normals(words: np.ndarray) -> np.ndarray:
+    """The four standard normal draws of every digest, as ``normal_from_md5`` has them."""
+    out = np.empty(words.shape)
+    for pair in (0, 2):
+        size = np.sqrt(-2.0 * np.log((words[pair] + 1.0) / 4294967297.0))
+        angle = 6.283185307179586 * (words[pair + 1] / 4294967296.0)
+        out[pair], out[pair + 1] = size * np.cos(angle), size * np.sin(angle)
+    return out

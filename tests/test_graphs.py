@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dayloom.functions import tails
-from dayloom.operators import graph_search as gs, graph_tables as gt
+from dayloom.operators import graph_draws, graph_search as gs, graph_tables as gt
 
 K = {"entity": "e", "date": "date"}
 
@@ -287,3 +287,62 @@ def test_correlations_of_many_samples_at_once():
     for x, c in zip(samples, got):
         with np.errstate(all="ignore"):
             assert np.allclose(c.reshape(3, 3), np.corrcoef(x, rowvar=False), equal_nan=True)
+
+
+@pytest.fixture(scope="module")
+def odd_days(spark):
+    """Panels with long runs, unknown labels, a missing feature, few days, and no name."""
+    rng, rows = np.random.default_rng(11), []
+    for e, n in (("a", 60), ("b", 45), (None, 50), ("short", 9), ("x" * 60, 48)):
+        label = np.repeat(rng.integers(0, 3, n), rng.integers(1, 8, n))[:n]
+        for d in range(n):
+            x, z = rng.normal(size=2)
+            rows.append((e, d, None if d % 17 == 3 else float(label[d]), float(x), float(x + z), None if e == "b" else float(z)))
+    df = spark.createDataFrame(rows, "e string, d int, label double, x double, y double, z double")
+    days = df.withColumn("date", F.expr("date_add(date'2024-01-01', d)")).drop("d")
+    return days.withColumn("definition", F.explode(F.array(F.lit("one"), F.lit("two"))))
+
+
+def test_draws_in_arrays_are_the_draws_of_columns(odd_days):
+    features, group, options = ["x", "y", "z"], ["definition"], {"limit": 3, "boots": 6, "seed": "s"}
+    pool = gs.sample_pool(odd_days, features, at_least=5, group=group, **options, **K)
+    samples = gs.draw_samples(pool, min_rows=5, seed="s", group=group, **K)
+    more = {"sigma": 0.01, "extra": ["s", "x"], "group": group, **K}
+    a = gs.correlation_rows(samples, features, seed="s", **more)
+    b = graph_draws.drawn_correlations(odd_days, features, min_rows=5, **options, **more)
+    assert a.columns == b.columns and a.dtypes == b.dtypes
+    keyed = lambda rows: {(r.definition, r.e, r.boot, r.cond): r for r in rows}
+    a, b = keyed(a.collect()), keyed(b.collect())
+    assert a.keys() == b.keys() and {k[1] for k in a} == {"a", "b", None, "x" * 60} and len(a) == 2 * 4 * 6 * 4
+    for k, r in a.items():
+        assert r.n == b[k].n >= 5
+        for c in ("c", "w", "s"):
+            np.testing.assert_allclose(np.array(r[c], float), np.array(b[k][c], float), atol=1e-9)
+        rows = [sorted(map(tuple, np.nan_to_num(np.array(x, float)).reshape(-1, 3))) for x in (r.x, b[k].x)]
+        np.testing.assert_allclose(*rows, atol=1e-12)
+
+
+def test_a_panel_arrives_once_whatever_the_bootstraps(odd_days):
+    plan = lambda boots: graph_draws.drawn_correlations(
+        odd_days, ["x", "y"], limit=3, boots=boots, min_rows=5, sigma=0.01, seed="s", **K
+    )._jdf.queryExecution().executedPlan().toString()
+    assert "sequence(0" not in plan(100) and "FlatMapGroupsInArrow" in plan(100)
+
+
+def test_search_of_a_batch_is_the_search_of_each_graph(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 14, 5))
+    x[:, :, 1:] += rng.random((40, 1, 4)) * 2 * x[:, :, :-1]
+    c, limit, usable = graph_draws.matrices(x), rng.uniform(0.2, 0.6, 40), rng.random((40, 5)) < 0.9
+    c[3, 0, 1] = c[3, 1, 0] = np.nan  # above every limit
+    usable[3] = True
+    left, gone = gs.searched(c, limit, usable, 2)
+    assert left[3, 0, 1] or any(tuple(r[:3]) == (3, 0, 1) for r in gone)
+    for i in range(40):
+        alone, cut = gs.searched(c[i : i + 1], limit[i : i + 1], usable[i : i + 1], 2)
+        assert (alone[0] == left[i]).all() and (cut[:, 1:] == gone[gone[:, 0] == i][:, 1:]).all()
+    rows = [(i, c[i].ravel().tolist(), float(limit[i]), np.flatnonzero(usable[i]).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, c array<double>, limit double, usable array<int>").drop("nothing")
+    one, two = gs.directed(gs.skeleton(df, list("abcde"))), gs.directed_skeletons(df, list("abcde"))
+    assert one.columns == two.columns
+    assert [str(r) for r in one.orderBy("id").collect()] == [str(r) for r in two.orderBy("id").collect()]
