@@ -7,6 +7,7 @@ import math
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of a key that still fits one block of md5.
 SHORT = 55
@@ -53,17 +54,24 @@ def _blocks(words: np.ndarray) -> np.ndarray:
 class Prefixes:
     """First parts of keys, to be followed by one ending or another."""
 
-    def __init__(self, keys: list[bytes], longest: int = 16):
-        """``longest``: bytes that an ending may have."""
-        self.lengths = np.fromiter(map(len, keys), np.int64, len(keys))
+    def __init__(self, keys: list[bytes] | pa.StringArray, longest: int = 16):
+        """``longest``: bytes that an ending may have. An Arrow column's bytes are taken as they lie."""
+        if isinstance(keys, pa.StringArray):
+            ends = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64)
+            text = np.frombuffer(keys.buffers()[2] or b"", np.uint8)
+        else:
+            ends = np.cumsum([0, *map(len, keys)])
+            text = np.frombuffer(b"".join(keys), np.uint8)
+        self.lengths = np.diff(ends)
         self.short = np.flatnonzero(self.lengths + longest <= SHORT)
-        self.long = [(i, keys[i]) for i in np.flatnonzero(self.lengths + longest > SHORT).tolist()]
-        lengths = self.lengths[self.short]
-        text = keys if not self.long else [keys[i] for i in self.short.tolist()]
-        self.block = np.zeros((len(text), 64), np.uint8)
-        place = np.arange(int(lengths.sum())) + np.repeat(np.arange(len(text)) * 64 - (np.cumsum(lengths) - lengths), lengths)
-        self.block.reshape(-1)[place] = np.frombuffer(b"".join(text), np.uint8)
-        self.at = np.arange(len(text)) * 64 + lengths
+        over = np.flatnonzero(self.lengths + longest > SHORT).tolist()
+        self.long = [(i, text[ends[i] : ends[i + 1]].tobytes()) for i in over]
+        lengths, starts = self.lengths[self.short], ends[self.short]
+        self.block = np.zeros((len(lengths), 64), np.uint8)
+        for j in range(int(lengths.max(initial=0))):
+            some = np.flatnonzero(lengths > j)
+            self.block[some, j] = text[starts[some] + j]
+        self.at = np.arange(len(lengths)) * 64 + lengths
 
     def words(self, ending: bytes) -> np.ndarray:
         """Four 32-bit words of the md5 of every key with an ending, as rows."""

@@ -34,8 +34,9 @@ from dayloom.session import cut_lineage, passing_shuffles, passing_table
 
 #: Donors in a bucket, about; columns of z that make cells (distances take all).
 BUCKET, CELL_COLUMNS = 32, 3
-#: Rows of all rounds that are on disk together; with more, rounds come in turns.
-TOGETHER = 1 << 23
+#: Rows of all rounds that are on disk together; with more, rounds come in turns. Those of tests by
+#: key are wider and come ``WIDER`` times less together.
+TOGETHER, WIDER = 1 << 25, 4
 
 
 def shifts(rounds: int) -> np.ndarray:
@@ -97,8 +98,8 @@ def classifier_tests(
     digest = sampling.hash_key("_id", "_k", seed=seed)
     data = data.select(*keys, "_id", *[scaled(i) for i in range(len(cols))], (level if width else F.lit(0)).alias("_fine"))
     tests = [*keys, "_k"]
-    turn = max(1, TOGETHER // max(held, 1))
     if not keys:
+        turn = max(1, TOGETHER // max(held, 1))
         sides = _one_test(data, us, width, held, turn, rounds=rounds, trees=trees, depth=depth, seed=seed)
         return _results(sides, keys, rounds)
 
@@ -115,6 +116,7 @@ def classifier_tests(
         hits = _hits(rows, tests, us, trees, depth)
         return hits.groupBy(*tests, "_label").agg(F.avg("_hit").alias("_a"), F.count(F.lit(1)).alias("_n"))
 
+    turn = max(1, TOGETHER // WIDER // max(held, 1))
     if turn >= rounds:
         sides = told(cut_lineage(mixed(range(rounds))))
     else:

@@ -68,7 +68,7 @@ class Cells:
 
 def _drawn(batch: pa.RecordBatch, some: range, seed: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Per round its number and the part, the fold and the deal of every row."""
-    keys = Prefixes([x.encode() for x in batch.column("_id").to_pylist()], len(seed.encode()) + 12)
+    keys = Prefixes(batch.column("_id"), len(seed.encode()) + 12)
     for k in some:
         w = keys.words(f"|{k}|{seed}".encode())
         yield k, w[0] % 3, w[1] % 3 == 0, w[2].astype(np.int64)
@@ -253,10 +253,8 @@ def _met(placed: DataFrame, us: list[str], some: range, forest: list) -> DataFra
     def meet(batches):
         counts = np.zeros((2, trees, len(some) * size), np.int64)
 
-        def told(rows: pa.RecordBatch) -> pa.RecordBatch:
-            b = {n: rows.column(n).to_numpy(zero_copy_only=False) for n in rows.schema.names if n != "_id"}
-            text = rows.column("_id")
-            asks, donor = _taken(b, lambda i: text[i].as_py().encode(), us)
+        def told(b: dict[str, np.ndarray], ids: Callable[[int], bytes]) -> pa.RecordBatch:
+            asks, donor = _taken(b, ids, us)
             real = np.flatnonzero(b["_at"] & 3 == REAL)
             rows = np.concatenate([real, asks])
             label = np.repeat([1, 0], [len(real), len(asks)])
@@ -281,13 +279,15 @@ def _met(placed: DataFrame, us: list[str], some: range, forest: list) -> DataFra
         if dealt:
             table = pa.Table.from_batches(dealt)
             dealt.clear()
-            at = table["_at"].to_numpy()
-            order = np.argsort(at)
-            bucket = at[order] >> 2
+            names = table["_id"]
+            columns = {n: table[n].to_numpy() for n in table.column_names if n != "_id"}
+            order = np.argsort(columns["_at"])
+            bucket = columns["_at"][order] >> 2
             starts = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
-            cuts = np.unique(np.append(starts[np.searchsorted(starts, np.arange(0, len(at), MET_ROWS), "right") - 1], len(at)))
+            cuts = np.unique(np.append(starts[np.searchsorted(starts, np.arange(0, len(order), MET_ROWS), "right") - 1], len(order)))
             for low, high in zip(cuts.tolist(), cuts[1:].tolist()):
-                yield told(table.take(pa.array(order[low:high])).combine_chunks().to_batches()[0])
+                at = order[low:high]
+                yield told({n: x[at] for n, x in columns.items()}, lambda i: names[int(at[i])].as_py().encode())  # noqa: B023
         side, tree, at = np.nonzero(counts)
         columns = [at // size + some.start, side, tree * size + at % size]
         columns = [pa.array(x.astype(np.int32)) for x in columns] + [pa.array(counts[side, tree, at]), pa.nulls(len(at), pa.binary())]

@@ -5,6 +5,7 @@ import math
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,4 +140,11 @@ def test_md5_of_many_keys():
     keys = [b"", b"x" * 39, b"x" * 40, b"y" * 55, b"y" * 56, b"z" * 200, *[b"%d|2024-01-01" % i for i in range(300)]]
     for got, ending in ((digests.md5_words(keys), b""), (digests.Prefixes(keys).words(b"|12|ccit"), b"|12|ccit")):
         assert got.T.astype(">u4").tobytes() == b"".join(hashlib.md5(k + ending).digest() for k in keys)
+    column = pa.array([k.decode() for k in keys])
+    for some in (column, column[3:20], column[:0]):
+        got = digests.Prefixes(some).words(b"|3|s")
+        assert got.T.astype(">u4").tobytes() == b"".join(hashlib.md5(k.encode() + b"|3|s").digest() for k in some.to_pylist())
     assert digests.md5_words([]).shape == (4, 0)
+    at = np.arange(3 * len(keys))
+    both = digests.paired_words(keys, [b"", b"|1", b"|23|ccit"], at // 3, at % 3)
+    assert both.T.astype(">u4").tobytes() == b"".join(hashlib.md5(k + e).digest() for k in keys for e in (b"", b"|1", b"|23|ccit"))
