@@ -346,3 +346,16 @@ def test_search_of_a_batch_is_the_search_of_each_graph(spark):
     one, two = gs.directed(gs.skeleton(df, list("abcde"))), gs.directed_skeletons(df, list("abcde"))
     assert one.columns == two.columns
     assert [str(r) for r in one.orderBy("id").collect()] == [str(r) for r in two.orderBy("id").collect()]
+
+
+def test_entities_that_give_no_draws_are_not_scaled(odd_days, monkeypatch):
+    days = odd_days.where("definition = 'one'").withColumnRenamed("label", "lab").drop("definition")
+    calm = days.withColumn("e", F.lit("calm")).where("lab = 0")
+    scaled, kept = [], gs.panel.z_score
+    monkeypatch.setattr(gs.panel, "z_score", lambda df, *a, **k: scaled.append(df) or kept(df, *a, **k))
+    label = lambda df: df.withColumn("label", F.col("lab"))
+    rows = gs.discover(days.unionByName(calm), {"one": (["x", "y"], label), "none": (["x"], lambda d: d.withColumn("label", F.lit(0)))},
+                       boots=2, min_rows=5, **K)
+    found = {(r.definition, r.e) for r in rows.select("definition", "e").distinct().collect()}
+    assert found == {("one", e) for e in ("a", "b", None, "x" * 60)}
+    assert {r.e for r in scaled[0].select("e").distinct().collect()} == {"a", "b", None, "x" * 60}
